@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from maskmix.config import MixtureConfig
 from maskmix.functions.arrays import HASH_OFFSET, HASH_PRIME, binary_mask, double, portable_uniform
 from maskmix.functions.kernels import matrix
+from maskmix.functions.runtime import map_arrow
 
 
 def with_mask(points: DataFrame) -> DataFrame:
@@ -66,7 +67,7 @@ def nearest_mask(masked: DataFrame, chosen: list[list[int]], first_wins: bool =
                 names=["point_id", "class", "distance"],
             )
 
-    return masked.select("point_id", "mask").mapInArrow(step, "point_id BIGINT, class INT, distance INT")
+    return map_arrow(masked.select("point_id", "mask"), step, "point_id BIGINT, class INT, distance INT")
 
 
 def start_classes(points: DataFrame, starting_clusters: int, config: MixtureConfig, seed: int) -> tuple[DataFrame, int]:

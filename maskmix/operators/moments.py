@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from maskmix.config import MixtureConfig
 from maskmix.functions import kernels as K
+from maskmix.functions.runtime import apply_arrow, map_arrow
 from maskmix.operators.dimensions import DimensionModel
 
 MODEL_SCHEMA = (
@@ -57,10 +58,9 @@ def moment_cells(points: DataFrame, noise: DimensionModel, gram_for_noise: bool
                 sums = K.MomentSums(len(nu), gram_for_noise)
         yield from sums.cells()
 
+    cells = map_arrow(points.select("class", "y", "w", "corr"), partial, K.CELL_SCHEMA)
     return (
-        points.select("class", "y", "w", "corr")
-        .mapInArrow(partial, K.CELL_SCHEMA)
-        .groupBy("class", "stat", "i", "j")
+        cells.groupBy("class", "stat", "i", "j")
         .agg(F.sum("v").alias("v"))
     )
 
@@ -96,7 +96,7 @@ def m_step(points: DataFrame, noise: DimensionModel, config: MixtureConfig) -> D
         }
         return pa.Table.from_pylist([row], schema=MODEL_ARROW)
 
-    return moment_cells(points, noise).groupBy("class").applyInArrow(model, MODEL_SCHEMA)
+    return apply_arrow(moment_cells(points, noise), ["class"], model, MODEL_SCHEMA)
 
 
 def mixing_weights(counts: dict[int, int], n_points: int, config: MixtureConfig) -> dict[int, float]:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from maskmix.config import MixtureConfig
 from maskmix.functions import kernels as K
+from maskmix.functions.runtime import map_arrow
 from maskmix.operators.dimensions import DimensionModel
 from maskmix.operators.moments import mixing_weights
 
@@ -150,7 +151,7 @@ def assign(
                     columns |= {c: batch.column(c) for c in feature_columns}
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-        state = state.mapInArrow(step, keep if last else f"{keep}, {features}")
+        state = map_arrow(state, step, keep if last else f"{keep}, {features}")
     return state
 
 
@@ -190,7 +191,7 @@ def score_matrix(
                     names=["point_id", "class", "cluster_id", "mahalanobis", "variance_term", "nlp"],
                 )
 
-        out = out.unionByName(base.mapInArrow(rows, SCORE_SCHEMA))
+        out = out.unionByName(map_arrow(base, rows, SCORE_SCHEMA))
     return out
 
 
@@ -220,7 +221,7 @@ def own_scores(
                 [pa.array(s.ids.astype(np.int32)), pa.array(size), pa.array(total)], names=["class", "n", "nlp"]
             )
 
-        parts.append(points.select("class", "y", "corr").mapInArrow(sums, "class INT, n BIGINT, nlp DOUBLE"))
+        parts.append(map_arrow(points.select("class", "y", "corr"), sums, "class INT, n BIGINT, nlp DOUBLE"))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

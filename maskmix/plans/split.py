@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from maskmix.config import MixtureConfig
 from maskmix.functions import kernels as K
+from maskmix.functions.runtime import map_arrow
 from maskmix.functions.arrays import parameter_count, portable_hash
 from maskmix.operators.moments import m_step
 from maskmix.operators.scoring import load_slice, own_scores, read_model
@@ -82,8 +83,10 @@ def assign_halves(labelled: DataFrame, model, weights: dict[int, float], noise)
                 names=["point_id", "class", "old_half", "half", "nlp", "q"],
             )
 
-    return labelled.select("point_id", "class", "half", "y", "corr", "q").mapInArrow(
-        step, "point_id BIGINT, class INT, old_half INT, half INT, nlp DOUBLE, q DOUBLE"
+    return map_arrow(
+        labelled.select("point_id", "class", "half", "y", "corr", "q"),
+        step,
+        "point_id BIGINT, class INT, old_half INT, half INT, nlp DOUBLE, q DOUBLE",
     )
 
 
