@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -103,6 +104,7 @@ def expectation_maximisation(
     run: int = 0,
     recurse: bool = True,
     allow_noise: bool = True,
+    on_better: Callable[[DataFrame], None] | None = None,
 ) -> FitResult:
     """Repeat model, scores, assignment, deletion and optional splitting until nothing changes.
 
@@ -136,7 +138,7 @@ def expectation_maximisation(
         over = iteration > config.max_iter
         did_split = 0
         if not over and recurse and wants_split(iteration, outcome.changed, last_full, config):
-            splits = try_splits(points, current, score, outcome, model, config, workspace)
+            splits = try_splits(points, current, score, outcome, config, workspace)
             if splits is not None:
                 did_split = 1
                 current = workspace.save(splits, f"split-{run}-{iteration % 2}")
@@ -162,6 +164,8 @@ def expectation_maximisation(
             "iteration %d%s: %d clusters, raw %f + penalty %f = %f, changed %d",
             iteration - 1, step, outcome.alive, outcome.raw, outcome.penalty, score, outcome.changed,
         )
+        if on_better is not None and recurse and not over and old_score > score:
+            on_better(current.select("point_id", "class"))
         if over:
             log.warning("maximum iterations exceeded")
             break
@@ -180,8 +184,17 @@ def choose_subset(points: DataFrame, stride: int, seed: int, workspace: Workspac
     return numbered.where((F.col("row_number") < total) & chosen).select("point_id")
 
 
+@dataclass
+class Hooks:
+    """Optional outputs of a running fit."""
+
+    on_start: Callable[[DataFrame, int], None] | None = None
+    on_better: Callable[[DataFrame], None] | None = None
+
+
 def fit_on_subset(
-    points: PreparedPoints, starting_clusters: int, config: MixtureConfig, workspace: Workspace, run: int, seed: int
+    points: PreparedPoints, starting_clusters: int, config: MixtureConfig, workspace: Workspace, run: int,
+    seed: int, hooks: Hooks,
 ) -> FitResult:
     """Fit on every ``subset``-th point, then score and assign all points with that model.
 
@@ -191,7 +204,7 @@ def fit_on_subset(
     ids = choose_subset(points.frame, config.subset, seed, workspace)
     part = lay_out(points.frame.join(ids, "point_id", "left_semi"), points.noise)
     start, k = start_classes(part.frame, starting_clusters, config, seed)
-    fitted = expectation_maximisation(part, start, config, workspace, k, run)
+    fitted = expectation_maximisation(part, start, config, workspace, k, run, on_better=hooks.on_better)
     part.release()
     everything = points.frame.withColumn("class", F.lit(0))
     assigned = workspace.save(assign(everything, fitted.model, points.noise, config), f"full-{run}")
@@ -201,23 +214,30 @@ def fit_on_subset(
 
 
 def fit_once(
-    points: PreparedPoints, starting_clusters: int, config: MixtureConfig, workspace: Workspace, run: int = 0
+    points: PreparedPoints, starting_clusters: int, config: MixtureConfig, workspace: Workspace, run: int = 0,
+    hooks: Hooks = Hooks(),
 ) -> FitResult:
     seed = config.random_seed + run
     if config.subset > 1:
-        return fit_on_subset(points, starting_clusters, config, workspace, run, seed)
+        return fit_on_subset(points, starting_clusters, config, workspace, run, seed, hooks)
     start, k = start_classes(points.frame, starting_clusters, config, seed)
-    return expectation_maximisation(points, start, config, workspace, k, run)
+    if hooks.on_start is not None:
+        start = workspace.save(start, f"first-{run}")
+        hooks.on_start(start, k)
+    return expectation_maximisation(points, start, config, workspace, k, run, on_better=hooks.on_better)
 
 
-def fit(points: DataFrame, config: MixtureConfig = MixtureConfig(), workspace: Workspace | None = None) -> FitResult:
+def fit(
+    points: DataFrame, config: MixtureConfig = MixtureConfig(), workspace: Workspace | None = None,
+    hooks: Hooks = Hooks(),
+) -> FitResult:
     """Search over start counts and repeats; the lowest score wins, the earlier run on a tie."""
     workspace = workspace or Workspace(points.sparkSession, "fit")
     prepared = prepare_points(points, config)
     best, metrics, run = None, [], 0
     for k in config.starting_clusters():
         for _ in range(config.n_starts):
-            result = fit_once(prepared, k, config, workspace, run)
+            result = fit_once(prepared, k, config, workspace, run, hooks)
             metrics += result.metrics
             log.info("%d -> %d clusters: score %f", result.start_clusters, result.alive, result.score)
             if best is None or result.score < best.score:
@@ -229,11 +249,12 @@ def fit(points: DataFrame, config: MixtureConfig = MixtureConfig(), workspace: W
 
 
 def resume(
-    points: DataFrame, classes: DataFrame, config: MixtureConfig = MixtureConfig(), workspace: Workspace | None = None
+    points: DataFrame, classes: DataFrame, config: MixtureConfig = MixtureConfig(), workspace: Workspace | None = None,
+    hooks: Hooks = Hooks(),
 ) -> FitResult:
     """Continue from known classes, for instance labels read from a file."""
     workspace = workspace or Workspace(points.sparkSession, "resume")
     prepared = prepare_points(points, config)
-    result = expectation_maximisation(prepared, classes, config, workspace)
+    result = expectation_maximisation(prepared, classes, config, workspace, on_better=hooks.on_better)
     prepared.release()
     return result

@@ -50,44 +50,46 @@ def _halves_model(points, halves, config, workspace):
 
 
 def assign_halves(labelled: DataFrame, model, weights: dict[int, float], noise) -> DataFrame:
-    """The better half of each point's own cluster."""
+    """The better half of each point's own cluster; one narrow pass per model slice."""
     spark = labelled.sparkSession
-    clusters = [
-        m | {"weight": weights[m["cluster_id"]]} for part in model.slices for m in load_slice(model, part)
-    ]
-    by_id = spark.sparkContext.broadcast({m["cluster_id"]: m for m in clusters})
-    nu = noise.noise_mean
-
-    def step(batches):
-        scorers = {}
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            parent = batch.column("class").to_numpy(zero_copy_only=False)
-            y, corr = K.matrix(batch.column("y")), K.matrix(batch.column("corr"))
-            half = batch.column("half").to_numpy(zero_copy_only=False).copy()
-            nlp = np.zeros(len(half))
-            for c in np.unique(parent).tolist():
-                if c not in scorers:
-                    held = [by_id.value[h] for h in (2 * c, 2 * c + 1) if h in by_id.value]
-                    scorers[c] = K.Scorer(held, nu) if held else None
-                s, at = scorers[c], parent == c
-                if s is None:
-                    continue
-                scores = s.scores(y[at], corr[at])
-                half[at] = s.ids[scores.argmin(axis=1)]
-                nlp[at] = scores.min(axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("point_id"), batch.column("class"), batch.column("half"), pa.array(half.astype(np.int32)),
-                 pa.array(nlp), batch.column("q")],
-                names=["point_id", "class", "old_half", "half", "nlp", "q"],
-            )
-
-    return map_arrow(
-        labelled.select("point_id", "class", "half", "y", "corr", "q"),
-        step,
-        "point_id BIGINT, class INT, old_half INT, half INT, nlp DOUBLE, q DOUBLE",
+    keep = "point_id BIGINT, class INT, old_half INT, half INT, nlp DOUBLE, q DOUBLE"
+    state = labelled.select(
+        "point_id", "class", F.col("half").alias("old_half"), "half", F.lit(math.inf).alias("nlp"), "q", "y", "corr"
     )
+    for k, part in enumerate(model.slices):
+        last = k == len(model.slices) - 1
+        clusters = [m | {"weight": weights[m["cluster_id"]]} for m in load_slice(model, part)]
+        shared = spark.sparkContext.broadcast({m["cluster_id"]: m for m in clusters})
+
+        def step(batches, shared=shared, last=last):
+            scorers = {}
+            for batch in batches:
+                if batch.num_rows == 0:
+                    continue
+                parent = batch.column("class").to_numpy(zero_copy_only=False)
+                y, corr = K.matrix(batch.column("y")), K.matrix(batch.column("corr"))
+                half = batch.column("half").to_numpy(zero_copy_only=False).copy()
+                nlp = batch.column("nlp").to_numpy(zero_copy_only=False).copy()
+                for c in np.unique(parent).tolist():
+                    if c not in scorers:
+                        held = [shared.value[h] for h in (2 * c, 2 * c + 1) if h in shared.value]
+                        scorers[c] = K.Scorer(held, noise.noise_mean) if held else None
+                    if scorers[c] is None:
+                        continue
+                    at = np.flatnonzero(parent == c)
+                    scores = scorers[c].scores(y[at], corr[at])
+                    best = scores.min(axis=1)
+                    lower = best < nlp[at]
+                    half[at[lower]] = scorers[c].ids[scores.argmin(axis=1)][lower]
+                    nlp[at[lower]] = best[lower]
+                columns = {name: batch.column(name) for name in ("point_id", "class", "old_half")}
+                columns |= {"half": pa.array(half.astype(np.int32)), "nlp": pa.array(nlp), "q": batch.column("q")}
+                if not last:
+                    columns |= {"y": batch.column("y"), "corr": batch.column("corr")}
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+        state = map_arrow(state, step, keep if last else f"{keep}, y ARRAY<DOUBLE>, corr ARRAY<DOUBLE>")
+    return state
 
 
 def _half_summary(assigned: DataFrame) -> list[dict]:
@@ -111,19 +113,15 @@ def local_scores(summary: list[dict], config: MixtureConfig) -> dict[int, tuple[
     return out
 
 
-def try_splits(points, current: DataFrame, score: float, outcome, model, config: MixtureConfig, workspace):
+def try_splits(points, current: DataFrame, score: float, outcome, config: MixtureConfig, workspace):
     """Classes after the accepted splits, or None.  Decisions follow ascending cluster ids.
 
     A split must lower the score inside its cluster and then the total score.  The total for every
     candidate follows from per-class sums: a class outside the candidate changes only through its
     mixing weight.
     """
-    if outcome.alive >= config.max_possible_clusters - 1:
-        log_free = 0
-    else:
-        log_free = config.max_possible_clusters - outcome.alive
     members = current.where(F.col("class") != 0).select("point_id", "class")
-    if log_free == 0 or not members.take(1):
+    if outcome.alive >= config.max_possible_clusters - 1 or not members.take(1):
         return None
 
     # one cluster each, for comparison

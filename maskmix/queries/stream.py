@@ -41,11 +41,18 @@ def stream_scoring(spark, sf):
     return scored.select("point_id", "class", Q.r6(F.col("nlp")).alias("nlp"))
 
 
-@query("st2_stream_chunks", None)
+@query(
+    "st2_stream_chunks",
+    f"""SELECT w * 82800 AS start_second, event_type, count(*) AS n, {S.r6('sum(value)', 4)} AS total
+  FROM (SELECT event_type, value, epoch_us(ts) AS t, (SELECT max(epoch_us(ts)) FROM events) AS latest FROM events) e,
+    (SELECT unnest(range((SELECT min(epoch_us(ts)) // 82800000000 - 1 FROM events), (SELECT max(epoch_us(ts)) // 82800000000 + 1 FROM events))) AS w) c
+  WHERE t >= w * 82800000000 AND t < w * 82800000000 + 86400000000
+    AND w * 82800000000 + 86400000000 <= latest - 600000000 GROUP BY w, event_type""",
+)
 def stream_chunks(spark, sf):
-    """Closed day-long chunks that overlap by an hour."""
-    events = _stream(spark, sf, "events").select("ts", "event_type", "value")
+    """Day-long chunks that overlap by an hour, as far as the watermark has closed them."""
+    events = _stream(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
     totals = chunk_totals(events, "24 hours", "23 hours", "10 minutes")
-    flat = totals.select(F.col("chunk.start").alias("start"), "event_type", "n", "total")
+    flat = totals.select(F.unix_seconds("chunk.start").alias("start_second"), "event_type", "n", "total")
     closed = _drain(flat, Q.workspace(spark, "stream"))
-    return closed.select("start", "event_type", "n", Q.r6(F.col("total"), 4).alias("total"))
+    return closed.select("start_second", "event_type", "n", Q.r6(F.col("total"), 4).alias("total"))
