@@ -21,6 +21,8 @@ CELL_ARROW = pa.schema(
 )
 # Open sums of one task are handed on when they pass this size.
 FLUSH_BYTES = 192 * 1024 * 1024
+# Points per matrix product; keeps the operands in the processor cache.
+ROWS_AT_ONCE = 1024
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -32,6 +34,12 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(n, -1) if n else flat.reshape(0, 0)
 
 
+def list_column(values: np.ndarray) -> pa.Array:
+    """The rows of a 2-d array as a list column."""
+    n, d = values.shape
+    return pa.ListArray.from_arrays(np.arange(0, n * d + 1, d, dtype=np.int32), np.ascontiguousarray(values).ravel())
+
+
 class MomentSums:
     """Running per-class sums of a task."""
 
@@ -210,7 +218,7 @@ class Scorer:
             masked_inverse[k, unmasked] = 0.0
             u = len(unmasked)
             root_inverse = np.asarray(m["root_inverse"], dtype=float).reshape(u, u)
-            self.blocks.append((unmasked, shift[k, unmasked], root_inverse.T))
+            self.blocks.append((unmasked, root_inverse @ shift[k, unmasked, None], root_inverse))
             const[k] = m["log_root_det"] + 0.5 * math.log(2 * math.pi) * d - math.log(m["weight"])
         self.linear = -2.0 * (masked_inverse * shift).T
         self.quadratic = masked_inverse.T.copy()
@@ -220,10 +228,12 @@ class Scorer:
     def mahalanobis(self, rel) -> np.ndarray:
         """Squared distances, points by clusters."""
         out = np.maximum((rel**2) @ self.quadratic + rel @ self.linear + self.offset, 0.0)
+        by_dim = np.ascontiguousarray(rel.T)
         for k, (unmasked, shift, root) in enumerate(self.blocks):
             if len(unmasked):
-                r = (rel[:, unmasked] - shift) @ root
-                out[:, k] += np.einsum("ij,ij->i", r, r)
+                r = root @ by_dim[unmasked]
+                r -= shift
+                out[:, k] += np.einsum("ij,ij->j", r, r)
         return out
 
     def variance_term(self, corr) -> np.ndarray:
@@ -239,6 +249,19 @@ class Scorer:
             member[unmasked, k] = 1.0
         return weights @ member
 
+    def best_two(self, y, corr, held_ids, held, weights=None, floor: float = 0.0):
+        """Two lowest of the scores held so far and this slice's; a cluster that overlaps a point
+        less than ``floor`` is not scored for it."""
+        parts = []
+        for a in range(0, len(y), ROWS_AT_ONCE):
+            at = slice(a, a + ROWS_AT_ONCE)
+            scores = self.scores(y[at], corr[at])
+            if floor > 0:
+                scores[self.overlap(weights[at]) < floor] = math.inf
+            ids = np.concatenate([held_ids[at], np.broadcast_to(self.ids, scores.shape)], axis=1)
+            parts.append(two_lowest(np.concatenate([held[at], scores], axis=1), ids, self.huge))
+        return [np.concatenate(column) for column in zip(*parts)]
+
 
 def two_lowest(scores: np.ndarray, ids: np.ndarray, huge: float):
     """Ids and scores of the best and second-best column; ties go to the earlier column, none is -1."""

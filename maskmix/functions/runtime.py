@@ -7,6 +7,7 @@ import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _shipped: set[str] = set()
 
@@ -23,7 +24,7 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(application)
 
 
-def map_arrow(df: DataFrame, step, schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, step, schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with the package available to the workers."""
     ship_package(df.sparkSession)
     return df.mapInArrow(step, schema)

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from maskmix.functions.arrays import double, double_array, effective_dims
+from maskmix.functions.arrays import double, double_array
+from maskmix.functions.kernels import list_column, matrix
+from maskmix.functions.runtime import map_arrow
 
 
 @dataclass(frozen=True)
@@ -74,10 +78,13 @@ def dimension_model(points: DataFrame) -> DimensionModel:
     )
 
 
+def inverse_span(stats: DimensionModel) -> list[float]:
+    return [1.0 / (h - l) if h > l else 0.0 for l, h in zip(stats.low, stats.high)]
+
+
 def normalise(points: DataFrame, stats: DimensionModel) -> DataFrame:
     """Min-max scale ``x``; a constant dimension becomes zero."""
-    low = double_array(stats.low)
-    inverse = double_array([1.0 / (h - l) if h > l else 0.0 for l, h in zip(stats.low, stats.high)])
+    low, inverse = double_array(stats.low), double_array(inverse_span(stats))
     scaled = F.transform("x", lambda v, i: (v - F.get(low, i)) * F.get(inverse, i))
     return points.withColumn("x", scaled)
 
@@ -93,19 +100,41 @@ def correction(x, w, mean, variance):
     return w * x * x + (1 - w) * (mean * mean + variance) - y * y
 
 
-def mask_expectation(points: DataFrame, noise: DimensionModel) -> DataFrame:
-    """Replace values by expectations ``y``; add corrections ``corr`` and effective dimensions ``q``."""
-    mean, variance = double_array(noise.noise_mean), double_array(noise.noise_variance)
-    cells = F.arrays_zip("x", "w")
-    y = F.transform(cells, lambda c, i: expectation(c["x"], c["w"], F.get(mean, i)))
-    corr = F.transform(cells, lambda c, i: correction(c["x"], c["w"], F.get(mean, i), F.get(variance, i)))
+def mask_expectation(points: DataFrame, noise: DimensionModel, scale: DimensionModel | None = None) -> DataFrame:
+    """Replace values by expectations ``y``; add corrections ``corr`` and effective dimensions ``q``.
+
+    One narrow pass on whole arrays; with ``scale`` the values are min-max scaled on the way.
+    """
+    mean, variance = np.array(noise.noise_mean), np.array(noise.noise_variance)
+    second = mean * mean + variance
+    low, inverse = (np.array(scale.low), np.array(inverse_span(scale))) if scale else (0.0, 1.0)
     rest = [c for c in points.columns if c not in ("x", "w")]
-    return points.select(*rest, y.alias("y"), corr.alias("corr"), "w", effective_dims(F.col("w")).alias("q"))
+    arrays = T.ArrayType(T.DoubleType())
+    schema = T.StructType(
+        [points.schema[c] for c in rest]
+        + [T.StructField(c, arrays) for c in ("y", "corr", "w")]
+        + [T.StructField("q", T.DoubleType())]
+    )
+
+    def step(batches):
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            x, w = matrix(batch.column("x")), matrix(batch.column("w"))
+            x = (x - low) * inverse
+            y = w * x + (1 - w) * mean
+            corr = w * x * x + (1 - w) * second - y * y
+            columns = [batch.column(c) for c in rest]
+            columns += [list_column(y), list_column(corr), list_column(w), pa.array(w.sum(axis=1))]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
+
+    return map_arrow(points.select(*rest, "x", "w"), step, schema)
 
 
 def prepare(points: DataFrame, scale: bool = True) -> tuple[DataFrame, DimensionModel]:
     """Points ready for the model: statistics, optional scaling, masked expectation."""
     stats = dimension_model(points)
-    if scale:
-        points, stats = normalise(points, stats), stats.normalised()
-    return mask_expectation(points, stats), stats
+    if not scale:
+        return mask_expectation(points, stats), stats
+    noise = stats.normalised()
+    return mask_expectation(points, noise, stats), noise

@@ -104,7 +104,7 @@ def assign(
     of the input is kept as ``old_class``.  A cluster whose covariance is singular takes no part.
     """
     spark = points.sparkSession
-    overlap_floor, huge, noise_score = config.min_mask_overlap, config.huge_score, model.noise_score
+    overlap_floor, noise_score = config.min_mask_overlap, model.noise_score
     first_candidates = (0, noise_score) if allow_noise else (-1, math.inf)
     feature_columns = ["y", "corr"] + (["w"] if overlap_floor > 0 else [])
     keep = "point_id BIGINT, old_class INT, class INT, class2 INT, nlp DOUBLE, nlp2 DOUBLE, q DOUBLE"
@@ -130,11 +130,9 @@ def assign(
                     continue
                 held_ids = np.stack([batch.column("class").to_numpy(), batch.column("class2").to_numpy()], axis=1)
                 held = np.stack([batch.column("nlp").to_numpy(), batch.column("nlp2").to_numpy()], axis=1)
-                scores = s.scores(K.matrix(batch.column("y")), K.matrix(batch.column("corr")))
-                if overlap_floor > 0:
-                    scores[s.overlap(K.matrix(batch.column("w"))) < overlap_floor] = math.inf
-                ids = np.concatenate([held_ids, np.broadcast_to(s.ids, scores.shape)], axis=1)
-                c1, v1, c2, v2 = K.two_lowest(np.concatenate([held, scores], axis=1), ids, huge)
+                weights = K.matrix(batch.column("w")) if overlap_floor > 0 else None
+                y, corr = K.matrix(batch.column("y")), K.matrix(batch.column("corr"))
+                c1, v1, c2, v2 = s.best_two(y, corr, held_ids, held, weights, overlap_floor)
                 if last:  # a missing candidate counts as the noise class
                     c1, v1 = np.where(c1 < 0, 0, c1), np.where(c1 < 0, noise_score, v1)
                     c2, v2 = np.where(c2 < 0, 0, c2), np.where(c2 < 0, noise_score, v2)
