@@ -40,6 +40,27 @@ def list_column(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(np.arange(0, n * d + 1, d, dtype=np.int32), np.ascontiguousarray(values).ravel())
 
 
+class Expectation:
+    """Turns raw values and soft masks into expectations and corrections."""
+
+    def __init__(self, mean, variance, low=None, inverse_span=None):
+        self.mean = np.asarray(mean, dtype=float)
+        self.second = self.mean**2 + np.asarray(variance, dtype=float)
+        self.low = None if low is None else np.asarray(low, dtype=float)
+        self.inverse_span = None if inverse_span is None else np.asarray(inverse_span, dtype=float)
+
+    def __call__(self, x, w):
+        if self.low is not None:
+            x = (x - self.low) * self.inverse_span
+        y = w * x + (1 - w) * self.mean
+        return y, w * x * x + (1 - w) * self.second - y * y
+
+    def of(self, batch):
+        """Expectations, corrections and masks of an Arrow batch with columns ``x`` and ``w``."""
+        w = matrix(batch.column("w"))
+        return *self(matrix(batch.column("x")), w), w
+
+
 class MomentSums:
     """Running per-class sums of a task."""
 

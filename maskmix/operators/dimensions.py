@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from maskmix.functions.arrays import double, double_array
-from maskmix.functions.kernels import list_column, matrix
+from maskmix.functions.kernels import Expectation, list_column
 from maskmix.functions.runtime import map_arrow
 
 
@@ -22,6 +21,7 @@ class DimensionModel:
     noise_mean: list[float]
     noise_variance: list[float]
     n_masked: list[int]
+    scaled: bool = False
 
     @property
     def dims(self) -> int:
@@ -35,7 +35,13 @@ class DimensionModel:
             known = n > 0 and s > 0
             mean.append((m - l) / s if known else 0.0)
             variance.append(v / s**2 if known else 0.0)
-        return DimensionModel(self.low, self.high, mean, variance, self.n_masked)
+        return DimensionModel(self.low, self.high, mean, variance, self.n_masked, True)
+
+    def kernel(self) -> Expectation:
+        """The same for use inside tasks; with ``scaled`` raw values are min-max scaled first."""
+        if not self.scaled:
+            return Expectation(self.noise_mean, self.noise_variance)
+        return Expectation(self.noise_mean, self.noise_variance, self.low, inverse_span(self))
 
 
 def explode_dims(points: DataFrame, *arrays: str) -> DataFrame:
@@ -100,14 +106,12 @@ def correction(x, w, mean, variance):
     return w * x * x + (1 - w) * (mean * mean + variance) - y * y
 
 
-def mask_expectation(points: DataFrame, noise: DimensionModel, scale: DimensionModel | None = None) -> DataFrame:
+def mask_expectation(points: DataFrame, noise: DimensionModel) -> DataFrame:
     """Replace values by expectations ``y``; add corrections ``corr`` and effective dimensions ``q``.
 
-    One narrow pass on whole arrays; with ``scale`` the values are min-max scaled on the way.
+    The model steps do this on the fly from ``x`` and ``w``; this form is for results and checks.
     """
-    mean, variance = np.array(noise.noise_mean), np.array(noise.noise_variance)
-    second = mean * mean + variance
-    low, inverse = (np.array(scale.low), np.array(inverse_span(scale))) if scale else (0.0, 1.0)
+    expectations = noise.kernel()
     rest = [c for c in points.columns if c not in ("x", "w")]
     arrays = T.ArrayType(T.DoubleType())
     schema = T.StructType(
@@ -120,10 +124,7 @@ def mask_expectation(points: DataFrame, noise: DimensionModel, scale: DimensionM
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            x, w = matrix(batch.column("x")), matrix(batch.column("w"))
-            x = (x - low) * inverse
-            y = w * x + (1 - w) * mean
-            corr = w * x * x + (1 - w) * second - y * y
+            y, corr, w = expectations.of(batch)
             columns = [batch.column(c) for c in rest]
             columns += [list_column(y), list_column(corr), list_column(w), pa.array(w.sum(axis=1))]
             yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
@@ -131,10 +132,7 @@ def mask_expectation(points: DataFrame, noise: DimensionModel, scale: DimensionM
     return map_arrow(points.select(*rest, "x", "w"), step, schema)
 
 
-def prepare(points: DataFrame, scale: bool = True) -> tuple[DataFrame, DimensionModel]:
-    """Points ready for the model: statistics, optional scaling, masked expectation."""
+def point_model(points: DataFrame, scale: bool = True) -> DimensionModel:
+    """Everything the model steps need to know about the dimensions."""
     stats = dimension_model(points)
-    if not scale:
-        return mask_expectation(points, stats), stats
-    noise = stats.normalised()
-    return mask_expectation(points, noise, stats), noise
+    return stats.normalised() if scale else stats

@@ -35,34 +35,28 @@ MODEL_ARROW = pa.schema(
 
 
 def moment_cells(points: DataFrame, noise: DimensionModel, gram_for_noise: bool = False) -> DataFrame:
-    """Summed moments as ``(class, stat, i, j, v)`` cells, relative to the noise mean.
+    """Summed moments of ``(class, x, w)`` as ``(class, stat, i, j, v)`` cells, relative to the noise mean.
 
     Each task adds up its own points first; the cells are then summed by Spark under the key
     (class, stat, i, j), so even a class that holds most points is spread over many reducers.
     """
-    nu = np.asarray(noise.noise_mean)
+    expectations = noise.kernel()
+    nu = expectations.mean
 
     def partial(batches):
         sums = K.MomentSums(len(nu), gram_for_noise)
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            sums.add(
-                batch.column("class").to_numpy(zero_copy_only=False),
-                K.matrix(batch.column("y")) - nu,
-                K.matrix(batch.column("w")),
-                K.matrix(batch.column("corr")),
-            )
+            y, corr, w = expectations.of(batch)
+            sums.add(batch.column("class").to_numpy(zero_copy_only=False), y - nu, w, corr)
             if sums.bytes > K.FLUSH_BYTES:
                 yield from sums.cells()
                 sums = K.MomentSums(len(nu), gram_for_noise)
         yield from sums.cells()
 
-    cells = map_arrow(points.select("class", "y", "w", "corr"), partial, K.CELL_SCHEMA)
-    return (
-        cells.groupBy("class", "stat", "i", "j")
-        .agg(F.sum("v").alias("v"))
-    )
+    cells = map_arrow(points.select("class", "x", "w"), partial, K.CELL_SCHEMA)
+    return cells.groupBy("class", "stat", "i", "j").agg(F.sum("v").alias("v"))
 
 
 def m_step(points: DataFrame, noise: DimensionModel, config: MixtureConfig) -> DataFrame:

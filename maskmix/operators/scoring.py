@@ -49,7 +49,7 @@ def slice_bytes(dims: int) -> int:
     return 8 * (dims * dims + 4 * dims + 16)
 
 
-def read_model(model: DataFrame, n_points: int, dims: int, config: MixtureConfig, workspace=None) -> MixtureModel:
+def read_model(model: DataFrame, dims: int, config: MixtureConfig, workspace=None) -> MixtureModel:
     """Bring the model to the driver in slices whose size is bounded by the configuration.
 
     The row count is at most ``max_possible_clusters``.  A model too large for one slice is written
@@ -70,7 +70,7 @@ def read_model(model: DataFrame, n_points: int, dims: int, config: MixtureConfig
         singular = [r["cluster_id"] for r in heads if not r["ok"]]
         usable = sorted(c for c in sizes if c and c not in singular)
         slices = [usable[k : k + at_once] for k in range(0, len(usable), at_once)] or [[]]
-    weights = mixing_weights(sizes, n_points, config)
+    weights = mixing_weights(sizes, sum(sizes.values()), config)
     out = MixtureModel(model, sizes, weights, singular)
     if small:
         for r in slices[0]:
@@ -106,9 +106,8 @@ def assign(
     spark = points.sparkSession
     overlap_floor, noise_score = config.min_mask_overlap, model.noise_score
     first_candidates = (0, noise_score) if allow_noise else (-1, math.inf)
-    feature_columns = ["y", "corr"] + (["w"] if overlap_floor > 0 else [])
-    keep = "point_id BIGINT, old_class INT, class INT, class2 INT, nlp DOUBLE, nlp2 DOUBLE, q DOUBLE"
-    features = ", ".join(f"{c} ARRAY<DOUBLE>" for c in feature_columns)
+    expectations = noise.kernel()
+    carried = "point_id BIGINT, old_class INT, class INT, class2 INT, nlp DOUBLE, nlp2 DOUBLE, x ARRAY<DOUBLE>, w ARRAY<DOUBLE>"
     state = points.select(
         "point_id",
         F.col("class").alias("old_class"),
@@ -116,8 +115,8 @@ def assign(
         F.lit(-1).alias("class2"),
         F.lit(first_candidates[1]).cast("double").alias("nlp"),
         F.lit(math.inf).alias("nlp2"),
-        "q",
-        *feature_columns,
+        "x",
+        "w",
     )
     shared = list(_broadcast_scorers(spark, model, noise, config))
     for k, scorer in enumerate(shared):
@@ -130,9 +129,8 @@ def assign(
                     continue
                 held_ids = np.stack([batch.column("class").to_numpy(), batch.column("class2").to_numpy()], axis=1)
                 held = np.stack([batch.column("nlp").to_numpy(), batch.column("nlp2").to_numpy()], axis=1)
-                weights = K.matrix(batch.column("w")) if overlap_floor > 0 else None
-                y, corr = K.matrix(batch.column("y")), K.matrix(batch.column("corr"))
-                c1, v1, c2, v2 = s.best_two(y, corr, held_ids, held, weights, overlap_floor)
+                y, corr, w = expectations.of(batch)
+                c1, v1, c2, v2 = s.best_two(y, corr, held_ids, held, w, overlap_floor)
                 if last:  # a missing candidate counts as the noise class
                     c1, v1 = np.where(c1 < 0, 0, c1), np.where(c1 < 0, noise_score, v1)
                     c2, v2 = np.where(c2 < 0, 0, c2), np.where(c2 < 0, noise_score, v2)
@@ -143,13 +141,11 @@ def assign(
                     "class2": pa.array(c2.astype(np.int32)),
                     "nlp": pa.array(v1),
                     "nlp2": pa.array(v2),
-                    "q": batch.column("q"),
                 }
-                if not last:
-                    columns |= {c: batch.column(c) for c in feature_columns}
+                columns |= {"q": pa.array(w.sum(axis=1))} if last else {c: batch.column(c) for c in ("x", "w")}
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-        state = map_arrow(state, step, keep if last else f"{keep}, {features}")
+        state = map_arrow(state, step, ASSIGN_SCHEMA if last else carried)
     return state
 
 
@@ -157,8 +153,8 @@ def score_matrix(
     points: DataFrame, model: MixtureModel, noise: DimensionModel, config: MixtureConfig
 ) -> DataFrame:
     """Every (point, cluster) score in long form, noise included; for dumps and checks."""
-    spark, noise_score = points.sparkSession, model.noise_score
-    base = points.select("point_id", "class", "y", "corr")
+    spark, noise_score, expectations = points.sparkSession, model.noise_score, noise.kernel()
+    base = points.select("point_id", "class", "x", "w")
     out = base.select(
         "point_id",
         "class",
@@ -175,7 +171,7 @@ def score_matrix(
                 n, k = batch.num_rows, len(s.ids)
                 if n == 0 or k == 0:
                     continue
-                y, corr = K.matrix(batch.column("y")), K.matrix(batch.column("corr"))
+                y, corr, _ = expectations.of(batch)
                 mahal, extra = s.mahalanobis(y - s.nu), s.variance_term(corr)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -196,31 +192,36 @@ def score_matrix(
 def own_scores(
     points: DataFrame, model: MixtureModel, noise: DimensionModel, config: MixtureConfig
 ) -> DataFrame:
-    """Sum of each class's own-cluster scores, the mixing weight left out, with its size."""
-    spark = points.sparkSession
+    """Per class: size, sum of own-cluster scores without the mixing weight, sum of parameter counts."""
+    spark, expectations = points.sparkSession, noise.kernel()
     parts = []
     for scorer in _broadcast_scorers(spark, model, noise, config):
 
         def sums(batches, scorer=scorer):
             s = scorer.value
             place = {c: k for k, c in enumerate(s.ids.tolist())}
-            total, size = np.zeros(len(s.ids)), np.zeros(len(s.ids), dtype=np.int64)
+            total, params = np.zeros(len(s.ids)), np.zeros(len(s.ids))
+            size = np.zeros(len(s.ids), dtype=np.int64)
             weights = np.log([m["weight"] for m in s.clusters])
             for batch in batches:
                 classes = batch.column("class").to_numpy(zero_copy_only=False)
-                y, corr = K.matrix(batch.column("y")), K.matrix(batch.column("corr"))
+                y, corr, w = expectations.of(batch)
+                q = w.sum(axis=1)
                 for c in np.unique(classes).tolist():
                     if c in place:
                         k, at = place[c], classes == c
                         one = K.Scorer([s.clusters[k]], s.nu)
                         total[k] += one.scores(y[at], corr[at]).sum() + at.sum() * weights[k]
                         size[k] += at.sum()
+                        params[k] += (q[at] * (q[at] + 1) / 2 + q[at] + 1).sum()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(s.ids.astype(np.int32)), pa.array(size), pa.array(total)], names=["class", "n", "nlp"]
+                [pa.array(s.ids.astype(np.int32)), pa.array(size), pa.array(total), pa.array(params)],
+                names=["class", "n", "nlp", "params"],
             )
 
-        parts.append(map_arrow(points.select("class", "y", "corr"), sums, "class INT, n BIGINT, nlp DOUBLE"))
+        parts.append(map_arrow(points.select("class", "x", "w"), sums, "class INT, n BIGINT, nlp DOUBLE, params DOUBLE"))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out.groupBy("class").agg(F.sum("n").alias("n"), F.sum("nlp").alias("nlp")).where("n > 0")
+    totals = [F.sum(c).alias(c) for c in ("n", "nlp", "params")]
+    return out.groupBy("class").agg(*totals).where("n > 0")

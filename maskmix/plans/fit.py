@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import math
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -12,12 +13,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from maskmix.config import MixtureConfig
 from maskmix.functions.arrays import random_integer
-from maskmix.operators.dimensions import DimensionModel, prepare
+from maskmix.operators.dimensions import DimensionModel, point_model
 from maskmix.operators.masks import start_classes
 from maskmix.operators.moments import m_step
 from maskmix.operators.scoring import MixtureModel, assign, read_model
 from maskmix.operators.selection import apply_deletion, conclude
-from maskmix.sources.rows import number_sorted
+from maskmix.sources.rows import number_sorted, spread
 from maskmix.workspace import Workspace
 
 log = logging.getLogger("maskmix")
@@ -35,6 +36,7 @@ class PreparedPoints:
     frame: DataFrame
     noise: DimensionModel
     n_points: int
+    parts: int
 
     def release(self):
         self.frame.unpersist()
@@ -55,21 +57,20 @@ class FitResult:
         return spark.createDataFrame([tuple(m.values()) for m in self.metrics], METRICS_SCHEMA)
 
 
-def lay_out(prepared: DataFrame, noise: DimensionModel) -> PreparedPoints:
-    """Partition by point once; later joins with class tables then move only the class tables.
-
-    The number of partitions follows the input scan, hence the data volume.
-    """
-    spark = prepared.sparkSession
-    parts = max(prepared.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)
-    frame = prepared.repartition(parts, "point_id").persist(StorageLevel.MEMORY_AND_DISK)
-    return PreparedPoints(frame, noise, frame.count())
+def lay_out(points: DataFrame, noise: DimensionModel, parts: int) -> PreparedPoints:
+    """Partition by point once; later joins with class tables then move only the class tables."""
+    frame = points.repartition(parts, "point_id").persist(StorageLevel.MEMORY_AND_DISK)
+    return PreparedPoints(frame, noise, frame.count(), parts)
 
 
 def prepare_points(points: DataFrame, config: MixtureConfig) -> PreparedPoints:
-    """Statistics, scaling and masked expectation of ``(point_id, x, w)``."""
-    frame, noise = prepare(points.select("point_id", "x", "w"), config.normalise)
-    return lay_out(frame, noise)
+    """Dimension statistics and layout of ``(point_id, x, w)``, best given as a table scan.
+
+    The number of partitions follows the scan, hence the data volume.  Points stay raw: the model
+    steps scale and mask them on the fly, so no wider copy is shuffled or kept.
+    """
+    points, parts = spread(points.select("point_id", "x", "w"))
+    return lay_out(points, point_model(points, config.normalise), parts)
 
 
 def with_class(points: PreparedPoints, classes: DataFrame) -> DataFrame:
@@ -120,7 +121,7 @@ def expectation_maximisation(
     while True:
         began = time.perf_counter()
         labelled = with_class(points, current)
-        model = read_model(m_step(labelled, points.noise, config), n, dims, config, workspace)
+        model = read_model(m_step(labelled, points.noise, config), dims, config, workspace)
         for c in model.singular:
             log.info("class %d (%d points): covariance is singular, left out", c, model.counts[c])
         assigned = workspace.save(
@@ -202,7 +203,9 @@ def fit_on_subset(
     the penalties of the full assignment.
     """
     ids = choose_subset(points.frame, config.subset, seed, workspace)
-    part = lay_out(points.frame.join(ids, "point_id", "left_semi"), points.noise)
+    cores = points.frame.sparkSession.sparkContext.defaultParallelism
+    parts = max(cores, math.ceil(points.parts / config.subset))
+    part = lay_out(points.frame.join(ids, "point_id", "left_semi"), points.noise, parts)
     start, k = start_classes(part.frame, starting_clusters, config, seed)
     fitted = expectation_maximisation(part, start, config, workspace, k, run, on_better=hooks.on_better)
     part.release()

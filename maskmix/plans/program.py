@@ -8,7 +8,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 
 from maskmix.config import MixtureConfig
-from maskmix.operators.dimensions import prepare
+from maskmix.operators.dimensions import point_model
 from maskmix.operators.moments import m_step
 from maskmix.operators.scoring import read_model, score_matrix
 from maskmix.plans.fit import FitResult, Hooks, fit, resume
@@ -51,13 +51,13 @@ def write_outputs(points: DataFrame, result: FitResult, config: MixtureConfig, w
         ranked = sinks.write_sorted_points(points, width, base, n, workspace)
         sinks.write_sorted_labels(ranked, result.classes, base, n)
     if config.save_covariance_means or config.dist_dump:
-        prepared, noise = prepare(points, config.normalise)
-        classed = prepared.join(result.classes, "point_id")
+        noise = point_model(points, config.normalise)
+        classed = points.join(result.classes, "point_id")
         table = workspace.save(m_step(classed, noise, config), "final-model")
         if config.save_covariance_means:
             sinks.write_means(table, f"{base}.mean.{n}")
         if config.dist_dump:
-            model = read_model(table, classed.count(), noise.dims, config, workspace)
+            model = read_model(table, noise.dims, config, workspace)
             sinks.write_scores(score_matrix(classed, model, noise, config), f"{base}.scores.{n}")
 
 

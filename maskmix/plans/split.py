@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 from maskmix.config import MixtureConfig
 from maskmix.functions import kernels as K
 from maskmix.functions.runtime import map_arrow
-from maskmix.functions.arrays import parameter_count, portable_hash
+from maskmix.functions.arrays import effective_dims, parameter_count, portable_hash
 from maskmix.operators.moments import m_step
 from maskmix.operators.scoring import load_slice, own_scores, read_model
 from maskmix.operators.selection import class_penalty
@@ -43,7 +43,7 @@ def _halves_model(points, halves, config, workspace):
     labelled = points.frame.join(halves.hint("shuffle_hash"), "point_id")
     model = read_model(
         m_step(labelled.drop("class").withColumnRenamed("half", "class"), points.noise, config),
-        points.n_points, points.noise.dims, config, workspace,
+        points.noise.dims, config, workspace,
     )
     weights = sub_weights({c: n for c, n in model.counts.items() if c}, config)
     return labelled, model, weights
@@ -51,10 +51,10 @@ def _halves_model(points, halves, config, workspace):
 
 def assign_halves(labelled: DataFrame, model, weights: dict[int, float], noise) -> DataFrame:
     """The better half of each point's own cluster; one narrow pass per model slice."""
-    spark = labelled.sparkSession
-    keep = "point_id BIGINT, class INT, old_half INT, half INT, nlp DOUBLE, q DOUBLE"
+    spark, expectations = labelled.sparkSession, noise.kernel()
+    keep = "point_id BIGINT, class INT, old_half INT, half INT, nlp DOUBLE"
     state = labelled.select(
-        "point_id", "class", F.col("half").alias("old_half"), "half", F.lit(math.inf).alias("nlp"), "q", "y", "corr"
+        "point_id", "class", F.col("half").alias("old_half"), "half", F.lit(math.inf).alias("nlp"), "x", "w"
     )
     for k, part in enumerate(model.slices):
         last = k == len(model.slices) - 1
@@ -67,7 +67,7 @@ def assign_halves(labelled: DataFrame, model, weights: dict[int, float], noise)
                 if batch.num_rows == 0:
                     continue
                 parent = batch.column("class").to_numpy(zero_copy_only=False)
-                y, corr = K.matrix(batch.column("y")), K.matrix(batch.column("corr"))
+                y, corr, w = expectations.of(batch)
                 half = batch.column("half").to_numpy(zero_copy_only=False).copy()
                 nlp = batch.column("nlp").to_numpy(zero_copy_only=False).copy()
                 for c in np.unique(parent).tolist():
@@ -83,12 +83,11 @@ def assign_halves(labelled: DataFrame, model, weights: dict[int, float], noise)
                     half[at[lower]] = scorers[c].ids[scores.argmin(axis=1)][lower]
                     nlp[at[lower]] = best[lower]
                 columns = {name: batch.column(name) for name in ("point_id", "class", "old_half")}
-                columns |= {"half": pa.array(half.astype(np.int32)), "nlp": pa.array(nlp), "q": batch.column("q")}
-                if not last:
-                    columns |= {"y": batch.column("y"), "corr": batch.column("corr")}
+                columns |= {"half": pa.array(half.astype(np.int32)), "nlp": pa.array(nlp)}
+                columns |= {"q": pa.array(w.sum(axis=1))} if last else {c: batch.column(c) for c in ("x", "w")}
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-        state = map_arrow(state, step, keep if last else f"{keep}, y ARRAY<DOUBLE>, corr ARRAY<DOUBLE>")
+        state = map_arrow(state, step, keep + (", q DOUBLE" if last else ", x ARRAY<DOUBLE>, w ARRAY<DOUBLE>"))
     return state
 
 
@@ -146,22 +145,15 @@ def try_splits(points, current: DataFrame, score: float, outcome, config: Mixtur
     # class sums without mixing weights, for whole clusters and for halves
     n = points.n_points
     whole_points = points.frame.join(current.select("point_id", "class").hint("shuffle_hash"), "point_id")
-    whole_model = read_model(m_step(whole_points, points.noise, config), n, points.noise.dims, config, workspace)
+    whole_model = read_model(m_step(whole_points, points.noise, config), points.noise.dims, config, workspace)
     whole = {r["class"]: r for r in own_scores(whole_points, whole_model, points.noise, config).collect()}
     labelled, two, _ = _halves_model(points, halves, config, workspace)
     half_points = labelled.drop("class").withColumnRenamed("half", "class")
     part = {r["class"]: r for r in own_scores(half_points, two, points.noise, config).collect()}
-    params = {
-        r["class"]: r["params"]
-        for r in whole_points.groupBy("class").agg(F.avg(parameter_count(F.col("q"))).alias("params")).collect()
-    }
-    half_params = {r["half"]: r["params"] for r in summary}
-
-    pieces = {
-        c: {"n": r["n"], "nlp": r["nlp"], "params": params[c]} for c, r in whole.items()
-    }
+    pieces = {c: {"n": r["n"], "nlp": r["nlp"], "params": r["params"] / r["n"]} for c, r in whole.items()}
     noise_n = whole_model.counts.get(0, 0)
-    noise_penalty = class_penalty(params[0], n, config) if 0 in params else 0.0
+    noise_params = whole_points.where("class = 0").agg(F.avg(parameter_count(effective_dims(F.col("w"))))).first()[0]
+    noise_penalty = class_penalty(noise_params or 0.0, n, config)
     used = set(whole_model.counts) | {0}
     taken: dict[int, int] = {}
     for c in promising:
@@ -172,7 +164,7 @@ def try_splits(points, current: DataFrame, score: float, outcome, config: Mixtur
             break
         trial = {k: v for k, v in pieces.items() if k != c}
         for half, name in ((2 * c, c), (2 * c + 1, free)):
-            trial[name] = {"n": part[half]["n"], "nlp": part[half]["nlp"], "params": half_params[half]}
+            trial[name] = {"n": part[half]["n"], "nlp": part[half]["nlp"], "params": part[half]["params"] / part[half]["n"]}
         total = n + config.noise_point + config.prior_point * len(trial)
         new_score = -noise_n * math.log((noise_n + config.noise_point) / total) + noise_penalty
         for t in trial.values():

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from maskmix.config import MixtureConfig
-from maskmix.functions.arrays import double, parameter_count
+from maskmix.functions.arrays import double, effective_dims, parameter_count
 from maskmix.functions.kernels import SUM_CORR, SUM_W
 from maskmix.operators.dimensions import dimension_table
 from maskmix.operators.masks import distinct_masks, with_mask
@@ -156,9 +156,10 @@ PENALTY = """penalty AS (
     S.with_(S.CELLS, S.DIMS, S.POINTS, PENALTY) + f"SELECT class, n, {S.r6('params')} AS params, {S.r6('penalty')} AS penalty FROM penalty",
 )
 def penalty_by_class(spark, sf):
-    points, _ = Q.embedding_prepared(spark, sf)
+    points = Q.embedding_points(spark, sf)
     n = points.count()
-    rows = points.groupBy("class").agg(F.count("*").alias("n"), F.avg(parameter_count(F.col("q"))).alias("params"))
+    params = parameter_count(effective_dims(F.col("w")))
+    rows = points.groupBy("class").agg(F.count("*").alias("n"), F.avg(params).alias("params"))
     penalty = F.col("params") * double(class_penalty(1.0, n, MixtureConfig()))
     return rows.select("class", "n", Q.r6(F.col("params")).alias("params"), Q.r6(penalty).alias("penalty"))
 

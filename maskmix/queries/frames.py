@@ -10,6 +10,7 @@ from maskmix.config import MixtureConfig
 from maskmix.operators.dimensions import DimensionModel, dimension_model, explode_dims, mask_expectation, normalise
 from maskmix.operators.moments import m_step
 from maskmix.operators.scoring import MixtureModel, assign, read_model
+from maskmix.sources.rows import spread
 from maskmix.workspace import Workspace
 
 # Every dimension counts as masked, so covariances are diagonal and SQL can repeat the scores.
@@ -31,7 +32,7 @@ def soft_mask(x: Column, slope: float) -> Column:
 
 def embedding_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``point_id, class, x, w``: 64 features, start class and a soft mask that grows with |x|."""
-    e = table(spark, sf_dir, "embeddings")
+    e, _ = spread(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
     return e.select(
         F.col("vec_id").alias("point_id"),
         F.col("label").alias("class"),
@@ -44,10 +45,14 @@ def embedding_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embedding_prepared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DimensionModel]:
-    """Expectations and corrections on the raw feature scale."""
+    """Points with their noise model on the raw feature scale."""
     points = embedding_points(spark, sf_dir)
-    noise = dimension_model(points)
-    return mask_expectation(points, noise), noise
+    return points, dimension_model(points)
+
+
+def embedding_expected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points with expectations ``y`` and corrections ``corr``."""
+    return mask_expectation(*embedding_prepared(spark, sf_dir))
 
 
 LINEITEM_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -55,7 +60,7 @@ LINEITEM_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 def lineitem_prepared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DimensionModel]:
     """Four scaled features of every line; class is the line number from zero, mask 2x up to one."""
-    lines = table(spark, sf_dir, "lineitem")
+    lines, _ = spread(table(spark, sf_dir, "lineitem").select("l_linenumber", *LINEITEM_FEATURES))
     points = lines.select(
         F.monotonically_increasing_id().alias("point_id"),
         (F.col("l_linenumber") - 1).alias("class"),
@@ -68,13 +73,12 @@ def lineitem_prepared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Dime
     n = len(LINEITEM_FEATURES)
     stats = DimensionModel(list(ranges[:n]), list(ranges[n:]), [0.0] * n, [0.0] * n, [0] * n)
     scaled = normalise(points, stats).withColumn("w", soft_mask(F.col("x"), 2.0))
-    noise = dimension_model(scaled)
-    return mask_expectation(scaled, noise), noise
+    return scaled, dimension_model(scaled)
 
 
 def fitted(points: DataFrame, noise: DimensionModel, config: MixtureConfig) -> MixtureModel:
     """One M-step on the given classes."""
-    return read_model(m_step(points, noise, config), points.count(), noise.dims, config)
+    return read_model(m_step(points, noise, config), noise.dims, config)
 
 
 def diagonal_assignment(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, MixtureModel, int]:

@@ -29,8 +29,8 @@ from maskmix.queries.registry import query
 def m_step_model(spark, sf):
     """Sizes, weights, means, variances and determinants of the line-item classes."""
     points, noise = Q.lineitem_prepared(spark, sf)
-    table = m_step(points, noise, MixtureConfig())
-    model = read_model(table, points.count(), noise.dims, MixtureConfig())
+    table = Q.workspace(spark, "model").save(m_step(points, noise, MixtureConfig()), "model")
+    model = read_model(table, noise.dims, MixtureConfig())
     weight = F.create_map(*[F.lit(v) for c in sorted(model.weights) for v in (c, model.weights[c])])
     u = F.size("unmasked")
     columns = []

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from maskmix.config import MixtureConfig
 from maskmix.functions.arrays import double, portable_hash_sql, portable_uniform_sql
-from maskmix.operators.dimensions import dimension_table, expectation, explode_dims
+from maskmix.operators.dimensions import dimension_table, expectation, explode_dims, mask_expectation
 from maskmix.operators.masks import distinct_masks, nearest_mask, sample_masks, with_mask
 from maskmix.operators.moments import m_step
 from maskmix.operators.scoring import score_matrix
@@ -47,7 +47,7 @@ def points_with_noise(spark, sf):
 def points_with_own_cluster(spark, sf):
     points, noise = Q.embedding_prepared(spark, sf)
     model = m_step(points, noise, MixtureConfig()).select(F.col("cluster_id").alias("class"), "mean")
-    joined = points.select("point_id", "class", "y").join(model, "class")
+    joined = mask_expectation(points, noise).select("point_id", "class", "y").join(model, "class")
     squares = F.zip_with("y", "mean", lambda y, m: (y - m) * (y - m))
     return joined.select("point_id", Q.r6(F.aggregate(squares, double(0), lambda s, v: s + v)).alias("squared_distance"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from maskmix.config import MixtureConfig
 from maskmix.functions import arrays as A
-from maskmix.operators.dimensions import dimension_model, explode_dims, normalise
+from maskmix.operators.dimensions import dimension_model, explode_dims, mask_expectation, normalise
 from maskmix.operators.moments import m_step
 from maskmix.operators.scoring import assign, score_matrix
 from maskmix.plans.fit import choose_subset
@@ -72,13 +72,13 @@ def effective_dims(spark, sf):
 
 @query("prj6_masked_expectation", S.with_(*S.PREPARED) + f"SELECT point_id, dim, {S.r6('y')} AS y FROM expected")
 def masked_expectation(spark, sf):
-    points, _ = Q.embedding_prepared(spark, sf)
+    points = Q.embedding_expected(spark, sf)
     return explode_dims(points.select("point_id", "y"), "y").select("point_id", "dim", Q.r6(F.col("y")).alias("y"))
 
 
 @query("prj7_correction_term", S.with_(*S.PREPARED) + f"SELECT point_id, dim, {S.r6('corr')} AS corr FROM expected")
 def correction_term(spark, sf):
-    points, _ = Q.embedding_prepared(spark, sf)
+    points = Q.embedding_expected(spark, sf)
     cells = explode_dims(points.select("point_id", "corr"), "corr")
     return cells.select("point_id", "dim", Q.r6(F.col("corr")).alias("corr"))
 
@@ -91,7 +91,7 @@ def correction_term(spark, sf):
 def residual_to_own_mean(spark, sf):
     points, noise = Q.embedding_prepared(spark, sf)
     means = m_step(points, noise, MixtureConfig()).select(F.col("cluster_id").alias("class"), "mean")
-    joined = points.select("point_id", "class", "y").join(means, "class")
+    joined = mask_expectation(points, noise).select("point_id", "class", "y").join(means, "class")
     cells = joined.select("point_id", F.zip_with("y", "mean", lambda y, m: y - m).alias("residual"))
     return explode_dims(cells, "residual").select("point_id", "dim", Q.r6(F.col("residual")).alias("residual"))
 
@@ -109,7 +109,7 @@ SUBSET = f"""chosen AS (
 )
 def row_subset(spark, sf):
     """A subset keeps the noise model and corrections of all points."""
-    points, _ = Q.embedding_prepared(spark, sf)
+    points = Q.embedding_expected(spark, sf)
     ids = choose_subset(points, 4, 1, Q.workspace(spark, "subset"))
     return points.join(ids, "point_id", "left_semi").select("point_id", "class", Q.r6(F.col("q")).alias("q"))
 
@@ -129,7 +129,8 @@ def gather_unmasked(spark, sf):
     """The columns of each point that its own cluster leaves unmasked."""
     points, noise = Q.embedding_prepared(spark, sf)
     model = m_step(points, noise, MixtureConfig()).select(F.col("cluster_id").alias("class"), "unmasked")
-    joined = points.where("class <> 0").select("point_id", "class", "y").join(model, "class")
+    expected = mask_expectation(points.where("class <> 0"), noise)
+    joined = expected.select("point_id", "class", "y").join(model, "class")
     gathered = joined.select("point_id", "unmasked", F.transform("unmasked", lambda i: F.get("y", i)).alias("y"))
     return explode_dims(gathered, "unmasked", "y").select(
         "point_id", F.col("unmasked").alias("dim"), Q.r6(F.col("y")).alias("y")

@@ -1,10 +1,19 @@
-"""Dense row numbers without a single-task window."""
+"""Row placement: partitions for small scans, dense row numbers without a single-task window."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
 
+def spread(df: DataFrame) -> tuple[DataFrame, int]:
+    """A scan with at least one partition per core, and its partition count.
+
+    Only a table too small to occupy the cores is moved; a large scan stays as it is.
+    """
+    parts, cores = df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism
+    return (df, parts) if parts >= cores else (df.repartition(cores), cores)
+
+
 def number_rows(df: DataFrame, name: str, order: list[str] | None = None) -> DataFrame:
     """Add a dense zero-based ``name`` in the current order of rows.
 

@@ -10,7 +10,7 @@ from brute import Dense
 from conftest import blobs
 from maskmix.config import MixtureConfig
 from maskmix.functions import kernels as K
-from maskmix.operators.dimensions import dimension_model, prepare
+from maskmix.operators.dimensions import dimension_model, mask_expectation, point_model
 from maskmix.operators.moments import m_step, mixing_weights, moment_cells
 from maskmix.operators.scoring import assign, own_scores, read_model, score_matrix
 from maskmix.operators.selection import classical_penalty, conclude, deletion_candidate
@@ -18,6 +18,16 @@ from maskmix.plans.fit import expectation_maximisation, fit, is_full_step, prepa
 from maskmix.workspace import Workspace
 
 
+def prepare(points):
+    """Points as the model steps take them, and their dimension model."""
+    return points, point_model(points)
+
+
+def expected(points):
+    model = point_model(points)
+    return mask_expectation(points, model), model
+
+
 def values(frame, *columns, key="point_id"):
     rows = frame.orderBy(key).select(*columns).collect()
     return [np.array(c) for c in zip(*rows)]
@@ -51,7 +61,7 @@ def test_loop_with_other_prior_and_penalty(make_points, make_classes):
 
 def test_full_masks_need_no_correction(make_points):
     x, _, _ = blobs(3)
-    frame, noise = prepare(make_points(x, np.ones_like(x)))
+    frame, noise = expected(make_points(x, np.ones_like(x)))
     assert noise.noise_mean == [0.0] * 5 and noise.noise_variance == [0.0] * 5 and noise.n_masked == [0] * 5
     (corr,) = values(frame, "corr")
     np.testing.assert_allclose(corr, 0, atol=1e-12)
@@ -59,7 +69,7 @@ def test_full_masks_need_no_correction(make_points):
 
 def test_hidden_points_equal_noise(make_points, make_classes):
     x, _, _ = blobs(4, n=30)
-    frame, noise = prepare(make_points(x, np.zeros_like(x)))
+    frame, noise = expected(make_points(x, np.zeros_like(x)))
     y, corr = values(frame, "y", "corr")
     np.testing.assert_allclose(y, np.tile(noise.noise_mean, (30, 1)))
     np.testing.assert_allclose(corr, np.tile(noise.noise_variance, (30, 1)), atol=1e-12)
@@ -69,7 +79,7 @@ def test_hidden_points_equal_noise(make_points, make_classes):
 def test_constant_dimension_scales_to_zero(make_points):
     x, w, _ = blobs(6)
     x[:, 2] = 7.0
-    frame, noise = prepare(make_points(x, w))
+    frame, noise = expected(make_points(x, w))
     (y,) = values(frame, "y")
     assert noise.noise_variance[2] == 0 and not y[:, 2].any()
 
@@ -105,8 +115,8 @@ def test_sliced_model_gives_the_same_classes(spark, make_points, make_classes):
     frame, noise = prepare(make_points(x, w))
     frame = frame.join(make_classes(start), "point_id").cache()
     columns = ["old_class", "class", "class2", "nlp", "nlp2"]
-    one = read_model(m_step(frame, noise, whole), 120, 5, whole)
-    many = read_model(m_step(frame, noise, small), 120, 5, small, Workspace(spark))
+    one = read_model(m_step(frame, noise, whole), 5, whole)
+    many = read_model(m_step(frame, noise, small), 5, small, Workspace(spark))
     assert len(one.slices) == 1 and len(many.slices) == 6
     a = values(assign(frame, one, noise, whole), *columns)
     b = values(assign(frame, many, noise, small), *columns)
@@ -124,7 +134,7 @@ def test_score_matrix_and_own_scores_agree(make_points, make_classes):
     config = MixtureConfig(points_for_cluster_mask=4)
     frame, noise = prepare(make_points(x, w))
     frame = frame.join(make_classes(label), "point_id").cache()
-    model = read_model(m_step(frame, noise, config), 90, 5, config)
+    model = read_model(m_step(frame, noise, config), 5, config)
     dense = Dense(x, w, config)
     want = {c: dense.score(m) for c, m in dense.models(label).items()}
     for r in score_matrix(frame, model, noise, config).collect():
@@ -139,7 +149,7 @@ def test_no_noise_assignment_and_overlap_floor(make_points, make_classes):
     frame, noise = prepare(make_points(x, w))
     frame = frame.join(make_classes(label), "point_id").cache()
     config = MixtureConfig(points_for_cluster_mask=4)
-    model = read_model(m_step(frame, noise, config), 90, 5, config)
+    model = read_model(m_step(frame, noise, config), 5, config)
     c, c2 = values(assign(frame, model, noise, config, allow_noise=False), "class", "class2")
     assert set(c) <= {1, 2} and not (c == c2).any()
     strict = MixtureConfig(points_for_cluster_mask=4, min_mask_overlap=2.0)
