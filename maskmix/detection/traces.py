@@ -18,7 +18,7 @@ from maskmix.functions.arrays import double, portable_hash
 from maskmix.functions.runtime import apply_arrow, map_arrow
 from maskmix.workspace import Workspace
 
-SALTS = 64
+LEAST_SALTS = 64
 
 
 def chunk_rows(traces: DataFrame, config: DetectionConfig, rate: float) -> DataFrame:
@@ -202,7 +202,8 @@ def principal_axes(waves: DataFrame, config: DetectionConfig) -> DataFrame:
     """
     length = config.extract_s_before + config.extract_s_after
     rank = (portable_hash(F.col("component"), config.random_seed), F.col("component"))
-    salted = waves.withColumn("salt", portable_hash(F.col("component"), config.random_seed + 1) % SALTS)
+    salts = max(LEAST_SALTS, int(waves.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    salted = waves.withColumn("salt", portable_hash(F.col("component"), config.random_seed + 1) % salts)
     most = config.pca_n_waveforms_max
     for keys in (["channel", "salt"], ["channel"]):  # a busy channel is cut down in parts first
         place = F.row_number().over(Window.partitionBy(*keys).orderBy(*rank))

@@ -49,6 +49,20 @@ def slice_bytes(dims: int) -> int:
     return 8 * (dims * dims + 4 * dims + 16)
 
 
+def collect_arrays(rows: DataFrame) -> list[dict]:
+    """Rows with list columns as numpy arrays; Arrow keeps numbers out of Python objects."""
+    table = rows.toArrow()
+    out = []
+    for name in table.column_names:
+        column = table.column(name)
+        if pa.types.is_list(column.type):
+            values = [v.values.to_numpy(zero_copy_only=False) for v in column]
+        else:
+            values = column.to_pylist()
+        out.append(values)
+    return [dict(zip(table.column_names, row)) for row in zip(*out)]
+
+
 def read_model(model: DataFrame, dims: int, config: MixtureConfig, workspace=None) -> MixtureModel:
     """Bring the model to the driver in slices whose size is bounded by the configuration.
 
@@ -60,7 +74,7 @@ def read_model(model: DataFrame, dims: int, config: MixtureConfig, workspace=Non
     if not small and workspace is not None:
         model = workspace.save(model, "model")
     if small:
-        rows = [r.asDict() for r in model.select(*SCORE_COLUMNS, "n", "ok").collect()]
+        rows = collect_arrays(model.select(*SCORE_COLUMNS, "n", "ok"))
         sizes = {r["cluster_id"]: r["n"] for r in rows}
         singular = [r["cluster_id"] for r in rows if not r["ok"]]
         slices = [[r for r in rows if r["cluster_id"] and r["ok"]]]
@@ -82,8 +96,8 @@ def read_model(model: DataFrame, dims: int, config: MixtureConfig, workspace=Non
 def load_slice(model: MixtureModel, part: list) -> list[dict]:
     if not part or isinstance(part[0], dict):
         return part
-    rows = model.table.where(F.col("cluster_id").isin(part)).select(*SCORE_COLUMNS).collect()
-    return [r.asDict() | {"weight": model.weights[r["cluster_id"]]} for r in rows]
+    rows = collect_arrays(model.table.where(F.col("cluster_id").isin(part)).select(*SCORE_COLUMNS))
+    return [r | {"weight": model.weights[r["cluster_id"]]} for r in rows]
 
 
 def _broadcast_scorers(spark, model: MixtureModel, noise: DimensionModel, config: MixtureConfig):

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from maskmix.config import MixtureConfig
-from maskmix.operators.dimensions import DimensionModel, dimension_model, explode_dims, mask_expectation, normalise
+from maskmix.operators.dimensions import DimensionModel, dimension_model, explode_dims, mask_expectation
 from maskmix.operators.moments import m_step
 from maskmix.operators.scoring import MixtureModel, assign, read_model
 from maskmix.sources.rows import spread
@@ -61,19 +61,22 @@ LINEITEM_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 def lineitem_prepared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DimensionModel]:
     """Four scaled features of every line; class is the line number from zero, mask 2x up to one."""
     lines, _ = spread(table(spark, sf_dir, "lineitem").select("l_linenumber", *LINEITEM_FEATURES))
-    points = lines.select(
-        F.monotonically_increasing_id().alias("point_id"),
-        (F.col("l_linenumber") - 1).alias("class"),
-        F.array(*LINEITEM_FEATURES).alias("x"),
-    )
     ranges = lines.agg(
         *[F.min(c).alias(f"low_{c}") for c in LINEITEM_FEATURES],
         *[F.max(c).alias(f"high_{c}") for c in LINEITEM_FEATURES],
     ).first()
     n = len(LINEITEM_FEATURES)
-    stats = DimensionModel(list(ranges[:n]), list(ranges[n:]), [0.0] * n, [0.0] * n, [0] * n)
-    scaled = normalise(points, stats).withColumn("w", soft_mask(F.col("x"), 2.0))
-    return scaled, dimension_model(scaled)
+    scaled = [
+        (F.col(c) - F.lit(low)) / F.lit(high - low)
+        for c, low, high in zip(LINEITEM_FEATURES, ranges[:n], ranges[n:])
+    ]
+    points = lines.select(
+        F.monotonically_increasing_id().alias("point_id"),
+        (F.col("l_linenumber") - 1).alias("class"),
+        F.array(*scaled).alias("x"),
+        F.array(*[F.least(F.lit(1.0), 2 * F.abs(v)) for v in scaled]).alias("w"),
+    )
+    return points, dimension_model(points)
 
 
 def fitted(points: DataFrame, noise: DimensionModel, config: MixtureConfig) -> MixtureModel:

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 def spread(df: DataFrame) -> tuple[DataFrame, int]:
     """A scan with at least one partition per core, and its partition count.
 
-    Only a table too small to occupy the cores is moved; a large scan stays as it is.
+    Only a table too small to occupy the cores is moved; a large scan stays as it is.  Hashing whole
+    rows needs no sort, unlike dealing them out in turn.
     """
     parts, cores = df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism
-    return (df, parts) if parts >= cores else (df.repartition(cores), cores)
+    return (df, parts) if parts >= cores else (df.repartition(cores, *df.columns), cores)
 
 
 def number_rows(df: DataFrame, name: str, order: list[str] | None = None) -> DataFrame:
