@@ -16,6 +16,7 @@ from maskmix.detection.config import DetectionConfig
 from maskmix.detection.probe import neighbour_pairs
 from maskmix.functions.arrays import double, portable_hash
 from maskmix.functions.runtime import apply_arrow, map_arrow
+from maskmix.sources.rows import join_small
 from maskmix.workspace import Workspace
 
 LEAST_SALTS = 64
@@ -103,7 +104,7 @@ def crossings(filtered: DataFrame, limits: DataFrame, config: DetectionConfig) -
         row = limits.first()
         joined = filtered.withColumn("weak", double(row["weak"])).withColumn("strong_limit", double(row["strong"]))
     else:
-        joined = filtered.join(limits.withColumnRenamed("strong", "strong_limit"), "channel")
+        joined = join_small(filtered, limits.withColumnRenamed("strong", "strong_limit"), "channel")
     out = joined.withColumn("height", height).where(F.col("height") > F.col("weak"))
     strong = F.when(F.col("height") > F.col("strong_limit"), 1).otherwise(0)
     return out.select("sample", "channel", "v", "height", strong.alias("strong"))
@@ -119,7 +120,7 @@ def crossing_edges(nodes: DataFrame, edges: DataFrame, join_size: int) -> DataFr
     same = nodes.select("channel").distinct().select(F.col("channel").alias("src"), F.col("channel").alias("dst"))
     reach = pairs.union(same).select(F.col("src").alias("channel"), F.col("dst").alias("other"))
     steps = F.explode(F.array(*[F.lit(s) for s in range(join_size + 1)]))
-    wanted = nodes.select("node", "sample", "channel").join(reach, "channel").select(
+    wanted = join_small(nodes.select("node", "sample", "channel"), reach, "channel").select(
         F.col("node").alias("a"), F.col("sample"), F.col("other"), steps.alias("step")
     )
     wanted = wanted.select("a", (F.col("sample") + F.col("step")).alias("sample"), F.col("other").alias("channel"))
@@ -257,7 +258,7 @@ def principal_axes(waves: DataFrame, config: DetectionConfig) -> DataFrame:
 def waveform_features(waves: DataFrame, axes: DataFrame, config: DetectionConfig) -> DataFrame:
     """Projection of every waveform on its channel's axes."""
     length = config.extract_s_before + config.extract_s_after
-    joined = waves.join(axes, "channel")
+    joined = join_small(waves, axes, "channel")
     centred = F.zip_with("wave", "centre", lambda w, m: w - m)
 
     def project(k: int):

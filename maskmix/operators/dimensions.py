@@ -21,6 +21,7 @@ class DimensionModel:
     noise_mean: list[float]
     noise_variance: list[float]
     n_masked: list[int]
+    n_points: int
     scaled: bool = False
 
     @property
@@ -35,7 +36,7 @@ class DimensionModel:
             known = n > 0 and s > 0
             mean.append((m - l) / s if known else 0.0)
             variance.append(v / s**2 if known else 0.0)
-        return DimensionModel(self.low, self.high, mean, variance, self.n_masked, True)
+        return DimensionModel(self.low, self.high, mean, variance, self.n_masked, self.n_points, True)
 
     def kernel(self) -> Expectation:
         """The same for use inside tasks; with ``scaled`` raw values are min-max scaled first."""
@@ -68,6 +69,7 @@ def dimension_table(points: DataFrame) -> DataFrame:
             F.coalesce(F.avg(noise), double(0)).alias("noise_mean"),
             F.coalesce(F.var_pop(noise), double(0)).alias("noise_variance"),
             F.count(noise).alias("n_masked"),
+            F.count("*").alias("n_points"),
         )
     )
 
@@ -81,6 +83,7 @@ def dimension_model(points: DataFrame) -> DimensionModel:
         [r["noise_mean"] for r in rows],
         [r["noise_variance"] for r in rows],
         [r["n_masked"] for r in rows],
+        rows[0]["n_points"] if rows else 0,
     )
 
 

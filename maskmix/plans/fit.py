@@ -23,6 +23,8 @@ from maskmix.workspace import Workspace
 
 log = logging.getLogger("maskmix")
 
+LEAST_POINTS_PER_TASK = 1024
+
 METRICS_SCHEMA = (
     "run INT, iteration INT, step STRING, alive INT, deleted INT, deleted_points BIGINT, changed BIGINT, "
     "raw DOUBLE, penalty DOUBLE, score DOUBLE, did_split INT, seconds DOUBLE, d2n DOUBLE, d3n DOUBLE"
@@ -57,10 +59,14 @@ class FitResult:
         return spark.createDataFrame([tuple(m.values()) for m in self.metrics], METRICS_SCHEMA)
 
 
-def lay_out(points: DataFrame, noise: DimensionModel, parts: int) -> PreparedPoints:
-    """Partition by point once; later joins with class tables then move only the class tables."""
+def lay_out(points: DataFrame, noise: DimensionModel, n_points: int, parts: int) -> PreparedPoints:
+    """Partition by point once; later joins with class tables then move only the class tables.
+
+    A task hands on up to d*d/2 sums per class, so it should not get fewer points than that is worth.
+    """
+    parts = max(1, min(parts, math.ceil(n_points / LEAST_POINTS_PER_TASK)))
     frame = points.repartition(parts, "point_id").persist(StorageLevel.MEMORY_AND_DISK)
-    return PreparedPoints(frame, noise, frame.count(), parts)
+    return PreparedPoints(frame, noise, n_points, parts)
 
 
 def prepare_points(points: DataFrame, config: MixtureConfig) -> PreparedPoints:
@@ -70,7 +76,8 @@ def prepare_points(points: DataFrame, config: MixtureConfig) -> PreparedPoints:
     steps scale and mask them on the fly, so no wider copy is shuffled or kept.
     """
     points, parts = spread(points.select("point_id", "x", "w"))
-    return lay_out(points, point_model(points, config.normalise), parts)
+    noise = point_model(points, config.normalise)
+    return lay_out(points, noise, noise.n_points, parts)
 
 
 def with_class(points: PreparedPoints, classes: DataFrame) -> DataFrame:
@@ -205,7 +212,8 @@ def fit_on_subset(
     ids = choose_subset(points.frame, config.subset, seed, workspace)
     cores = points.frame.sparkSession.sparkContext.defaultParallelism
     parts = max(cores, math.ceil(points.parts / config.subset))
-    part = lay_out(points.frame.join(ids, "point_id", "left_semi"), points.noise, parts)
+    n_points = points.n_points // config.subset
+    part = lay_out(points.frame.join(ids, "point_id", "left_semi"), points.noise, n_points, parts)
     start, k = start_classes(part.frame, starting_clusters, config, seed)
     fitted = expectation_maximisation(part, start, config, workspace, k, run, on_better=hooks.on_better)
     part.release()

@@ -15,6 +15,7 @@ from maskmix.plans.split import seed_halves
 from maskmix.queries import frames as Q, sql as S
 from maskmix.queries.projections import SUBSET
 from maskmix.queries.registry import query
+from maskmix.sources.rows import join_small
 
 
 @query("jn1_features_with_masks", S.with_(S.CELLS) + f"SELECT point_id, {S.r6('sum(w * x)')} AS weighted FROM cells GROUP BY point_id")
@@ -30,10 +31,10 @@ def features_with_masks(spark, sf):
     S.with_(*S.PREPARED) + f"SELECT class, dim, {S.r6('sum(y)')} AS total FROM expected GROUP BY class, dim",
 )
 def points_with_noise(spark, sf):
-    """Long form: Spark sees that the statistics hold one row per dimension and broadcasts them."""
+    """Long form: the statistics hold one row per dimension and are broadcast."""
     points = Q.embedding_points(spark, sf)
     noise = dimension_table(points).select("dim", "noise_mean")
-    cells = explode_dims(points, "x", "w").join(noise, "dim")
+    cells = join_small(explode_dims(points, "x", "w"), noise, "dim")
     y = expectation(F.col("x"), F.col("w"), F.col("noise_mean"))
     return cells.groupBy("class", "dim").agg(Q.r6(F.sum(y)).alias("total"))
 
@@ -47,7 +48,7 @@ def points_with_noise(spark, sf):
 def points_with_own_cluster(spark, sf):
     points, noise = Q.embedding_prepared(spark, sf)
     model = m_step(points, noise, MixtureConfig()).select(F.col("cluster_id").alias("class"), "mean")
-    joined = mask_expectation(points, noise).select("point_id", "class", "y").join(model, "class")
+    joined = join_small(mask_expectation(points, noise).select("point_id", "class", "y"), model, "class")
     squares = F.zip_with("y", "mean", lambda y, m: (y - m) * (y - m))
     return joined.select("point_id", Q.r6(F.aggregate(squares, double(0), lambda s, v: s + v)).alias("squared_distance"))
 

@@ -14,6 +14,7 @@ from maskmix.operators.scoring import assign, score_matrix
 from maskmix.plans.fit import choose_subset
 from maskmix.queries import frames as Q, sql as S
 from maskmix.queries.registry import query
+from maskmix.sources.rows import join_small
 from maskmix.sources.text import select_features
 
 BITS = "1011" * 12 + "0110"
@@ -91,7 +92,7 @@ def correction_term(spark, sf):
 def residual_to_own_mean(spark, sf):
     points, noise = Q.embedding_prepared(spark, sf)
     means = m_step(points, noise, MixtureConfig()).select(F.col("cluster_id").alias("class"), "mean")
-    joined = mask_expectation(points, noise).select("point_id", "class", "y").join(means, "class")
+    joined = join_small(mask_expectation(points, noise).select("point_id", "class", "y"), means, "class")
     cells = joined.select("point_id", F.zip_with("y", "mean", lambda y, m: y - m).alias("residual"))
     return explode_dims(cells, "residual").select("point_id", "dim", Q.r6(F.col("residual")).alias("residual"))
 
@@ -130,7 +131,7 @@ def gather_unmasked(spark, sf):
     points, noise = Q.embedding_prepared(spark, sf)
     model = m_step(points, noise, MixtureConfig()).select(F.col("cluster_id").alias("class"), "unmasked")
     expected = mask_expectation(points.where("class <> 0"), noise)
-    joined = expected.select("point_id", "class", "y").join(model, "class")
+    joined = join_small(expected.select("point_id", "class", "y"), model, "class")
     gathered = joined.select("point_id", "unmasked", F.transform("unmasked", lambda i: F.get("y", i)).alias("y"))
     return explode_dims(gathered, "unmasked", "y").select(
         "point_id", F.col("unmasked").alias("dim"), Q.r6(F.col("y")).alias("y")

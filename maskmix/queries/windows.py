@@ -12,7 +12,7 @@ from maskmix.queries import frames as Q, sql as S
 from maskmix.queries.joins import ARRIVALS, STARTS
 from maskmix.queries.projections import SUBSET
 from maskmix.queries.registry import query
-from maskmix.sources.rows import number_sorted
+from maskmix.sources.rows import join_small, number_sorted
 from maskmix.sources.sinks import mask_order
 
 RANKED = "ranked AS (SELECT point_id, mask, row_number() OVER (ORDER BY mask, point_id) - 1 AS rank FROM masks)"
@@ -110,7 +110,7 @@ def inclusive_scan(spark, sf):
     before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     totals = blocked.groupBy("block").agg(F.sum("value").alias("total"))
     offsets = totals.select("block", F.coalesce(F.sum("total").over(before), F.lit(0.0)).alias("offset"))
-    scanned = blocked.withColumn("inside", F.sum("value").over(inside)).join(offsets, "block")
+    scanned = join_small(blocked.withColumn("inside", F.sum("value").over(inside)), offsets, "block")
     return scanned.select("event_id", Q.r6(F.col("inside") + F.col("offset"), 2).alias("running"))
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+SMALL_ROWS = 100_000
+
 
 def spread(df: DataFrame) -> tuple[DataFrame, int]:
     """A scan with at least one partition per core, and its partition count.
@@ -15,6 +17,13 @@ def spread(df: DataFrame) -> tuple[DataFrame, int]:
     return (df, parts) if parts >= cores else (df.repartition(cores, *df.columns), cores)
 
 
+def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", most: int = SMALL_ROWS) -> DataFrame:
+    """Join with a table expected to be small: broadcast if it has at most ``most`` rows, checked
+    here, else the ordinary join.  Keeps ``big`` in place, whatever its key distribution."""
+    small = small.persist()
+    return big.join(F.broadcast(small) if small.count() <= most else small, on, how)
+
+
 def number_rows(df: DataFrame, name: str, order: list[str] | None = None) -> DataFrame:
     """Add a dense zero-based ``name`` in the current order of rows.
 
@@ -32,7 +41,7 @@ def number_rows(df: DataFrame, name: str, order: list[str] | None = None) -> Dat
     offsets = counts.select(
         *pieces, "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before")
     )
-    out = df.join(offsets, pieces)
+    out = join_small(df, offsets, pieces, most=10 * SMALL_ROWS)
     number = F.col("__before") + F.col("__place") - F.col("__first")
     drop = ["__place", "__first", "__before"] + ([] if order else ["__piece"])
     return out.withColumn(name, number.cast("long")).drop(*drop)
@@ -52,4 +61,4 @@ def number_sorted(df: DataFrame, keys: list[str], name: str, workspace) -> DataF
         "__piece", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before")
     )
     number = (F.col("__before") + F.col("__place") - F.col("__first")).cast("long")
-    return stored.join(offsets, "__piece").withColumn(name, number).drop("__piece", "__place", "__first", "__before")
+    return join_small(stored, offsets, "__piece").withColumn(name, number).drop("__piece", "__place", "__first", "__before")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from maskmix.functions.arrays import binary_mask
 from maskmix.functions.runtime import map_arrow
-from maskmix.sources.rows import number_sorted
+from maskmix.sources.rows import join_small, number_sorted
 
 
 def write_lines(rows: DataFrame, key: str, line, header: str, path: str) -> None:
@@ -38,7 +38,7 @@ def label_table(classes: DataFrame) -> DataFrame:
 def relabel(classes: DataFrame) -> DataFrame:
     """Replace ``class`` by its dense ``label``."""
     labels = label_table(classes)
-    return classes.join(labels, "class", "left").withColumn("label", F.coalesce("label", F.lit(1))).drop("class")
+    return join_small(classes, labels, "class", "left").withColumn("label", F.coalesce("label", F.lit(1))).drop("class")
 
 
 def label_count(classes: DataFrame) -> int:

@@ -8,7 +8,7 @@ from maskmix.__main__ import parse
 from maskmix.config import MixtureConfig
 from maskmix.plans.program import cluster_files
 from maskmix.sources import sinks, text
-from maskmix.sources.rows import number_rows, number_sorted
+from maskmix.sources.rows import join_small, number_rows, number_sorted
 from maskmix.workspace import Workspace, checkpoint_root
 
 
@@ -92,6 +92,15 @@ def test_numbering_is_dense(spark):
     assert [r["n"] for r in got] == list(range(len(got)))
 
 
+def test_small_joins_check_the_size(spark):
+    big, small = spark.range(100), spark.range(10).withColumn("v", F.col("id") * 2)
+    for most, broadcast in ((10, True), (9, False)):
+        joined = join_small(big, small, "id", most=most)
+        assert joined.count() == 10
+        plan = joined._jdf.queryExecution().optimizedPlan().toString()
+        assert ("broadcast" in plan) == broadcast
+
+
 def test_printed_rows(spark):
     frame = spark.createDataFrame([(1, [1.0, 0.000012345678, 123456.0])], "id long, v array<double>")
     assert sinks.printed_rows(frame, "id", "v").first()["line"] == "1 1.2346e-05 1.2346e+05 "
