@@ -63,7 +63,7 @@ def collect_arrays(rows: DataFrame) -> list[dict]:
     return [dict(zip(table.column_names, row)) for row in zip(*out)]
 
 
-def read_model(model: DataFrame, dims: int, config: MixtureConfig, workspace=None) -> MixtureModel:
+def read_model(model: DataFrame, dims: int, config: MixtureConfig, workspace=None, name: str = "model") -> MixtureModel:
     """Bring the model to the driver in slices whose size is bounded by the configuration.
 
     The row count is at most ``max_possible_clusters``.  A model too large for one slice is written
@@ -72,7 +72,7 @@ def read_model(model: DataFrame, dims: int, config: MixtureConfig, workspace=Non
     at_once = max(1, config.model_broadcast_bytes // slice_bytes(dims))
     small = config.max_possible_clusters <= at_once
     if not small and workspace is not None:
-        model = workspace.save(model, "model")
+        model = workspace.save(model, name)
     if small:
         rows = collect_arrays(model.select(*SCORE_COLUMNS, "n", "ok"))
         sizes = {r["cluster_id"]: r["n"] for r in rows}

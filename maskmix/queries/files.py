@@ -12,6 +12,7 @@ from maskmix.operators.moments import m_step
 from maskmix.operators.scoring import score_matrix
 from maskmix.plans.fit import resume
 from maskmix.queries import frames as Q, sql as S
+from maskmix.queries.joins import ARRIVALS, CHOSEN_MASKS, NEAREST
 from maskmix.queries.registry import query
 from maskmix.sources import sinks, text
 
@@ -175,7 +176,11 @@ def sorted_labels(spark, sf):
     return classes.select(F.col("point_id").alias("rank"), (F.col("class") + 1).alias("label"))
 
 
-@query("snk6_start_class_dump", None)
+@query(
+    "snk6_start_class_dump",
+    S.with_(S.CELLS, S.MASKS, ARRIVALS, CHOSEN_MASKS, NEAREST)
+    + "SELECT point_id, CAST(place + 1 AS INTEGER) AS class, (SELECT CAST(count(*) AS INTEGER) + 1 FROM chosen_masks) AS n_classes FROM nearest",
+)
 def start_class_dump(spark, sf):
     """Start classes written zero-based under their count, and read back."""
     ws = Q.workspace(spark, "start")

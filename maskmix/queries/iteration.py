@@ -66,6 +66,17 @@ def cem_loop(spark, sf):
     return resume(points, points.select("point_id", "class")).classes
 
 
+@query(
+    "it3_cem_loop_diagonal",
+    S.with_(*S.diagonal_loop(4)) + "SELECT point_id, CAST(class AS INTEGER) AS class FROM labels4",
+)
+def cem_loop_diagonal(spark, sf):
+    """Four whole iterations with diagonal covariances, deletions included."""
+    points = Q.embedding_points(spark, sf)
+    config = replace(Q.DIAGONAL, normalise=False, max_iter=3)
+    return resume(points, points.select("point_id", "class"), config).classes
+
+
 @query(
     "it4_full_step_rule",
     S.with_(*S.DELETION)

@@ -169,3 +169,40 @@ def lineitem(features: list[str]) -> tuple[str, ...]:
   SELECT line, old_class, q, min(nlp) AS nlp, arg_min(cluster_id, nlp) AS class FROM lscores GROUP BY line, old_class, q)"""
     )
     return tuple(parts)
+
+
+def diagonal_loop(steps: int) -> tuple[str, ...]:
+    """``steps`` whole iterations from the labels with diagonal covariances; classes end in ``labels{steps}``."""
+    parts = [*PREPARED, DIMS, POINTS, "labels0 AS (SELECT vec_id AS point_id, label AS class FROM embeddings)"]
+    for t in range(steps):
+        parts += [
+            f"""points{t} AS MATERIALIZED (
+  SELECT l.point_id, l.class, e.dim, y, corr, sigma2 FROM expected e JOIN labels{t} l ON l.point_id = e.point_id
+  JOIN noise n ON n.dim = e.dim)""",
+            f"""sizes{t} AS (
+  SELECT class, CAST(count(*) AS DOUBLE) AS n FROM labels{t} GROUP BY class
+  UNION ALL SELECT 0, 0 WHERE NOT EXISTS (SELECT 1 FROM labels{t} WHERE class = 0))""",
+            f"""weights{t} AS (
+  SELECT class, ln((n + 1) / (n_points + 1 + (SELECT count(*) - 1 FROM sizes{t}))) AS log_weight FROM sizes{t}, total)""",
+            f"""diagonal{t} AS (
+  SELECT class, dim, avg(y) AS mean, (sum(corr) + max(sigma2)) / count(*) AS variance FROM points{t} GROUP BY class, dim)""",
+            f"""scores{t} AS MATERIALIZED (
+  SELECT p.point_id, d.class AS cluster_id,
+         sum(((y - mean) * (y - mean) + corr) / variance + ln(variance) + ln(2 * pi())) / 2 - max(log_weight) AS nlp
+  FROM points{t} p JOIN diagonal{t} d ON d.dim = p.dim JOIN weights{t} g ON g.class = d.class
+  WHERE d.class <> 0 GROUP BY p.point_id, d.class
+  UNION ALL SELECT point_id, 0, -log_weight FROM labels{t}, weights{t} w WHERE w.class = 0)""",
+            f"""best{t} AS MATERIALIZED (
+  SELECT s.point_id, max(CASE WHEN place = 1 THEN cluster_id END) AS class, max(CASE WHEN place = 2 THEN cluster_id END) AS class2,
+         max(CASE WHEN place = 1 THEN nlp END) AS nlp, max(CASE WHEN place = 2 THEN nlp END) AS nlp2, max(q) AS q
+  FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY nlp, cluster_id) AS place FROM scores{t}) s
+  JOIN dims ON dims.point_id = s.point_id WHERE place <= 2 GROUP BY s.point_id)""",
+            f"""deltas{t} AS (
+  SELECT class, sum(nlp2 - nlp) - avg(q * (q + 1) / 2 + q + 1) * ln(max(n_points)) / 2 AS delta
+  FROM best{t}, total WHERE class <> 0 GROUP BY class)""",
+            f"""gone{t} AS (
+  SELECT coalesce(max(class), -1) AS gone FROM (SELECT * FROM deltas{t} ORDER BY delta, class LIMIT 1) c WHERE delta < 0)""",
+            f"""labels{t + 1} AS MATERIALIZED (
+  SELECT point_id, CASE WHEN class = gone THEN class2 ELSE class END AS class FROM best{t}, gone{t})""",
+        ]
+    return tuple(parts)

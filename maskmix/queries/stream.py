@@ -51,7 +51,9 @@ def stream_scoring(spark, sf):
 )
 def stream_chunks(spark, sf):
     """Day-long chunks that overlap by an hour, as far as the watermark has closed them."""
-    events = _stream(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    zone = spark.conf.get("spark.sql.session.timeZone")  # the table's times carry no zone; read them as UTC
+    ts = F.from_utc_timestamp(F.col("ts").cast("timestamp"), zone)
+    events = _stream(spark, sf, "events").select(ts.alias("ts"), "event_type", "value")
     totals = chunk_totals(events, "24 hours", "23 hours", "10 minutes")
     flat = totals.select(F.unix_seconds("chunk.start").alias("start_second"), "event_type", "n", "total")
     closed = _drain(flat, Q.workspace(spark, "stream"))
