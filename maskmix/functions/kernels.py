@@ -15,10 +15,17 @@ import pyarrow as pa
 # Kinds of moment cells.
 COUNT, SUM_Y, SUM_W, SUM_CORR, GRAM = 0, 1, 2, 3, 4
 
-CELL_SCHEMA = "class INT, stat INT, i INT, j INT, v DOUBLE"
-CELL_ARROW = pa.schema(
-    [("class", pa.int32()), ("stat", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), ("v", pa.float64())]
-)
+# A cell is one sum.  Its class, kind and two positions share one 64-bit key, which keeps the rows
+# that are shuffled and hashed small: 20 bits of class, 3 of kind, 20 for each position plus one.
+CELL_SCHEMA = "cell BIGINT, v DOUBLE"
+POSITION_BITS, STAT_BITS = 20, 3
+
+
+def cell_key(c: int, stat, i, j) -> np.ndarray:
+    head = (c << STAT_BITS) + np.asarray(stat, dtype=np.int64)
+    return (((head << POSITION_BITS) + i + 1) << POSITION_BITS) + j + 1
+
+
 # Open sums of one task are handed on when they pass this size.
 FLUSH_BYTES = 192 * 1024 * 1024
 # Points per matrix product; keeps the operands in the processor cache.
@@ -133,16 +140,8 @@ class MomentSums:
                 col.append(dims[b])
                 val.append(v)
             values = np.concatenate(val)
-            yield pa.record_batch(
-                [
-                    pa.array(np.full(len(values), c, dtype=np.int32)),
-                    pa.array(np.concatenate(stat).astype(np.int32)),
-                    pa.array(np.concatenate(row).astype(np.int32)),
-                    pa.array(np.concatenate(col).astype(np.int32)),
-                    pa.array(values),
-                ],
-                schema=CELL_ARROW,
-            )
+            keys = cell_key(c, np.concatenate(stat), np.concatenate(row), np.concatenate(col))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(values)], names=["cell", "v"])
 
 
 def covariance_from_moments(cells, nu, sigma2, prior, mask_points):

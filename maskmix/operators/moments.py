@@ -34,11 +34,14 @@ MODEL_ARROW = pa.schema(
 )
 
 
-def moment_cells(points: DataFrame, noise: DimensionModel, gram_for_noise: bool = False) -> DataFrame:
+def moment_cells(
+    points: DataFrame, noise: DimensionModel, gram_for_noise: bool = False, tasks: int | None = None
+) -> DataFrame:
     """Summed moments of ``(class, x, w)`` as ``(class, stat, i, j, v)`` cells, relative to the noise mean.
 
     Each task adds up its own points first; the cells are then summed by Spark under the key
-    (class, stat, i, j), so even a class that holds most points is spread over many reducers.
+    (class, stat, i, j), so even a class that holds most points is spread over many reducers.  With
+    ``tasks`` that many tasks read several partitions each, without a shuffle, and hand on fewer cells.
     """
     expectations = noise.kernel()
     nu = expectations.mean
@@ -55,11 +58,26 @@ def moment_cells(points: DataFrame, noise: DimensionModel, gram_for_noise: bool
                 sums = K.MomentSums(len(nu), gram_for_noise)
         yield from sums.cells()
 
+    if tasks is not None:
+        points = points.coalesce(tasks)
     cells = map_arrow(points.select("class", "x", "w"), partial, K.CELL_SCHEMA)
-    return cells.groupBy("class", "stat", "i", "j").agg(F.sum("v").alias("v"))
+    return unpack_cells(cells.groupBy("cell").agg(F.sum("v").alias("v")))
 
 
-def m_step(points: DataFrame, noise: DimensionModel, config: MixtureConfig) -> DataFrame:
+def unpack_cells(cells: DataFrame) -> DataFrame:
+    """``(class, stat, i, j, v)`` from packed keys; a missing position is -1."""
+    p, s = K.POSITION_BITS, K.STAT_BITS
+    position, kind = (1 << p) - 1, (1 << s) - 1
+    return cells.selectExpr(
+        f"CAST(shiftright(cell, {2 * p + s}) AS INT) AS class",
+        f"CAST(shiftright(cell, {2 * p}) & {kind} AS INT) AS stat",
+        f"CAST(shiftright(cell, {p}) & {position} AS INT) - 1 AS i",
+        f"CAST(cell & {position} AS INT) - 1 AS j",
+        "v",
+    )
+
+
+def m_step(points: DataFrame, noise: DimensionModel, config: MixtureConfig, tasks: int | None = None) -> DataFrame:
     """One row per non-empty class: mean, block-plus-diagonal covariance and its factor.
 
     A group holds the summed cells of one class, at most d*d/2 + 3d + 1 rows however many points.
@@ -90,7 +108,7 @@ def m_step(points: DataFrame, noise: DimensionModel, config: MixtureConfig) -> D
         }
         return pa.Table.from_pylist([row], schema=MODEL_ARROW)
 
-    return apply_arrow(moment_cells(points, noise), ["class"], model, MODEL_SCHEMA)
+    return apply_arrow(moment_cells(points, noise, tasks=tasks), ["class"], model, MODEL_SCHEMA)
 
 
 def mixing_weights(counts: dict[int, int], n_points: int, config: MixtureConfig) -> dict[int, float]:

@@ -24,6 +24,7 @@ from maskmix.workspace import Workspace
 log = logging.getLogger("maskmix")
 
 LEAST_POINTS_PER_TASK = 1024
+PARTITIONS_PER_MOMENT_TASK = 16
 
 METRICS_SCHEMA = (
     "run INT, iteration INT, step STRING, alive INT, deleted INT, deleted_points BIGINT, changed BIGINT, "
@@ -40,6 +41,13 @@ class PreparedPoints:
     n_points: int
     parts: int
 
+    @property
+    def moment_tasks(self) -> int:
+        """Tasks of an M-step: enough for all cores, else one for several partitions, since every
+        task hands on up to d*d/2 sums per class."""
+        cores = self.frame.sparkSession.sparkContext.defaultParallelism
+        return max(2 * cores, math.ceil(self.parts / PARTITIONS_PER_MOMENT_TASK))
+
     def release(self):
         self.frame.unpersist()
 
@@ -63,10 +71,12 @@ def lay_out(points: DataFrame, noise: DimensionModel, n_points: int, parts: int)
     """Partition by point once; later joins with class tables then move only the class tables.
 
     A task hands on up to d*d/2 sums per class, so it should not get fewer points than that is worth.
+    The planner trusts the partitioning of a kept table only once it is filled (and has two
+    partitions or more), hence the count.
     """
-    parts = max(1, min(parts, math.ceil(n_points / LEAST_POINTS_PER_TASK)))
+    parts = max(2, min(parts, math.ceil(n_points / LEAST_POINTS_PER_TASK)))
     frame = points.repartition(parts, "point_id").persist(StorageLevel.MEMORY_AND_DISK)
-    return PreparedPoints(frame, noise, n_points, parts)
+    return PreparedPoints(frame, noise, frame.count(), parts)
 
 
 def prepare_points(points: DataFrame, config: MixtureConfig) -> PreparedPoints:
@@ -128,7 +138,7 @@ def expectation_maximisation(
     while True:
         began = time.perf_counter()
         labelled = with_class(points, current)
-        model = read_model(m_step(labelled, points.noise, config), dims, config, workspace)
+        model = read_model(m_step(labelled, points.noise, config, points.moment_tasks), dims, config, workspace)
         for c in model.singular:
             log.info("class %d (%d points): covariance is singular, left out", c, model.counts[c])
         assigned = workspace.save(

@@ -243,6 +243,9 @@ def test_moment_sums_equal_direct_sums(seed, classes, batches):
         sums.add(c, r, w, e)
         rows += list(zip(c, r, w, e))
     table = pa.Table.from_batches(list(sums.cells())).to_pandas()
+    key = table["cell"]
+    table = table.assign(i=(key // 2**20) % 2**20 - 1, j=key % 2**20 - 1, stat=(key // 2**40) % 8)
+    table["class"] = key // 2**43
     for c in set(int(row[0]) for row in rows):
         mine = [row for row in rows if row[0] == c]
         r = np.array([row[1] for row in mine])
@@ -288,6 +291,15 @@ def test_moments_survive_an_early_flush(make_points, make_classes, monkeypatch):
         assert a[:4] == b[:4] and a[4] == pytest.approx(b[4])
 
 
+def test_fewer_moment_tasks_give_the_same_cells(make_points, make_classes):
+    x, w, label = blobs(19)
+    frame, noise = prepare(make_points(x, w, 7))
+    frame = frame.join(make_classes(label), "point_id")
+    many, few = (sorted(map(tuple, moment_cells(frame, noise, tasks=t).collect())) for t in (None, 2))
+    assert [c[:4] for c in many] == [c[:4] for c in few]
+    np.testing.assert_allclose([c[4] for c in many], [c[4] for c in few])
+
+
 def test_dimension_model_matches_numpy(make_points):
     x, w, _ = blobs(16)
     got = dimension_model(make_points(x, w))
