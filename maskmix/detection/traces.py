@@ -6,7 +6,6 @@ the public description of masked spike detection.
 
 from __future__ import annotations
 
-import math
 
 import numpy as np
 import pyarrow as pa

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from maskmix.config import MixtureConfig
-from maskmix.functions.arrays import HASH_OFFSET, HASH_PRIME, binary_mask, double, portable_uniform
+from maskmix.functions.arrays import HASH_OFFSET, HASH_PRIME, binary_mask, portable_uniform
 from maskmix.functions.kernels import matrix
 from maskmix.functions.runtime import map_arrow
 
