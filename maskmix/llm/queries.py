@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from maskmix.llm.common import table
 from maskmix.workspace import Workspace
@@ -19,5 +19,41 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path)
 
 
-QUERIES = {"op8_token_files": op8_token_files}
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskmix.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskmix.llm.decontaminate import find_passages
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_passages(docs, table(spark, sf_dir, "benchmark"))
+    p = F.col(found.columns[-1])
+    return found.select(
+        "doc_id",
+        p["n_words"].alias("n_words"),
+        p["n_hit"].alias("n_hit"),
+        F.size(p["items"]).cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", p["items"]), 256).alias("items_sha256"),
+        p["contaminated"].alias("contaminated"),
+    )
+
+
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskmix.llm.simhash import fingerprint_hex, near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", fingerprint_hex("fp").alias("fingerprint"), F.col("component").alias("component_id")
+    )
+
+
+QUERIES = {
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op8_token_files": op8_token_files,
+    "op9_decontamination": op9_decontamination,
+}
 SQL: dict[str, str] = {}
