@@ -25,6 +25,21 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Owner of a text is its source, repository the document itself."""
+    from maskmix.llm.secrets import base_spans, count_kind, find_secrets, spans_text
+
+    found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    spans = F.col(found.columns[-1])
+    return found.select(
+        "doc_id",
+        *[count_kind(spans, kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")],
+        F.sha2(spans_text(base_spans(spans)), 256).alias("base_sha256"),
+        spans_text(spans).alias("spans"),
+        F.size(F.filter(spans, lambda s: s["live"])).cast("long").alias("n_live"),
+    )
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from maskmix.llm.decontaminate import find_passages
 
@@ -53,6 +68,7 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op5_secret_scan": op5_secret_scan,
     "op8_token_files": op8_token_files,
     "op9_decontamination": op9_decontamination,
 }
