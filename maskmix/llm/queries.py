@@ -25,6 +25,32 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op4_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskmix.llm.topk import top_k, whole_numbers
+
+    vectors = whole_numbers(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return top_k(vectors, F.col("id") % 50 == 0).withColumnRenamed("id", "vec_id")
+
+
+OP4_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND list_count(embedding) = len(embedding)
+    AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0
+), p AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+    CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM (SELECT DISTINCT vec_id, e FROM v WHERE vec_id % 50 = 0) q JOIN v c
+    ON len(q.e) = len(c.e) AND q.vec_id <> c.vec_id
+)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM p)
+WHERE r <= 5
+"""
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Owner of a text is its source, repository the document itself."""
     from maskmix.llm.secrets import base_spans, count_kind, find_secrets, spans_text
@@ -68,8 +94,9 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_pivot_top_k": op4_pivot_top_k,
     "op5_secret_scan": op5_secret_scan,
     "op8_token_files": op8_token_files,
     "op9_decontamination": op9_decontamination,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op4_pivot_top_k": OP4_SQL}
