@@ -66,6 +66,13 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskmix.llm.main_text import with_main_text
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return with_main_text(pages, "html", "text", "n_chars").drop("html")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from maskmix.llm.decontaminate import find_passages
 
@@ -96,6 +103,7 @@ QUERIES = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_pivot_top_k": op4_pivot_top_k,
     "op5_secret_scan": op5_secret_scan,
+    "op7_main_text": op7_main_text,
     "op8_token_files": op8_token_files,
     "op9_decontamination": op9_decontamination,
 }
