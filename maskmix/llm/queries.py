@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from maskmix.llm.common import table
+from maskmix.llm.common import id_crc, table
 from maskmix.workspace import Workspace
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -19,6 +19,22 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from labelled rows outside the held-out fold; only the text and its length are scored."""
+    from maskmix.llm.quality import labelled_sample, train, with_quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    labels = table(spark, sf_dir, "labels").where(id_crc("doc_id") % 5 != 0)
+    machine = train(labelled_sample(docs, labels, "doc_id", "quality"), "text", "__label", "__order", ["n_chars"])
+    scored = with_quality(docs, machine, "text", ["n_chars"], "score")
+    return scored.select(
+        "doc_id",
+        (id_crc("doc_id") % 5 == 0).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"),
+    )
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from maskmix.llm.packing import pack_documents
 
@@ -99,6 +115,7 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_pivot_top_k": op4_pivot_top_k,
