@@ -114,6 +114,28 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _language_columns(found: DataFrame, *ids: str) -> DataFrame:
+    v = F.col(found.columns[-1])
+    fields = ("language", "probability", "text_language", "accepted")
+    return found.select(*ids, *[v[f].alias(f) for f in fields])
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trigram model learns from the texts outside the held-out fold of crc32(doc_id) mod 5."""
+    from maskmix.llm.language import identify_documents
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return _language_columns(identify_documents(docs, train=id_crc("doc_id") % 5 != 0, keep=["doc_id"]), "doc_id")
+
+
+def page_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same evidence for raw pages: markup language, address suffix, host and domain."""
+    from maskmix.llm.language import identify_pages
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return _language_columns(identify_pages(pages, keep=["page_id", "url"]), "page_id", "url")
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -123,5 +145,7 @@ QUERIES = {
     "op7_main_text": op7_main_text,
     "op8_token_files": op8_token_files,
     "op9_decontamination": op9_decontamination,
+    "op10_language_id": op10_language_id,
+    "page_language_id": page_language_id,
 }
 SQL: dict[str, str] = {"op4_pivot_top_k": OP4_SQL}
