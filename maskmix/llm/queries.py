@@ -82,6 +82,13 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskmix.llm.lm_scoring import score_texts
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_texts(docs, id_crc("doc_id") % 10 == 0)
+
+
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from maskmix.llm.main_text import with_main_text
 
@@ -142,6 +149,7 @@ QUERIES = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_pivot_top_k": op4_pivot_top_k,
     "op5_secret_scan": op5_secret_scan,
+    "op6_lm_score": op6_lm_score,
     "op7_main_text": op7_main_text,
     "op8_token_files": op8_token_files,
     "op9_decontamination": op9_decontamination,
