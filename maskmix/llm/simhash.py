@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from maskmix.functions.runtime import map_arrow
-from maskmix.llm.common import append, texts_of
+from maskmix.llm.common import append, free_name, texts_of
 from maskmix.llm.components import CHUNK_EDGES, components, edge_batch, forest
 from maskmix.workspace import Workspace
 
@@ -196,6 +196,19 @@ def _within(placed: DataFrame, plan, distance: int) -> DataFrame:
     return map_arrow(dealt, partial(_links, plan=plan, distance=distance), "u long, v long")
 
 
+def _named(stored: DataFrame, id_col: str, distance: int, workspace: Workspace) -> DataFrame:
+    """``fp, root, component`` per distinct fingerprint of a stored table: the smallest fingerprint and
+    the smallest id of its component."""
+    distinct = workspace.save(stored.groupBy("fp").agg(F.min(id_col).alias("first")), "distinct")
+    links = workspace.save(near_links(distinct, workspace, distance), "links")
+    roots = components(links, workspace).select(F.col("node").alias("fp"), "root")
+    known = workspace.save(
+        distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "known"
+    )
+    names = workspace.save(known.groupBy("root").agg(F.min("first").alias("component")), "names")
+    return workspace.save(known.select("fp", "root").join(names, "root"), "named")
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -212,14 +225,34 @@ def near_duplicates(
     workspace = workspace or Workspace(docs.sparkSession, "simhash")
     narrow = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     stored = workspace.save(with_fingerprints(narrow, "__text", "fp", width).drop("__text"), "fingerprints")
-    distinct = workspace.save(stored.groupBy("fp").agg(F.min("__id").alias("first")), "distinct")
-    links = workspace.save(near_links(distinct, workspace, distance), "links")
-    roots = components(links, workspace).select(F.col("node").alias("fp"), "root")
-    known = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    names = workspace.save(known.groupBy("root").agg(F.min("first").alias("component")), "names")
-    named = workspace.save(known.select("fp", "root").join(names, "root").select("fp", "component"), "named")
+    named = _named(stored, "__id", distance, workspace).select("fp", "component")
     return stored.join(named, "fp").select(F.col("__id").alias(id_col), "fp", "component")
 
 
+def keep_first(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    distance: int = DISTANCE,
+    width: int = SHINGLE,
+    workspace: Workspace | None = None,
+) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of every component the row with the smallest id.
+
+    Rows without an id come last, and among rows that share the smallest id one stays.
+    """
+    workspace = workspace or Workspace(docs.sparkSession, "simhash")
+    own, row, fp = list(docs.columns), free_name(docs, "__row"), free_name(docs, "__fp")
+    marked = with_fingerprints(docs, text_col, fp, width).withColumn(row, F.monotonically_increasing_id())
+    stored = workspace.save(marked, "marked")
+    narrow = stored.select(F.col(row).alias("row"), F.col(id_col).alias("id"), F.col(fp).alias("fp"))
+    named = _named(narrow, "id", distance, workspace)
+    place = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row"))
+    first = narrow.groupBy("fp").agg(F.min(place).alias("place"))  # copies are summed up before they meet their root
+    kept = first.join(named, "fp").groupBy("root").agg(F.min("place").alias("place")).select(F.col("place.row").alias(row))
+    return stored.join(workspace.save(kept, "kept"), row, "left_semi").select(*own)
+
+
 def fingerprint_hex(fp: str):
+    """A fingerprint column as sixteen hexadecimal digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
