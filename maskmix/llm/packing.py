@@ -38,9 +38,14 @@ class SumIndex:
         """How often the counts allow the combination."""
         return min(int(self.left[x]) // n for x, n in Counter(combination).items())
 
-    def fill(self, length: int, gap: int) -> tuple[int, ...] | None:
-        """Up to three lengths that exactly fill ``gap`` beside ``length``, larger ones first."""
-        return self._single(length, gap) or self._pair((length,), gap) or self._triple(length, gap)
+    def fill(self, length: int, gap: int, most: int = 3) -> tuple[int, ...] | None:
+        """Up to ``most`` lengths that exactly fill ``gap`` beside ``length``, larger ones first."""
+        found = self._single(length, gap)
+        if not found and most > 1:
+            found = self._pair((length,), gap)
+        if not found and most > 2:
+            found = self._triple(length, gap)
+        return found
 
     def _single(self, length: int, gap: int) -> tuple[int, ...] | None:
         return (gap,) if self.times((length, gap)) else None
@@ -69,18 +74,34 @@ class SumIndex:
 
 
 def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """Sequences as (lengths in them, how many such sequences); ``counts[n]`` pieces have length n."""
-    index, out = SumIndex(counts), []
+    """Sequences as (lengths in them, how many such sequences); ``counts[n]`` pieces have length n.
+
+    Exact combinations use up short pieces that best fit could have put into gaps without an exact
+    complement.  So plans are made with combinations of up to three, two and one lengths beside the
+    longest, and with shorter pieces kept back; the one with the fewest sequences is taken.
+    """
+    best = None
+    for others in (3, 2, 1):
+        for shortest in (1, capacity // 16, capacity // 8, capacity // 4):
+            made = _exact_then_best_fit(counts, capacity, others, shortest)
+            if best is None or sum(n for _, n in made) < sum(n for _, n in best):
+                best = made
+    return best
+
+
+def _exact_then_best_fit(counts: np.ndarray, capacity: int, others: int, shortest: int):
+    long_enough = np.arange(len(counts)) >= shortest
+    index, out = SumIndex(np.where(long_enough, counts, 0)), []
     if index.left[capacity]:
         out.append(((capacity,), int(index.left[capacity])))
         index.left[capacity] = 0
-    for length in range(capacity - 1, 0, -1):
-        while index.left[length] and (others := index.fill(length, capacity - length)):
-            combination = (length, *others)
+    for length in range(capacity - 1, shortest - 1, -1):
+        while index.left[length] and (beside := index.fill(length, capacity - length, others)):
+            combination = (length, *beside)
             times = index.times(combination)
             index.use(combination, times)
             out.append((combination, times))
-    return out + _best_fit(index.left, capacity)
+    return out + _best_fit(np.where(long_enough, index.left, counts), capacity)
 
 
 def _best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:

@@ -71,7 +71,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Owner of a text is its source, repository the document itself."""
     from maskmix.llm.secrets import base_spans, count_kind, find_secrets, spans_text
 
-    found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), keep=["doc_id"])
     spans = F.col(found.columns[-1])
     return found.select(
         "doc_id",

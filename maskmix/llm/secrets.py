@@ -99,15 +99,16 @@ def find_secrets(
     owner: Column | str = "source",
     repository: Column | str = "doc_id",
     example_owners: int = EXAMPLE_OWNERS,
+    keep: list[str] | None = None,
     workspace: Workspace | None = None,
 ) -> DataFrame:
-    """``docs`` with one more column, its last: an array of spans by start and kind, each a struct of
+    """Columns ``keep`` of ``docs`` (all by default) and one more, the last: an array of spans by start and kind, each a struct of
     ``start, rank, stop`` (code points; rank of the kind), ``live``, ``owners`` and ``repositories``.
 
     A missing text has no spans.  Missing owners or repositories count as one owner or repository.
     """
     workspace = workspace or Workspace(docs.sparkSession, "secrets")
-    own, name = list(docs.columns), free_name(docs, "spans")
+    own, name = list(docs.columns) if keep is None else keep, free_name(docs, "spans")
     row, found_col, owner_col, repo_col = (free_name(docs, f"__{c}") for c in ("row", "found", "owner", "repo"))
     as_text = lambda c: F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit(""))
     stored = workspace.save(
