@@ -74,7 +74,7 @@ def trigram_model(docs: DataFrame, text: Column, declared: Column, languages: li
     """Log probabilities, language by bucket, from every text whose label is one of ``languages``."""
     rows = docs.select(text.alias("t"), declared.alias("d")).where(F.col("d").isNotNull())
     counted = map_arrow(rows, partial(_count, languages=languages), "label string, bucket int, n long")
-    counts = np.full((len(languages), 1 << BUCKET_BITS), 0.5)
+    counts = np.full((len(languages), 1 << BUCKET_BITS), 0.05)
     for r in counted.groupBy("label", "bucket").agg(F.sum("n").alias("n")).collect():  # languages times buckets
         counts[languages.index(r["label"]), r["bucket"]] += r["n"]
     shares = counts / counts.sum(axis=1, keepdims=True)
