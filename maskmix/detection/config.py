@@ -12,7 +12,7 @@ class DetectionConfig:
     filter_butter_order: int = 3
     chunk_size_seconds: float = 1.0
     chunk_overlap_seconds: float = 0.015
-    n_excerpts: int = 50
+    n_excerpts: int = 50  # used where thresholds are asked for from excerpts
     excerpt_size_seconds: float = 1.0
     use_single_threshold: bool = True
     threshold_strong_std_factor: float = 4.5
@@ -23,7 +23,7 @@ class DetectionConfig:
     extract_s_after: int = 16
     weight_power: int = 2
     n_features_per_channel: int = 3
-    pca_n_waveforms_max: int = 10000
+    pca_n_waveforms_max: int = 10000  # read for compatibility; the axes come from all waveforms
     random_seed: int = 1
 
     def chunk_samples(self, rate: float) -> tuple[int, int]:

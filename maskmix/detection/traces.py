@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from maskmix.detection.config import DetectionConfig
 from maskmix.detection.probe import neighbour_pairs
@@ -18,8 +18,6 @@ from maskmix.functions.runtime import apply_arrow, map_arrow
 from maskmix.sources.rows import join_small
 from maskmix.workspace import Workspace
 
-LEAST_SALTS = 64
-
 
 def chunk_rows(traces: DataFrame, config: DetectionConfig, rate: float) -> DataFrame:
     """Each row with every chunk that holds it; ``keep`` marks the one chunk that owns the row."""
@@ -46,25 +44,55 @@ def band_pass_coefficients(low: float, high: float, order: int, rate: float) ->
     return gain * np.real(np.poly(zeros)), np.real(np.poly(poles))
 
 
+FILTER_BLOCK = 64
+
+
 def filter_columns(values: np.ndarray, b: np.ndarray, a: np.ndarray) -> np.ndarray:
-    """Direct-form recursion down the rows, all columns at once."""
-    state = np.zeros((len(b) - 1, values.shape[1]))
+    """The recursion down the rows from rest, all columns at once and a block of rows per product.
+
+    In state form a block's output is its impulse responses times the block plus what the state at its
+    begin still gives, so two products per block replace one step per row.
+    """
+    order = len(b) - 1
+    step = np.zeros((order, order))
+    step[:-1, 1:] = np.eye(order - 1)
+    step[:, 0] -= a[1:]
+    enter = b[1:] - a[1:] * b[0]
+    powers = [np.eye(order)]
+    for _ in range(FILTER_BLOCK):
+        powers.append(powers[-1] @ step)
+    response = np.array([b[0], *[(powers[k] @ enter)[0] for k in range(FILTER_BLOCK - 1)]])
+    lag = np.arange(FILTER_BLOCK)[:, None] - np.arange(FILTER_BLOCK)
+    through = np.where(lag >= 0, response[np.maximum(lag, 0)], 0.0)
+    left = np.array([powers[k][0] for k in range(FILTER_BLOCK)])  # output from the state at the begin
+    into = np.array([powers[k] @ enter for k in range(FILTER_BLOCK)])
+    state = np.zeros((order, values.shape[1]))
     out = np.empty_like(values)
-    for t, row in enumerate(values):
-        y = b[0] * row + state[0]
-        state[:-1] = state[1:]
-        state[-1] = 0.0
-        state += np.outer(b[1:], row) - np.outer(a[1:], y)
-        out[t] = y
+    for at in range(0, len(values), FILTER_BLOCK):
+        part = values[at : at + FILTER_BLOCK]
+        n = len(part)
+        out[at : at + n] = through[:n, :n] @ part + left[:n] @ state
+        state = powers[n] @ state + into[:n][::-1].T @ part
     return out
 
 
+def settling_samples(a: np.ndarray) -> int:
+    """Rows after which a state has decayed below double precision, from the slowest pole."""
+    slowest = np.abs(np.roots(a)).max()
+    if slowest >= 1:
+        raise ValueError("the filter is not stable")
+    return int(np.ceil(np.log(1e-18) / np.log(slowest))) + len(a)
+
+
 def band_pass(traces: DataFrame, config: DetectionConfig, rate: float) -> DataFrame:
-    """Filtered traces.  A group is one chunk of all channels, so its size is fixed by the parameters;
-    the overlap before a chunk's own rows lets the filter settle."""
+    """Filtered traces, the same for every chunk length.
+
+    A group is one chunk of all channels with as many samples before it as the filter needs to forget
+    where it began; its size is fixed by the parameters."""
     b, a = band_pass_coefficients(
         config.filter_low, config.filter_high_factor * rate, config.filter_butter_order, rate
     )
+    size, before = config.chunk_samples(rate)[0], settling_samples(a)
 
     def run(table: pa.Table) -> pa.Table:
         sample, channel = table.column("sample").to_numpy(), table.column("channel").to_numpy()
@@ -76,17 +104,24 @@ def band_pass(traces: DataFrame, config: DetectionConfig, rate: float) -> DataFr
         filtered = filter_columns(grid, b, a)[at, col]
         return pa.table({"sample": sample[kept], "channel": channel[kept], "v": filtered[kept]})
 
-    rows = chunk_rows(traces.select("sample", "channel", "v"), config, rate)
+    own = F.floor(F.col("sample") / size)
+    chunks = F.sequence(own.cast("long"), F.floor((F.col("sample") + before) / size).cast("long"))
+    rows = traces.select("sample", "channel", "v", F.explode(chunks).alias("chunk"))
+    rows = rows.withColumn("keep", F.when(F.col("chunk") == own, 1).otherwise(0))
     return apply_arrow(rows, ["chunk"], run, "sample BIGINT, channel INT, v DOUBLE")
 
 
-def thresholds(filtered: DataFrame, config: DetectionConfig, rate: float) -> DataFrame:
-    """Weak and strong threshold from seeded excerpts, one row in all or one per channel."""
-    length = max(1, round(config.excerpt_size_seconds * rate))
-    rows = filtered.withColumn("excerpt", F.floor(F.col("sample") / length))
-    chosen = rows.select("excerpt").distinct()
-    chosen = chosen.orderBy(portable_hash(F.col("excerpt"), config.random_seed), "excerpt").limit(config.n_excerpts)
-    sampled = rows.join(chosen, "excerpt", "left_semi")
+def thresholds(filtered: DataFrame, config: DetectionConfig, rate: float, excerpts: bool = False) -> DataFrame:
+    """Weak and strong threshold, one row in all or one per channel.
+
+    All samples count; with ``excerpts`` only those of ``n_excerpts`` seeded excerpts do."""
+    sampled = filtered
+    if excerpts:
+        length = max(1, round(config.excerpt_size_seconds * rate))
+        rows = filtered.withColumn("excerpt", F.floor(F.col("sample") / length))
+        chosen = rows.select("excerpt").distinct()
+        chosen = chosen.orderBy(portable_hash(F.col("excerpt"), config.random_seed), "excerpt").limit(config.n_excerpts)
+        sampled = rows.join(F.broadcast(chosen), "excerpt", "left_semi")
     keys = [] if config.use_single_threshold else ["channel"]
     spread = F.stddev_pop("v")
     return sampled.groupBy(*keys).agg(
@@ -196,19 +231,11 @@ def waveforms(pieces: DataFrame, config: DetectionConfig) -> DataFrame:
 
 
 def principal_axes(waves: DataFrame, config: DetectionConfig) -> DataFrame:
-    """Leading axes per channel from at most ``pca_n_waveforms_max`` seeded waveforms of the channel.
+    """Leading axes per channel from all waveforms of the channel.
 
     Sums and products are added up per task and then by Spark; a group holds one small matrix.
     """
     length = config.extract_s_before + config.extract_s_after
-    rank = (portable_hash(F.col("component"), config.random_seed), F.col("component"))
-    salts = max(LEAST_SALTS, int(waves.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    salted = waves.withColumn("salt", portable_hash(F.col("component"), config.random_seed + 1) % salts)
-    most = config.pca_n_waveforms_max
-    for keys in (["channel", "salt"], ["channel"]):  # a busy channel is cut down in parts first
-        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*rank))
-        salted = salted.withColumn("place", place).where(F.col("place") <= most)
-    sampled = salted
 
     def partial(batches):
         sums = {}
@@ -229,7 +256,7 @@ def principal_axes(waves: DataFrame, config: DetectionConfig) -> DataFrame:
                 names=["channel", "i", "j", "v"],
             )
 
-    cells = map_arrow(sampled.select("channel", "wave"), partial, "channel INT, i INT, j INT, v DOUBLE")
+    cells = map_arrow(waves.select("channel", "wave"), partial, "channel INT, i INT, j INT, v DOUBLE")
     cells = cells.groupBy("channel", "i", "j").agg(F.sum("v").alias("v"))
     keep = config.n_features_per_channel
 

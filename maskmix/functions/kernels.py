@@ -16,12 +16,17 @@ import pyarrow as pa
 COUNT, SUM_Y, SUM_W, SUM_CORR, GRAM = 0, 1, 2, 3, 4
 
 # A cell is one sum.  Its class, kind and two positions share one 64-bit key, which keeps the rows
-# that are shuffled and hashed small: 20 bits of class, 3 of kind, 20 for each position plus one.
+# that are shuffled and hashed small: 30 bits of class, 3 of kind, 15 for each position plus one.
 CELL_SCHEMA = "cell BIGINT, v DOUBLE"
-POSITION_BITS, STAT_BITS = 20, 3
+CLASS_BITS, POSITION_BITS, STAT_BITS = 30, 15, 3
 
 
 def cell_key(c: int, stat, i, j) -> np.ndarray:
+    """Packs one class with arrays of kinds and positions; raises where one does not fit its bits."""
+    if not 0 <= c < 1 << CLASS_BITS:
+        raise OverflowError(f"class {c} needs more than {CLASS_BITS} bits")
+    if max(np.max(i, initial=-1), np.max(j, initial=-1)) + 1 >= 1 << POSITION_BITS:
+        raise OverflowError(f"more than {(1 << POSITION_BITS) - 2} dimensions")
     head = (c << STAT_BITS) + np.asarray(stat, dtype=np.int64)
     return (((head << POSITION_BITS) + i + 1) << POSITION_BITS) + j + 1
 

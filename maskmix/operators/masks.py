@@ -75,6 +75,8 @@ def start_classes(points: DataFrame, starting_clusters: int, config: MixtureConf
 
     With fewer distinct masks than asked for, every mask starts a class.
     """
+    if starting_clusters > config.max_possible_clusters:
+        raise ValueError(f"{starting_clusters} start classes; max_possible_clusters is {config.max_possible_clusters}")
     if starting_clusters <= 1:
         return points.select("point_id", F.lit(0).alias("class")), 1
     masked = with_mask(points.select("point_id", "w"))

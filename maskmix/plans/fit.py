@@ -185,7 +185,7 @@ def expectation_maximisation(
         if on_better is not None and recurse and not over and old_score > score:
             on_better(current.select("point_id", "class"))
         if over:
-            log.warning("maximum iterations exceeded")
+            log.warning("stopped after max_iter = %d iterations without convergence", config.max_iter)
             break
         if outcome.changed == 0 and last_full and not did_split:
             break
@@ -269,6 +269,20 @@ def fit(
     return best
 
 
+def check_labels(points: PreparedPoints, classes: DataFrame, config: MixtureConfig) -> None:
+    """Every point has exactly one label, and there are no more classes than the configuration allows."""
+    met = points.frame.select("point_id").join(classes, "point_id", "left").agg(
+        F.count("*").alias("rows"), F.count("class").alias("labelled"), F.countDistinct("class").alias("classes"),
+        F.min("class").alias("least"),
+    ).first()
+    if met["labelled"] != points.n_points or met["rows"] != points.n_points:
+        raise ValueError(f"{met['labelled']} labels for {points.n_points} points; every point needs one")
+    if met["classes"] > config.max_possible_clusters:
+        raise ValueError(f"{met['classes']} classes; max_possible_clusters is {config.max_possible_clusters}")
+    if met["least"] is not None and met["least"] < 0:
+        raise ValueError("labels start at the noise class, 0")
+
+
 def resume(
     points: DataFrame, classes: DataFrame, config: MixtureConfig = MixtureConfig(), workspace: Workspace | None = None,
     hooks: Hooks = Hooks(),
@@ -276,6 +290,8 @@ def resume(
     """Continue from known classes, for instance labels read from a file."""
     workspace = workspace or Workspace(points.sparkSession, "resume")
     prepared = prepare_points(points, config)
+    classes = workspace.save(classes.select("point_id", F.col("class").cast("int")), "given")
+    check_labels(prepared, classes, config)
     result = expectation_maximisation(prepared, classes, config, workspace, on_better=hooks.on_better)
     prepared.release()
     return result

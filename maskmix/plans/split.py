@@ -6,6 +6,7 @@ against the two halves of its own cluster.  A large cluster is therefore spread
 
 from __future__ import annotations
 
+import logging
 import math
 
 import numpy as np
@@ -19,9 +20,9 @@ from maskmix.functions.arrays import effective_dims, parameter_count, portable_h
 from maskmix.operators.moments import m_step
 from maskmix.operators.scoring import load_slice, own_scores, read_model
 from maskmix.operators.selection import class_penalty
+from maskmix.sources.rows import join_small
 
-MAX_SUB_ITERATIONS = 100
-
+log = logging.getLogger("maskmix")
 
 def seed_halves(members: DataFrame, seed: int) -> DataFrame:
     """A seeded half of each cluster: class 2c or 2c + 1."""
@@ -130,13 +131,15 @@ def try_splits(points, current: DataFrame, score: float, outcome, config: Mixtur
 
     # two clusters each
     halves = workspace.save(seed_halves(members, config.random_seed), "halves-start")
-    for k in range(MAX_SUB_ITERATIONS):
+    for k in range(config.max_iter):
         labelled, two, weights = _halves_model(points, halves, config, workspace)
         assigned = workspace.save(assign_halves(labelled, two, weights, points.noise), f"halves-{k % 2}")
         summary = _half_summary(assigned)
         halves = assigned.select("point_id", "class", "half")
         if sum(r["changed"] for r in summary) == 0:
             break
+    else:
+        log.warning("halves still changed after max_iter = %d iterations", config.max_iter)
     split = local_scores(summary, config)
     promising = sorted(c for c in split if split[c][1] == 2 and split[c][0] < unsplit[c][0])
     if not promising:
@@ -175,9 +178,8 @@ def try_splits(points, current: DataFrame, score: float, outcome, config: Mixtur
             used.add(free)
     if not taken:
         return None
-    moved = F.lit(None).cast("int")
-    for c, free in taken.items():
-        moved = F.when(F.col("half") == 2 * c + 1, free).otherwise(moved)
-    return current.select("point_id", "class").join(halves.select("point_id", "half"), "point_id", "left").select(
-        "point_id", F.coalesce(moved, F.col("class")).cast("int").alias("class")
+    moved = current.sparkSession.createDataFrame([(2 * c + 1, free) for c, free in taken.items()], "half int, moved int")
+    renamed = join_small(halves.select("point_id", "half"), moved, "half").select("point_id", "moved")
+    return current.select("point_id", "class").join(renamed, "point_id", "left").select(
+        "point_id", F.coalesce("moved", "class").cast("int").alias("class")
     )

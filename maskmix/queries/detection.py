@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from maskmix.detection import traces as T
 from maskmix.detection.config import DetectionConfig
 from maskmix.detection.probe import adjacency_list, drop_dead_channels
-from maskmix.functions.arrays import portable_hash_sql
 from maskmix.queries import frames as Q, sql as S
 from maskmix.queries.registry import query
 
@@ -16,10 +15,7 @@ RATE = 100.0
 CONFIG = DetectionConfig(chunk_overlap_seconds=0.1, detect_spikes_symbol=1, threshold_strong_std_factor=3.0)
 
 TRACES = "traces AS (SELECT event_id // 32 AS sample, CAST(event_id % 32 AS INTEGER) AS channel, value - 50 AS v FROM events)"
-LIMITS = f"""limits AS (
-  SELECT 2 * stddev_pop(v) AS weak, 3 * stddev_pop(v) AS strong FROM traces WHERE sample // 100 IN (
-    SELECT excerpt FROM (SELECT DISTINCT sample // 100 AS excerpt FROM traces) e
-    ORDER BY {portable_hash_sql('excerpt', 1)}, excerpt LIMIT 50))"""
+LIMITS = "limits AS (SELECT 2 * stddev_pop(v) AS weak, 3 * stddev_pop(v) AS strong FROM traces)"
 CROSSINGS = """crossings AS (
   SELECT sample, channel, v, CASE WHEN v > strong THEN 1 ELSE 0 END AS strong, sample * 32 + channel AS node
   FROM traces, limits WHERE v > weak)"""
@@ -62,7 +58,27 @@ def _labelled(spark, sf, ws):
     return T.label_crossings(weak, _edges(spark, sf), CONFIG, CHANNELS, ws)
 
 
-@query("xt1_band_pass", None)
+def filter_sql(rate: float) -> str:
+    """The filter as a recursion over samples: the state of the transposed direct form per channel."""
+    config = DetectionConfig()
+    b, a = T.band_pass_coefficients(config.filter_low, config.filter_high_factor * rate, config.filter_butter_order, rate)
+    n = len(b) - 1
+    number = lambda x: f"CAST({float(x)!r} AS DOUBLE)"
+    y = f"({number(b[0])} * t.v + r.s0)"
+    new = [
+        (f"r.s{k + 1} + " if k + 1 < n else "") + f"{number(b[k + 1])} * t.v - {number(a[k + 1])} * {y} AS s{k}" for k in range(n)
+    ]
+    zero = ", ".join(f"CAST(0 AS DOUBLE) AS s{k}" for k in range(n))
+    return f"""filtered(sample, channel, v, {", ".join(f"s{k}" for k in range(n))}) AS (
+  SELECT CAST(-1 AS BIGINT), channel, CAST(0 AS DOUBLE), {zero} FROM (SELECT DISTINCT channel FROM traces) c
+  UNION ALL SELECT t.sample, t.channel, {y}, {", ".join(new)}
+  FROM filtered r JOIN traces t ON t.sample = r.sample + 1 AND t.channel = r.channel)"""
+
+
+@query(
+    "xt1_band_pass",
+    recursive(TRACES, filter_sql(2000.0)) + f"SELECT sample, channel, {S.r6('v')} AS v FROM filtered WHERE sample >= 0",
+)
 def band_pass(spark, sf):
     """Event values as traces at 2 kHz through the default band."""
     filtered = T.band_pass(_traces(spark, sf), DetectionConfig(chunk_size_seconds=0.05), 2000.0)
@@ -156,7 +172,26 @@ def dead_channels(spark, sf):
     return drop_dead_channels(_graph(spark, sf), quiet.where("top < 300"))
 
 
-@query("xt10_filter_and_cross", None)
+FILTERED_FOUND = (
+    TRACES,
+    filter_sql(2000.0),
+    "held AS MATERIALIZED (SELECT sample, channel, v, abs(v) AS height FROM filtered WHERE sample >= 0)",
+    "limits AS (SELECT 2 * stddev_pop(v) AS weak, 4.5 * stddev_pop(v) AS strong FROM held)",
+    """crossings AS MATERIALIZED (
+  SELECT sample, channel, height, CASE WHEN height > strong THEN 1 ELSE 0 END AS strong, sample * 32 + channel AS node
+  FROM held, limits WHERE height > weak)""",
+    LINKS,
+    REACH,
+    COMPONENTS,
+)
+
+
+@query(
+    "xt10_filter_and_cross",
+    recursive(*FILTERED_FOUND)
+    + f"""SELECT sample, channel, strong, component, {S.r6('height')} AS height
+  FROM crossings JOIN components ON crossings.node = components.node""",
+)
 def filter_and_cross(spark, sf):
     """Band-pass, thresholds and crossings together."""
     config = DetectionConfig(chunk_size_seconds=0.05, detect_spikes_symbol=0)

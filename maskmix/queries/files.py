@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from maskmix.config import MixtureConfig
@@ -203,6 +205,25 @@ def run_log(spark, sf):
     )
 
 
+@query(
+    "snk7_run_log_diagonal",
+    S.with_(*S.diagonal_loop(S.LOOP_STEPS), S.loop_log(S.LOOP_STEPS))
+    + f"""SELECT CAST(iteration AS INTEGER) AS iteration, CASE WHEN full_step THEN 'F' ELSE 'Q' END AS step, CAST(alive AS INTEGER) AS alive,
+    CAST(gone AS INTEGER) AS deleted, deleted_points, changed,
+    {S.r6('raw', 4)} AS raw, {S.r6('penalty', 4)} AS penalty, {S.r6('score', 4)} AS score FROM metrics""",
+)
+def run_log_diagonal(spark, sf):
+    """The run log of the loop with diagonal covariances; -1 where no class was deleted."""
+    ws = Q.workspace(spark, "log")
+    points = Q.embedding_points(spark, sf)
+    result = resume(points, points.select("point_id", "class"), replace(Q.DIAGONAL, normalise=False), ws)
+    sinks.write_metrics(spark, result.metrics_frame(spark), ws.path("metrics"))
+    columns = ["iteration", "step", "alive", F.coalesce("deleted", F.lit(-1)).alias("deleted"), "deleted_points", "changed"]
+    return spark.read.parquet(ws.path("metrics")).select(
+        *columns, *[Q.r6(F.col(c), 4).alias(c) for c in ("raw", "penalty", "score")]
+    )
+
+
 @query(
     "snk8_score_dump",
     S.with_(*S.PREPARED, S.WEIGHTS, S.DIAGONAL, S.SCORES)

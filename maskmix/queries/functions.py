@@ -18,14 +18,16 @@ LINES = S.lineitem(Q.LINEITEM_FEATURES)
 D = range(len(Q.LINEITEM_FEATURES))
 
 
-@query("fn1_log", f"SELECT event_id, {S.r6('ln(value)')} AS v FROM events WHERE value > 0")
+@query("fn1_log", f"SELECT event_id, CASE WHEN value > 0 THEN {S.r6('ln(greatest(value, 1e-300))')} END AS v FROM events")
 def log(spark, sf):
-    return Q.table(spark, sf, "events").where("value > 0").select("event_id", Q.r6(F.ln("value")).alias("v"))
+    """Null where the logarithm is not defined."""
+    return Q.table(spark, sf, "events").select("event_id", Q.r6(F.when(F.col("value") > 0, F.ln("value"))).alias("v"))
 
 
-@query("fn2_sqrt", f"SELECT event_id, {S.r6('sqrt(value)')} AS v FROM events WHERE value >= 0")
+@query("fn2_sqrt", f"SELECT event_id, CASE WHEN value >= 0 THEN {S.r6('sqrt(abs(value))')} END AS v FROM events")
 def square_root(spark, sf):
-    return Q.table(spark, sf, "events").where("value >= 0").select("event_id", Q.r6(F.sqrt("value")).alias("v"))
+    """Null where the root is not defined."""
+    return Q.table(spark, sf, "events").select("event_id", Q.r6(F.when(F.col("value") >= 0, F.sqrt("value"))).alias("v"))
 
 
 @query("fn3_abs_least", f"SELECT event_id, {S.r6('abs(value - 50)')} AS a, {S.r6('least(value, 50)')} AS b FROM events")

@@ -68,12 +68,12 @@ def cem_loop(spark, sf):
 
 @query(
     "it3_cem_loop_diagonal",
-    S.with_(*S.diagonal_loop(4)) + "SELECT point_id, CAST(class AS INTEGER) AS class FROM labels4",
+    S.with_(*S.diagonal_loop(S.LOOP_STEPS)) + f"SELECT point_id, CAST(class AS INTEGER) AS class FROM labels{S.LOOP_STEPS}",
 )
 def cem_loop_diagonal(spark, sf):
-    """Four whole iterations with diagonal covariances, deletions included."""
+    """The whole loop with diagonal covariances, deletions included, to convergence."""
     points = Q.embedding_points(spark, sf)
-    config = replace(Q.DIAGONAL, normalise=False, max_iter=3)
+    config = replace(Q.DIAGONAL, normalise=False)
     return resume(points, points.select("point_id", "class"), config).classes
 
 
@@ -98,13 +98,13 @@ def full_step_rule(spark, sf):
 
 @query(
     "it5_empty_class_removal",
-    "SELECT c AS class FROM (SELECT unnest(range(0, 1000)) AS c) r WHERE c = 0 OR c IN (SELECT label * 3 FROM embeddings)",
+    """SELECT c AS class FROM (SELECT unnest(range(0, (SELECT max(label) * 3 + 1 FROM embeddings))) AS c) r
+  WHERE c = 0 OR c IN (SELECT label * 3 FROM embeddings)""",
 )
 def empty_class_removal(spark, sf):
     """Classes still alive: noise and every class that has points."""
     used = Q.embedding_points(spark, sf).select((F.col("class") * 3).cast("long").alias("class")).distinct()
-    alive = spark.range(1, MixtureConfig().max_possible_clusters).select(F.col("id").alias("class"))
-    return alive.join(used, "class", "left_semi").union(spark.range(1).select(F.col("id").alias("class")))
+    return used.where("class <> 0").union(spark.range(1).select(F.col("id").alias("class")))
 
 
 @query(

@@ -171,6 +171,28 @@ def lineitem(features: list[str]) -> tuple[str, ...]:
     return tuple(parts)
 
 
+# Iterations written out; labels at the fixed point stay as they are, so more than needed do no harm.
+LOOP_STEPS = 12
+
+
+def loop_log(steps: int) -> str:
+    """Metrics of the iterations of ``diagonal_loop``, up to the full step that changes nothing."""
+    one = lambda t: f"""SELECT {t} AS iteration, g.gone AS gone,
+    (SELECT count(DISTINCT class) FROM labels{t} WHERE class <> 0) + 1 - CASE WHEN g.gone >= 0 THEN 1 ELSE 0 END AS alive,
+    (SELECT count(*) FROM best{t} WHERE class = g.gone) AS deleted_points,
+    (SELECT count(*) FROM labels{t} a JOIN labels{t + 1} b ON a.point_id = b.point_id WHERE a.class <> b.class) AS changed,
+    (SELECT sum(CASE WHEN class = g.gone THEN nlp2 ELSE nlp END) FROM best{t}) AS raw,
+    (SELECT sum(params) FROM (SELECT avg(q * (q + 1) / 2 + q + 1) AS params FROM best{t} b JOIN labels{t + 1} l
+       ON l.point_id = b.point_id GROUP BY l.class) c) * (SELECT ln(max(n_points)) / 2 FROM total) AS penalty FROM gone{t} g"""
+    rows = "\n  UNION ALL ".join(one(t) for t in range(steps))
+    return f"""log AS MATERIALIZED ({rows}),
+  before AS (SELECT *, raw + penalty AS score, lag(changed) OVER w AS changed1, lag(raw + penalty) OVER w AS score1,
+    coalesce(lag(raw + penalty, 2) OVER w, 0) AS score2 FROM log WINDOW w AS (ORDER BY iteration)),
+  stepped AS (SELECT *, iteration = 0 OR changed1 > 0.05 * (SELECT max(n_points) FROM total) OR changed1 = 0
+    OR iteration % 20 = 0 OR score1 > score2 AS full_step FROM before),
+  metrics AS (SELECT * FROM stepped WHERE iteration <= (SELECT min(iteration) FROM stepped WHERE changed = 0 AND full_step))"""
+
+
 def diagonal_loop(steps: int) -> tuple[str, ...]:
     """``steps`` whole iterations from the labels with diagonal covariances; classes end in ``labels{steps}``."""
     parts = [*PREPARED, DIMS, POINTS, "labels0 AS (SELECT vec_id AS point_id, label AS class FROM embeddings)"]

@@ -126,12 +126,14 @@ def compaction(spark, sf):
 
 @query(
     "wn10_first_unused_id",
-    """SELECT CAST(min(c) AS BIGINT) AS unused FROM (SELECT unnest(range(1, 1000)) AS c) r
+    """SELECT CAST(min(c) AS BIGINT) AS unused FROM (SELECT unnest(range(1, (SELECT max(label) + 2 FROM embeddings))) AS c) r
   WHERE c NOT IN (SELECT label FROM embeddings)""",
 )
 def first_unused_id(spark, sf):
-    used = Q.embedding_points(spark, sf).select(F.col("class").cast("long").alias("id")).distinct()
-    return spark.range(1, 1000).join(used, "id", "left_anti").agg(F.min("id").alias("unused"))
+    """The smallest id from 1 on that no class has: 1, or the one after a class whose successor is free."""
+    used = Q.table(spark, sf, "embeddings").select(F.col("label").cast("long").alias("id")).where("id >= 0").distinct()
+    after = used.union(spark.range(1)).distinct().select((F.col("id") + 1).alias("id"))
+    return after.join(used, "id", "left_anti").agg(F.min("id").alias("unused"))
 
 
 @query("wn11_systematic_sample", S.with_(SUBSET) + "SELECT point_id FROM chosen")

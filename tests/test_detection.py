@@ -29,7 +29,21 @@ def test_band_pass_keeps_the_band_and_drops_the_rest(spark):
     assert np.abs(wide[:, 1]).max() < 0.01
     b, a = T.band_pass_coefficients(500, 0.475 * rate, 3, rate)
     whole = T.filter_columns(grid, b, a)
-    np.testing.assert_allclose(wide, whole[500:], atol=1e-3)
+    np.testing.assert_allclose(wide, whole[500:], atol=1e-9)
+    other = T.band_pass(frame(spark, grid), DetectionConfig(chunk_size_seconds=0.037), rate).toPandas()
+    same = other.pivot(index="sample", columns="channel", values="v").to_numpy()[500:]
+    np.testing.assert_allclose(wide, same, atol=1e-9)
+
+
+def test_block_filter_equals_recursion():
+    b, a = T.band_pass_coefficients(500, 4000, 3, 20000.0)
+    x = np.random.default_rng(3).normal(size=(203, 2))
+    want = np.zeros_like(x)
+    for t in range(len(x)):
+        for k in range(len(b)):
+            if t >= k:
+                want[t] += b[k] * x[t - k] - (a[k] * want[t - k] if k else 0)
+    np.testing.assert_allclose(T.filter_columns(x, b, a), want, atol=1e-10)
 
 
 def test_filter_gain_is_one_inside_and_half_power_at_the_edges():
@@ -64,7 +78,7 @@ def test_thresholds_and_polarity(spark):
     for symbol, sign in ((-1, -grid), (0, np.abs(grid)), (1, grid)):
         config = DetectionConfig(detect_spikes_symbol=symbol)
         assert T.crossings(traces, T.thresholds(traces, config, 100.0), config).count() == (sign > one["weak"]).sum()
-    few = T.thresholds(traces, DetectionConfig(n_excerpts=1), 100.0).first()
+    few = T.thresholds(traces, DetectionConfig(n_excerpts=1), 100.0, excerpts=True).first()
     assert any(few["weak"] == pytest.approx(2 * grid[k : k + 100].std()) for k in range(0, 400, 100))
 
 

@@ -166,3 +166,33 @@ def test_workspace_tables(spark):
     space = Workspace(spark, "x")
     assert space.root.startswith(checkpoint_root(spark))
     assert space.save(spark.range(3), "t").count() == 3
+
+
+def test_lengths_that_differ_raise(spark, tmp_path):
+    from maskmix.config import MixtureConfig
+    from maskmix.sources import text
+
+    base = tmp_path / "e"
+
+    def write(kind, rows):
+        (tmp_path / f"e.{kind}.1").write_text("2\n" + "\n".join(rows) + "\n")
+
+    config = MixtureConfig(file_base=str(base))
+    write("fet", ["1 2", "3 4", "5 6"])
+    write("fmask", ["1 0", "1 1"])
+    with pytest.raises(Exception, match="differ in length"):
+        text.read_points(spark, config).collect()
+    write("fmask", ["1 0", "1", "0 0"])
+    with pytest.raises(Exception, match="does not have 2 values"):
+        text.read_points(spark, config).collect()
+    write("fmask", ["1 0", "1 1", "0 0"])
+    assert text.read_points(spark, config).count() == 3
+
+
+def test_part_files_in_order_of_their_number(spark, tmp_path):
+    from maskmix.sources import text
+
+    for number, row in ((0, "1\n0"), (10001, "1"), (99999, "2"), (100000, "3"), (100001, "4")):
+        (tmp_path / f"part-{number:05d}-x.txt").write_text(f"{row}\n")
+    rows, width = text.read_matrix(spark, str(tmp_path))
+    assert width == 1 and [r.x[0] for r in rows.orderBy("point_id").collect()] == [0, 1, 2, 3, 4]

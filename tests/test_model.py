@@ -243,9 +243,9 @@ def test_moment_sums_equal_direct_sums(seed, classes, batches):
         sums.add(c, r, w, e)
         rows += list(zip(c, r, w, e))
     table = pa.Table.from_batches(list(sums.cells())).to_pandas()
-    key = table["cell"]
-    table = table.assign(i=(key // 2**20) % 2**20 - 1, j=key % 2**20 - 1, stat=(key // 2**40) % 8)
-    table["class"] = key // 2**43
+    key, p = table["cell"], 2**K.POSITION_BITS
+    table = table.assign(i=(key // p) % p - 1, j=key % p - 1, stat=(key // p**2) % 8)
+    table["class"] = key // (8 * p**2)
     for c in set(int(row[0]) for row in rows):
         mine = [row for row in rows if row[0] == c]
         r = np.array([row[1] for row in mine])
@@ -336,3 +336,22 @@ def test_one_cluster_start_is_all_noise(spark, make_points):
     result = expectation_maximisation(prepared, start, MixtureConfig(), Workspace(spark))
     assert {r["class"] for r in result.classes.collect()} == {0}
     prepared.release()
+
+
+def test_labels_must_cover_the_points_and_fit_the_limit(spark, make_points, make_classes):
+    x, w, label = blobs(seed=4, n=40)
+    points = make_points(x, w)
+    with pytest.raises(ValueError, match="39 labels for 40 points"):
+        resume(points, make_classes(label + 1).where("point_id > 0"))
+    with pytest.raises(ValueError, match="labels for 40 points"):
+        resume(points, make_classes(label + 1).union(make_classes(label + 1).limit(1)))
+    with pytest.raises(ValueError, match="max_possible_clusters"):
+        resume(points, make_classes(np.arange(40)), MixtureConfig(max_possible_clusters=5))
+
+
+def test_large_class_ids_keep_their_name(spark, make_points, make_classes):
+    x, w, label = blobs(seed=4, n=60)
+    points = make_points(x, w)
+    small = {r.point_id: r["class"] for r in resume(points, make_classes(label + 1), MixtureConfig(max_iter=0)).classes.collect()}
+    big = {r.point_id: r["class"] for r in resume(points, make_classes((label + 1) * 2**21), MixtureConfig(max_iter=0)).classes.collect()}
+    assert big == {i: c * 2**21 for i, c in small.items()}
