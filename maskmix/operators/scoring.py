@@ -29,6 +29,13 @@ class MixtureModel:
     weights: dict[int, float]
     singular: list[int]
     slices: list[list[dict]] = field(default_factory=list)
+    shared: list = field(default_factory=list)
+
+    def release(self) -> None:
+        """Drop the broadcasts of the passes so far; for when their results are written."""
+        for one in self.shared:
+            one.destroy()
+        self.shared.clear()
 
     @property
     def clusters(self) -> list[int]:
@@ -45,8 +52,8 @@ class MixtureModel:
 
 
 def slice_bytes(dims: int) -> int:
-    """Upper bound of the scoring data of one cluster."""
-    return 8 * (dims * dims + 4 * dims + 16)
+    """Upper bound of the scoring data of one cluster, which holds its factor twice."""
+    return 8 * (2 * dims * dims + 12 * dims + 64)
 
 
 def collect_arrays(rows: DataFrame) -> list[dict]:
@@ -63,27 +70,33 @@ def collect_arrays(rows: DataFrame) -> list[dict]:
     return [dict(zip(table.column_names, row)) for row in zip(*out)]
 
 
-def read_model(model: DataFrame, dims: int, config: MixtureConfig, workspace=None, name: str = "model") -> MixtureModel:
+def read_model(
+    model: DataFrame, dims: int, config: MixtureConfig, workspace=None, name: str = "model", most: int | None = None
+) -> MixtureModel:
     """Bring the model to the driver in slices whose size is bounded by the configuration.
 
-    The row count is at most ``max_possible_clusters``.  A model too large for one slice is written
-    to the workspace first and read back slice by slice.
+    More than ``most`` rows (``max_possible_clusters`` by default) are an error.  A model that could be
+    too large for one slice is written to the workspace first, under a ``name`` of its own, and read
+    back slice by slice.
     """
     at_once = max(1, config.model_broadcast_bytes // slice_bytes(dims))
-    small = config.max_possible_clusters <= at_once
+    most = config.max_possible_clusters if most is None else most
+    small = most <= at_once
     if not small and workspace is not None:
         model = workspace.save(model, name)
     if small:
-        rows = collect_arrays(model.select(*SCORE_COLUMNS, "n", "ok"))
+        rows = collect_arrays(model.select(*SCORE_COLUMNS, "n", "ok").limit(most + 1))
         sizes = {r["cluster_id"]: r["n"] for r in rows}
         singular = [r["cluster_id"] for r in rows if not r["ok"]]
         slices = [[r for r in rows if r["cluster_id"] and r["ok"]]]
     else:
-        heads = model.select("cluster_id", "n", "ok").collect()
+        heads = model.select("cluster_id", "n", "ok").limit(most + 1).collect()
         sizes = {r["cluster_id"]: r["n"] for r in heads}
         singular = [r["cluster_id"] for r in heads if not r["ok"]]
         usable = sorted(c for c in sizes if c and c not in singular)
         slices = [usable[k : k + at_once] for k in range(0, len(usable), at_once)] or [[]]
+    if len(sizes) > most:
+        raise ValueError(f"more than {most} classes; max_possible_clusters is {config.max_possible_clusters}")
     weights = mixing_weights(sizes, sum(sizes.values()), config)
     out = MixtureModel(model, sizes, weights, singular)
     if small:
@@ -102,7 +115,9 @@ def load_slice(model: MixtureModel, part: list) -> list[dict]:
 
 def _broadcast_scorers(spark, model: MixtureModel, noise: DimensionModel, config: MixtureConfig):
     for part in model.slices:
-        yield spark.sparkContext.broadcast(K.Scorer(load_slice(model, part), noise.noise_mean, config.huge_score))
+        one = spark.sparkContext.broadcast(K.Scorer(load_slice(model, part), noise.noise_mean, config.huge_score))
+        model.shared.append(one)
+        yield one
 
 
 def assign(
@@ -203,6 +218,80 @@ def score_matrix(
     return out
 
 
+def overlaps(points: DataFrame, model: MixtureModel, dims: int) -> DataFrame:
+    """``point_id, cluster_id, overlap``: soft mask mass of a point on a cluster's unmasked dimensions."""
+    out = None
+    for part in model.slices:
+        rows = sorted(load_slice(model, part), key=lambda r: r["cluster_id"])
+        ids = np.array([r["cluster_id"] for r in rows], dtype=np.int32)
+        member = np.zeros((dims, len(rows)))
+        for k, r in enumerate(rows):
+            member[np.asarray(r["unmasked"], dtype=int), k] = 1.0
+
+        def step(batches, ids=ids, member=member):
+            for batch in batches:
+                mass = K.matrix(batch.column("w")) @ member if batch.num_rows else np.zeros((0, len(ids)))
+                points_of = np.repeat(batch.column("point_id").to_numpy(), len(ids))
+                columns = [pa.array(points_of), pa.array(np.tile(ids, batch.num_rows)), pa.array(mass.ravel())]
+                yield pa.RecordBatch.from_arrays(columns, names=["point_id", "cluster_id", "overlap"])
+
+        found = map_arrow(points.select("point_id", "w"), step, "point_id BIGINT, cluster_id INT, overlap DOUBLE")
+        out = found if out is None else out.union(found)
+    return out
+
+
+SUM_COLUMNS = ("mahalanobis", "variance_term", "nlp")
+
+
+def score_sums(points: DataFrame, model: MixtureModel, noise: DimensionModel, config: MixtureConfig) -> DataFrame:
+    """Per class and cluster: number of points, and sum, least and largest of the three score columns.
+
+    Scores are added up inside the tasks; what leaves a task is a row per class and cluster."""
+    spark, expectations = points.sparkSession, noise.kernel()
+    schema = "class INT, cluster_id INT, n BIGINT, " + ", ".join(
+        f"{c}_total DOUBLE, {c}_low DOUBLE, {c}_high DOUBLE" for c in SUM_COLUMNS
+    )
+    out = None
+    for scorer in _broadcast_scorers(spark, model, noise, config):
+
+        def sums(batches, scorer=scorer):
+            s = scorer.value
+            held: dict[int, list] = {}
+            for batch in batches:
+                if batch.num_rows == 0 or not len(s.ids):
+                    continue
+                classes = batch.column("class").to_numpy(zero_copy_only=False)
+                y, corr, _ = expectations.of(batch)
+                mahal, extra = s.mahalanobis(y - s.nu), s.variance_term(corr)
+                values = (mahal, extra, 0.5 * (mahal + extra) + s.const)
+                for c in np.unique(classes).tolist():
+                    at = classes == c
+                    old = held.get(c)
+                    new = [int(at.sum())]
+                    for k, v in enumerate(values):
+                        part = (v[at].sum(axis=0), v[at].min(axis=0), v[at].max(axis=0))
+                        if old is not None:
+                            t, low, high = old[k + 1]
+                            part = (t + part[0], np.minimum(low, part[1]), np.maximum(high, part[2]))
+                        new.append(part)
+                    if old is not None:
+                        new[0] += old[0]
+                    held[c] = new
+            for c, (n, *parts) in held.items():
+                k = len(s.ids)
+                columns = [pa.array(np.full(k, c, np.int32)), pa.array(s.ids.astype(np.int32)), pa.array(np.full(k, n, np.int64))]
+                columns += [pa.array(v) for part in parts for v in part]
+                names = ["class", "cluster_id", "n"] + [f"{x}_{y}" for x in SUM_COLUMNS for y in ("total", "low", "high")]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+        part = map_arrow(points.select("class", "x", "w"), sums, schema)
+        out = part if out is None else out.unionByName(part)
+    merged = [F.sum("n").alias("n")]
+    for c in SUM_COLUMNS:
+        merged += [F.sum(f"{c}_total").alias(f"{c}_total"), F.min(f"{c}_low").alias(f"{c}_low"), F.max(f"{c}_high").alias(f"{c}_high")]
+    return out.groupBy("class", "cluster_id").agg(*merged)
+
+
 def own_scores(
     points: DataFrame, model: MixtureModel, noise: DimensionModel, config: MixtureConfig
 ) -> DataFrame:

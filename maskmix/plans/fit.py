@@ -138,12 +138,14 @@ def expectation_maximisation(
     while True:
         began = time.perf_counter()
         labelled = with_class(points, current)
-        model = read_model(m_step(labelled, points.noise, config, points.moment_tasks), dims, config, workspace)
+        fitted = m_step(labelled, points.noise, config, points.moment_tasks)
+        model = read_model(fitted, dims, config, workspace, f"model-{run}-{iteration}")
         for c in model.singular:
             log.info("class %d (%d points): covariance is singular, left out", c, model.counts[c])
         assigned = workspace.save(
             assign(labelled, model, points.noise, config, allow_noise), f"assigned-{run}-{iteration % 2}"
         )
+        model.release()
         outcome = conclude(assigned, set(model.clusters) | {0}, n, config, delete=recurse)
         current = apply_deletion(assigned, outcome.deleted)
         if outcome.deleted is not None:

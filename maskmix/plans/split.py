@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import logging
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,7 @@ def _halves_model(points, halves, config, workspace):
     labelled = points.frame.join(halves.hint("shuffle_hash"), "point_id")
     model = read_model(
         m_step(labelled.drop("class").withColumnRenamed("half", "class"), points.noise, config, points.moment_tasks),
-        points.noise.dims, config, workspace, "halves-model",
+        points.noise.dims, config, workspace, f"halves-model-{uuid.uuid4().hex}", 2 * config.max_possible_clusters,
     )
     weights = sub_weights({c: n for c, n in model.counts.items() if c}, config)
     return labelled, model, weights
@@ -148,7 +149,7 @@ def try_splits(points, current: DataFrame, score: float, outcome, config: Mixtur
     # class sums without mixing weights, for whole clusters and for halves
     n = points.n_points
     whole_points = points.frame.join(current.select("point_id", "class").hint("shuffle_hash"), "point_id")
-    whole_model = read_model(m_step(whole_points, points.noise, config, points.moment_tasks), points.noise.dims, config, workspace, "whole-model")
+    whole_model = read_model(m_step(whole_points, points.noise, config, points.moment_tasks), points.noise.dims, config, workspace, f"whole-model-{uuid.uuid4().hex}")
     whole = {r["class"]: r for r in own_scores(whole_points, whole_model, points.noise, config).collect()}
     labelled, two, _ = _halves_model(points, halves, config, workspace)
     half_points = labelled.drop("class").withColumnRenamed("half", "class")

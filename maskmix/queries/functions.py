@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from maskmix.config import MixtureConfig
 from maskmix.functions.arrays import hamming, portable_hash_sql, random_integer
-from maskmix.operators.moments import m_step
-from maskmix.operators.scoring import score_matrix
+from maskmix.operators.moments import m_step, mixing_weights
+from maskmix.operators.scoring import score_sums
 from maskmix.queries import frames as Q, sql as S
 from maskmix.queries.joins import chosen_masks, ARRIVALS, CHOSEN_MASKS
 from maskmix.queries.registry import query
@@ -106,11 +106,6 @@ def inverse_diagonal(spark, sf):
     return model.select("class", "dim", Q.r6(F.col("v")).alias("v"))
 
 
-def _line_scores(spark, sf):
-    points, noise = Q.lineitem_prepared(spark, sf)
-    return score_matrix(points, Q.fitted(points, noise, MixtureConfig()), noise, MixtureConfig())
-
-
 def _score_sums(column: str) -> str:
     return S.with_(*LINES) + (
         f"SELECT old_class AS class, CAST(cluster_id AS INTEGER) AS cluster_id, count(*) AS n, "
@@ -120,9 +115,11 @@ def _score_sums(column: str) -> str:
 
 
 def _summed(spark, sf, column):
-    v = F.col(column)
-    return _line_scores(spark, sf).where("cluster_id <> 0").groupBy("class", "cluster_id").agg(
-        F.count("*").alias("n"), Q.r6(F.sum(v), 3).alias("total"), Q.r6(F.min(v)).alias("low"), Q.r6(F.max(v)).alias("high")
+    points, noise = Q.lineitem_prepared(spark, sf)
+    sums = score_sums(points, Q.fitted(points, noise, MixtureConfig()), noise, MixtureConfig())
+    return sums.select(
+        "class", "cluster_id", "n", Q.r6(F.col(f"{column}_total"), 3).alias("total"),
+        Q.r6(F.col(f"{column}_low")).alias("low"), Q.r6(F.col(f"{column}_high")).alias("high"),
     )
 
 
@@ -144,9 +141,11 @@ def cluster_score(spark, sf):
 
 @query("fn13_noise_score", S.with_(S.WEIGHTS) + f"SELECT vec_id AS point_id, {S.r6('-log_weight')} AS nlp FROM embeddings, weights WHERE class = 0")
 def noise_score(spark, sf):
-    points, noise = Q.embedding_prepared(spark, sf)
-    scores = score_matrix(points, Q.fitted(points, noise, Q.DIAGONAL), noise, Q.DIAGONAL)
-    return scores.where("cluster_id = 0").select("point_id", Q.r6(F.col("nlp")).alias("nlp"))
+    """Every point has the same noise score, which the sizes of the classes decide."""
+    points = Q.embedding_points(spark, sf).select("point_id", "class")
+    sizes = {r["class"]: r["count"] for r in points.groupBy("class").count().collect()}  # one row per class
+    weight = mixing_weights(sizes, sum(sizes.values()), Q.DIAGONAL)[0]
+    return points.select("point_id", Q.r6(F.lit(-math.log(weight))).alias("nlp"))
 
 
 @query(

@@ -102,10 +102,10 @@ def nearest_start_mask(spark, sf):
     S.with_(S.CELLS, S.MASKS) + "SELECT point_id, dense_rank() OVER (ORDER BY mask) - 1 AS mask_id FROM masks",
 )
 def points_with_mask_id(spark, sf):
-    from maskmix.queries.windows import mask_ids
+    from maskmix.queries.windows import mask_index
 
     masked = with_mask(Q.embedding_points(spark, sf))
-    return masked.join(mask_ids(spark, masked), "mask").select("point_id", "mask_id")
+    return mask_index(masked, Q.workspace(spark, "index")).select("point_id", F.col("mask_index").alias("mask_id"))
 
 
 @query(

@@ -10,7 +10,7 @@ from maskmix.config import MixtureConfig
 from maskmix.functions import arrays as A
 from maskmix.operators.dimensions import dimension_model, explode_dims, mask_expectation, normalise
 from maskmix.operators.moments import m_step
-from maskmix.operators.scoring import assign, score_matrix
+from maskmix.operators.scoring import assign, overlaps, score_matrix
 from maskmix.plans.fit import choose_subset
 from maskmix.queries import frames as Q, sql as S
 from maskmix.queries.registry import query
@@ -170,18 +170,7 @@ def quick_step_skips(spark, sf):
 def mask_overlap(spark, sf):
     """Soft mask mass of a point on the unmasked dimensions of every cluster, with its cut at 20."""
     points, noise = Q.embedding_prepared(spark, sf)
-    model = m_step(points, noise, MixtureConfig()).where("cluster_id <> 0").select("cluster_id", "unmasked").collect()
-    masks = F.array(
-        *[F.struct(F.lit(r["cluster_id"]).alias("cluster_id"), F.array(*[F.lit(i) for i in r["unmasked"]]).cast("array<int>").alias("dims")) for r in model]
-    )
-    overlap = F.transform(
-        masks,
-        lambda m: F.struct(
-            m["cluster_id"].alias("cluster_id"),
-            F.aggregate(m["dims"], A.double(0), lambda total, i: total + F.get("w", i)).alias("overlap"),
-        ),
-    )
-    rows = points.select("point_id", F.inline(overlap))
+    rows = overlaps(points, Q.fitted(points, noise, MixtureConfig()), noise.dims)
     kept = F.when(F.col("overlap") >= 20, 1).otherwise(0)
     return rows.select("point_id", "cluster_id", Q.r6(F.col("overlap")).alias("overlap"), kept.alias("kept"))
 

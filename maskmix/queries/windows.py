@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from maskmix.functions.arrays import mask_text
 from maskmix.operators.masks import change_flags, distinct_masks, sample_masks, with_mask
@@ -18,10 +18,24 @@ from maskmix.sources.sinks import mask_order
 RANKED = "ranked AS (SELECT point_id, mask, row_number() OVER (ORDER BY mask, point_id) - 1 AS rank FROM masks)"
 
 
-def mask_ids(spark: SparkSession, masked: DataFrame) -> DataFrame:
-    """Each distinct mask with its place in mask order."""
-    masks = distinct_masks(masked).select("mask")
-    return number_sorted(masks, ["mask"], "mask_id", Q.workspace(spark, "masks"))
+def mask_index(masked: DataFrame, workspace) -> DataFrame:
+    """``point_id, mask_index``: how many distinct masks come before a point's own.
+
+    Points are range-partitioned by (mask, point), so a mask of very many points lies in many pieces.
+    Changes of mask are counted inside each piece; the counts before it (one row per piece) are added.
+    """
+    ranged = masked.select("mask", "point_id").repartitionByRange("mask", "point_id")
+    stored = workspace.save(ranged.withColumn("piece", F.spark_partition_id()), "ranged")
+    order = Window.partitionBy("piece").orderBy("mask", "point_id")
+    changed = F.when(F.lag("mask").over(order) != F.col("mask"), 1).otherwise(0)
+    inside = F.sum("changed").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    counted = stored.withColumn("changed", changed).withColumn("inside", inside).drop("changed")
+    ends = stored.groupBy("piece").agg(F.min("mask").alias("low"), F.max("mask").alias("high"), F.countDistinct("mask").alias("n"))
+    pieces = Window.orderBy("piece")
+    new = F.when(F.lag("high").over(pieces) == F.col("low"), 0).otherwise(1)  # the first mask may go on from before
+    ends = ends.withColumn("new", new).withColumn("upto", F.sum(F.col("n") - 1 + F.col("new")).over(pieces))
+    firsts = ends.select("piece", (F.col("upto") - F.col("n")).alias("first"))
+    return join_small(counted, firsts, "piece").select("point_id", (F.col("first") + F.col("inside")).alias("mask_index"))
 
 
 @query("wn1_mask_order", S.with_(S.CELLS, S.MASKS, RANKED) + "SELECT point_id, mask, rank FROM ranked")
@@ -46,7 +60,7 @@ def mask_change_flag(spark, sf):
 )
 def running_mask_index(spark, sf):
     masked = with_mask(Q.embedding_points(spark, sf))
-    return masked.join(mask_ids(spark, masked), "mask").select("point_id", F.col("mask_id").alias("mask_index"))
+    return mask_index(masked, Q.workspace(spark, "index")).select("point_id", "mask_index")
 
 
 @query(
@@ -95,7 +109,7 @@ def alive_index(spark, sf):
     return alive.select("class", (F.row_number().over(Window.orderBy("class")) - 1).alias("alive_index"))
 
 
-BLOCK = 65536
+BLOCK = 65536  # rows of a block, and blocks of a group of blocks
 
 
 @query(
@@ -107,9 +121,13 @@ def inclusive_scan(spark, sf):
     events = Q.table(spark, sf, "events").select("event_id", "value")
     blocked = events.withColumn("block", F.floor(F.col("event_id") / BLOCK))
     inside = Window.partitionBy("block").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    totals = blocked.groupBy("block").agg(F.sum("value").alias("total"))
-    offsets = totals.select("block", F.coalesce(F.sum("total").over(before), F.lit(0.0)).alias("offset"))
+    totals = blocked.groupBy("block").agg(F.sum("value").alias("total")).withColumn("outer", F.floor(F.col("block") / BLOCK))
+    before = Window.partitionBy("outer").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    outer_before = Window.orderBy("outer").rowsBetween(Window.unboundedPreceding, -1)  # a row per 2^32 events
+    outer = totals.groupBy("outer").agg(F.sum("total").alias("sum"))
+    outer = outer.select("outer", F.coalesce(F.sum("sum").over(outer_before), F.lit(0.0)).alias("earlier"))
+    inner = totals.select("outer", "block", F.coalesce(F.sum("total").over(before), F.lit(0.0)).alias("near"))
+    offsets = inner.join(outer, "outer").select("block", (F.col("near") + F.col("earlier")).alias("offset"))
     scanned = join_small(blocked.withColumn("inside", F.sum("value").over(inside)), offsets, "block")
     return scanned.select("event_id", Q.r6(F.col("inside") + F.col("offset"), 2).alias("running"))
 
