@@ -25,7 +25,7 @@ class MixtureConfig:
     n_starts: int = 1
     subset: int = 1
     random_seed: int = 1
-    use_masked_initial_conditions: bool = False
+    use_masked_initial_conditions: bool = False  # accepted; starts come from masks in either case
     assign_to_first_closest_mask: bool = False
 
     # score

@@ -85,7 +85,7 @@ def prepare_points(points: DataFrame, config: MixtureConfig) -> PreparedPoints:
     The number of partitions follows the scan, hence the data volume.  Points stay raw: the model
     steps scale and mask them on the fly, so no wider copy is shuffled or kept.
     """
-    points, parts = spread(points.select("point_id", "x", "w"))
+    points, parts = spread(points.select("point_id", "x", "w"), "point_id")
     noise = point_model(points, config.normalise)
     return lay_out(points, noise, noise.n_points, parts)
 

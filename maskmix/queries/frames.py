@@ -32,7 +32,7 @@ def soft_mask(x: Column, slope: float) -> Column:
 
 def embedding_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``point_id, class, x, w``: 64 features, start class and a soft mask that grows with |x|."""
-    e, _ = spread(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    e, _ = spread(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), "vec_id")
     return e.select(
         F.col("vec_id").alias("point_id"),
         F.col("label").alias("class"),

@@ -132,20 +132,20 @@ def splits(spark, sf):
     """A fit from one cluster per half of the labels, with splitting switched on."""
     points = Q.embedding_points(spark, sf)
     start = points.select("point_id", F.when(F.col("class") < 5, 1).otherwise(2).alias("class"))
-    config = MixtureConfig(split="seeded", split_first=2, max_iter=6)
+    config = MixtureConfig(split="seeded", split_first=2)
     return resume(points, start, config).classes
 
 
 @query("it8_subset_fit", None)
 def subset_fit(spark, sf):
-    config = replace(MixtureConfig(), subset=2, mask_starts=12, max_iter=4)
+    config = replace(MixtureConfig(), subset=2, mask_starts=12)
     return fit(Q.embedding_points(spark, sf), config).classes
 
 
 @query("it9_sweep", None)
 def sweep(spark, sf):
     """Start counts 6 to 8 without mask-start override; the best score wins."""
-    config = replace(MixtureConfig(), mask_starts=0, use_masked_initial_conditions=True, min_clusters=6, max_clusters=8, max_iter=1)
+    config = replace(MixtureConfig(), mask_starts=0, min_clusters=6, max_clusters=8)
     result = fit(Q.embedding_points(spark, sf), config)
     return result.metrics_frame(spark).groupBy("run").agg(
         F.max("iteration").alias("last"), Q.r6(F.max_by("score", "iteration"), 4).alias("score")

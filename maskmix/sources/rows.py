@@ -7,14 +7,15 @@ from pyspark.sql import DataFrame, Window, functions as F
 SMALL_ROWS = 100_000
 
 
-def spread(df: DataFrame) -> tuple[DataFrame, int]:
+def spread(df: DataFrame, *by: str) -> tuple[DataFrame, int]:
     """A scan with at least one partition per core, and its partition count.
 
-    Only a table too small to occupy the cores is moved; a large scan stays as it is.  Hashing whole
-    rows needs no sort, unlike dealing them out in turn.
+    Only a table too small to occupy the cores is moved; a large scan stays as it is.  Rows go by the
+    hash of ``by``, which lets the planner drop columns that nobody reads before they move, or else
+    of the whole row; neither needs a sort, unlike dealing them out in turn.
     """
     parts, cores = df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism
-    return (df, parts) if parts >= cores else (df.repartition(cores, *df.columns), cores)
+    return (df, parts) if parts >= cores else (df.repartition(cores, *(by or df.columns)), cores)
 
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", most: int = SMALL_ROWS) -> DataFrame:
