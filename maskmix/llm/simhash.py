@@ -250,7 +250,8 @@ def keep_first(
     place = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row"))
     first = narrow.groupBy("fp").agg(F.min(place).alias("place"))  # copies are summed up before they meet their root
     kept = first.join(named, "fp").groupBy("root").agg(F.min("place").alias("place")).select(F.col("place.row").alias(row))
-    return stored.join(workspace.save(kept, "kept"), row, "left_semi").select(*own)
+    kept = workspace.save(kept, "kept").hint("merge")  # as many rows as texts: alike at every size
+    return stored.join(kept, row, "left_semi").select(*own)
 
 
 def fingerprint_hex(fp: str):
