@@ -395,11 +395,11 @@ def test_recurrent_gradients_and_state():
     begin[3, 1] = True
 
     def loss():
-        states, _, _ = network.forward(source, begin, np.zeros((3, 4)), False)
+        states, _, _ = network.forward(source, begin, np.zeros((4, 3)), False)
         real = target.reshape(-1) >= 0
-        return -network.log_probability(states.reshape(-1, 4)[real].astype(np.float64), target.reshape(-1)[real]).sum()
+        return -network.log_probability(R.rows_of(states)[real].astype(np.float64), target.reshape(-1)[real]).sum()
 
-    got, _, _, count = network.gradients(source, target, begin, np.zeros((3, 4)))
+    got, _, _, count = network.gradients(source, target, begin, np.zeros((4, 3)))
     for array, gradient in zip(w.arrays()[:5], got):
         for _ in range(3):
             at = tuple(rng.integers(0, n) for n in array.shape)
