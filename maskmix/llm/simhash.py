@@ -36,24 +36,31 @@ _BALL = 2081  # fingerprints within two bits of one
 _SHINGLES_AT_ONCE = 100_000
 
 
-def fingerprint(text: str | None, width: int = SHINGLE, seed: int = SEED) -> int:
-    """Signed 64-bit SimHash of a whole text over word shingles, repeats included; no words: zero."""
+def shingle_hashes(text: str | None, width: int, seed: int = SEED):
+    """Hashes of all word shingles of a whole text, repeats included, a bounded number at a time; a text of
+    fewer words is one shingle."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     size = np.array([len(w) for w in words], dtype=np.int64)
     stop = np.cumsum(size + 1) - 1
     width = min(width, len(words))
     starts = (stop - size)[: len(words) - width + 1].tolist()
     stops = stop[width - 1 :].tolist()
-    ones = np.zeros(64, dtype=np.int64)
     digest = xxhash.xxh64_intdigest
     for at in range(0, len(starts), _SHINGLES_AT_ONCE):
         some = zip(starts[at : at + _SHINGLES_AT_ONCE], stops[at : at + _SHINGLES_AT_ONCE])
-        h = np.array([digest(joined[a:b], seed) for a, b in some], dtype="<u8")
+        yield np.array([digest(joined[a:b], seed) for a, b in some], dtype="<u8")
+
+
+def fingerprint(text: str | None, width: int = SHINGLE, seed: int = SEED) -> int:
+    """Signed 64-bit SimHash of a whole text over word shingles, repeats included; no words: zero."""
+    ones, n = np.zeros(64, dtype=np.int64), 0
+    for h in shingle_hashes(text, width, seed):
+        n += len(h)
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * ones > len(starts), bitorder="little")
+    bits = np.packbits(2 * ones > n, bitorder="little")
     return int(bits.view("<i8")[0])
 
 

@@ -25,6 +25,7 @@ from maskmix.llm.packing import pack_documents, plan
 from maskmix.llm.quality import Machine, fit, labelled_sample, train, with_quality
 from maskmix.llm.secrets import base_spans, find_secrets, redact, spans_text
 from maskmix.llm.simhash import fingerprint, keep_first, near_duplicates, near_links
+from maskmix.llm.similar import keep_first_similar
 from maskmix.llm.token_files import pack, read_token_files, unpack, write_token_files
 from maskmix.llm.tokens import Encoder
 from maskmix.llm.topk import top_k, whole_numbers
@@ -215,6 +216,46 @@ def test_links_in_every_way_of_dealing(spark, bucket, most_blocks):
     assert {p: got.get(p, p) for p in prints} == {p: top(p) for p in prints}
 
 
+def edited_texts():
+    """Three families of texts with 1 to 12 words of 240 replaced, some of them edits of edits."""
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    texts = []
+    for _ in range(3):
+        family = [[word() for _ in range(240)]]
+        for k in range(25):
+            new = list(family[rng.integers(len(family))])
+            for at in rng.choice(240, 1 + k % 12, replace=False):
+                new[at] = word()
+            family.append(new)
+        texts += [" ".join(f) for f in family]
+    return texts
+
+
+@pytest.mark.parametrize("members", [1024, 6])
+def test_keep_first_similar(spark, docs, none, members):
+    rows = [(i, t) for i, t in enumerate(edited_texts() + ["a b c", "a b c", "", None, "one two three four five six seven eight nine"])]
+    rows += [(None, rows[0][1]), (None, "no id"), (rows[5][0], rows[5][1])]
+    sets = []
+    for _, t in rows:
+        w = words(t)
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    name, wide = list(range(len(rows))), 0
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                wide += a != b and ((fingerprint(rows[i][1]) ^ fingerprint(rows[j][1])) % 2**64).bit_count() > 4
+                old, new = max(name[i], name[j]), min(name[i], name[j])
+                name = [new if x == old else x for x in name]
+    want = Counter(min((rows[i][0] is None, rows[i][0]) for i in range(len(rows)) if name[i] == n)[1] for n in set(name))
+    assert wide > 20 and 5 < len(want) < 60  # similar texts whose fingerprints are further apart than near-dedup links
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert Counter(r.doc_id for r in keep_first_similar(frame, members=members).collect()) == want
+    kept = keep_first_similar(docs)
+    assert kept.columns == docs.columns and kept.count() == 8
+    assert keep_first_similar(none).count() == 0
+
+
 def test_components_of_chain_and_star(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 50)]
     df = spark.createDataFrame(edges, "u long, v long").repartition(4)
