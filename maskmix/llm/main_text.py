@@ -2,7 +2,7 @@
 
 Paragraphs give points for their length and commas to the elements around them, fewer the further
 away; an element's points are discounted by the share of its text that lies in links.  The best
-element is kept with those of its siblings that read like it, without menus, page headers and
+element is kept with its headings and all siblings that are not mostly links, without menus, page headers and
 footers, sidebars, notices, adverts, forms and reader comments.
 """
 
@@ -50,6 +50,12 @@ _BOILERPLATE = frozenset(
 )
 _BOILERPLATE_START = re.compile(r"(?:advert|sponsor|promo|cookie|recommend|newsletter|subscri|breadcrumb)")
 
+#: Words that make a name speak of a page's state, and names of headlines.
+_STATE = frozenset("has no not with without is open closed enabled disabled on off".split())
+_HEADLINE = re.compile(r"(?:entry|post|article|page|content|section)[-_]+header")
+#: Elements with these words never hold the article, however long they are.
+_NEVER = frozenset("comment comments commentlist disqus respond reply replies nav navbar navigation menu menubar".split())
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(script|style|noscript|template|textarea|title|iframe|xmp)\b[^>]*+>.*?(?:</\1\s*+>|\Z)"
@@ -63,28 +69,28 @@ _WORD = re.compile(r"[a-z0-9]+")
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "dropped", "points", "size", "linked", "link", "root")
+    __slots__ = ("tag", "parent", "dropped", "points", "size", "linked", "link", "root", "named", "never")
 
-    def __init__(self, tag: str, parent: _Node | None, dropped: bool):
+    def __init__(self, tag: str, parent: _Node | None, dropped: bool, named: bool = False, never: bool = False):
+        self.named, self.never = named, never  # by its class, id or role not of the article, and surely so
         self.tag, self.parent, self.dropped = tag, parent, dropped
         self.points = 0.0
         self.size = self.linked = 0  # characters inside, and those in links
         self.link = tag == "a" or (parent is not None and parent.link)
 
 
-def _boilerplate(tag: str, attributes: str) -> bool:
-    if tag in _WHOLE:
-        return False
-    if tag in _DROPPED:
-        return True
-    if not attributes or "=" not in attributes:
-        return False
+def _listed(tag: str, attributes: str) -> list[str]:
+    """Words on the list at the beginning or end of a class, id or role."""
+    if tag in _WHOLE or tag in _HEADING or not attributes or "=" not in attributes:
+        return []
+    out = []
     for found in _NAMES.findall(attributes):
         for name in "".join(found).lower().split():
             words = _WORD.findall(name)
-            if tag not in _HEADING and any(w in _BOILERPLATE or _BOILERPLATE_START.match(w) for w in words):
-                return True
-    return False
+            if words and not _STATE.intersection(words) and not _HEADLINE.fullmatch(name):
+                ends = {words[0], words[-1]}
+                out += [w for w in ends if w in _BOILERPLATE or _BOILERPLATE_START.match(w)]
+    return out
 
 
 def _blocks(page: str) -> list[tuple[_Node, str]]:
@@ -146,7 +152,9 @@ def _blocks(page: str) -> list[tuple[_Node, str]]:
         if old is not None and old.parent is not None:
             node = old.parent
         if tag not in _VOID and not attributes.endswith("/"):
-            node = _Node(tag, node, node.dropped or _boilerplate(tag, attributes))
+            listed = () if node.dropped else _listed(tag, attributes)
+            dropped = node.dropped or tag in _DROPPED or bool(listed and tag not in _BLOCK)
+            node = _Node(tag, node, dropped, bool(listed), not _NEVER.isdisjoint(listed))
         elif tag not in _VOID and tag in _BLOCK:
             continue
     if at < len(page) and not node.dropped:
@@ -154,7 +162,43 @@ def _blocks(page: str) -> list[tuple[_Node, str]]:
             holder = node
         parts.append(page[at:])
     close_block()
-    return blocks
+    return _of_article(blocks)
+
+
+def _of_article(blocks: list[tuple[_Node, str]]) -> list[tuple[_Node, str]]:
+    """``blocks`` without those in elements named as boilerplate, but for elements that hold most of the
+    page's paragraph points when no article or main element has any outside of them."""
+    held: dict[_Node, float] = {}
+    total, whole = 0.0, []
+    for node, text in blocks:
+        if node.tag in _HEADING:
+            continue
+        points = (1 + text.count(",") + min(len(text) / 100, 3.0)) * (1 - min(1.0, node.linked / len(text)))
+        around, marked, never, up = set(), False, False, node
+        while up is not None:
+            marked, never = marked or up.tag in ("article", "main"), never or up.never
+            if up.named:
+                around.add(up)
+            up = up.parent
+        total += 0.0 if never else points
+        for n in () if never else around:
+            held[n] = held.get(n, 0.0) + points
+        if marked:
+            whole.append(around)
+    spared = {n for n, p in held.items() if 2 * p > total and all(n in around for around in whole)}
+    known: dict[_Node, bool] = {}
+
+    def out(node: _Node) -> bool:
+        path, at = [], node
+        while at is not None and at not in known:
+            path.append(at)
+            at = at.parent
+        gone = known[at] if at is not None else False
+        for p in reversed(path):
+            gone = known[p] = gone or (p.named and p not in spared)
+        return gone
+
+    return [(node, text) for node, text in blocks if not out(node)]
 
 
 def _score(blocks: list[tuple[_Node, str]]) -> dict[_Node, float]:
@@ -206,7 +250,10 @@ def main_text(page: str | None) -> str:
         for p in reversed(path):
             if not inside and p.parent is best.parent and p.parent is not None:
                 link = p.linked / p.size if p.size else 0.0
-                inside = scores.get(p, 0.0) >= limit or (p.tag == "p" and p.size > 80 and link < 0.25)
+                if best.tag in ("article", "main"):  # the page says where its text ends
+                    inside = scores.get(p, 0.0) >= limit or (p.tag == "p" and p.size > 80 and link < 0.25)
+                else:
+                    inside = p.tag in _HEADING or link < 0.25
             kept[p] = inside
         return inside
 

@@ -387,6 +387,17 @@ def test_main_text():
     assert main_text("<p>" + "x, y. " * 50_000).count("x, y.") == 50_000
 
 
+def test_main_text_keeps_the_whole_article():
+    long, short = "Words of a long section, with commas, and more. " * 7, "One more, short, section, here."
+    sections = "<div>" + f"<p>{long}</p>" * 10 + f"</div><div><p>{short}</p></div>"
+    page = f"<body><h2>Title</h2>{sections}<div><a href=1>one more, link, list</a></div></body>"
+    assert main_text(page) == "\n\n".join(["Title", *[long.strip()] * 10, short])
+    for name in ("post has-sidebar", "no-sidebar", "comments-open", "entry-header", "sidebar", "page-widget"):
+        assert main_text(f"<body><div class='{name}'><p>{long}</p></div><div class=share><p>Share, it.</p></div></body>") == long.strip()
+    for name in ("comments", "comment-list", "post-comments"):  # longer than the text, but not the text
+        assert main_text(f"<body><div><p>{short}</p></div><div class={name}>" + f"<p>{long}</p>" * 5 + "</div></body>") == short
+
+
 def test_main_text_columns(spark):
     df = spark.createDataFrame([(1, "u", "<p>a</p>"), (None, None, None)], "page_id long, url string, html string")
     assert rows_of(with_main_text(df, "html", "text", "n_chars").drop("html")) == [(None, None, "", 0), (1, "u", "a", 1)]
