@@ -14,6 +14,8 @@ from maskmix.functions.runtime import map_arrow
 
 #: Bytes of text a task works on at once; a longer text is a batch of its own.
 BATCH_BYTES = 2_000_000
+#: Rows of a batch at most, however short their texts are.
+BATCH_ROWS = 2048
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,12 +41,14 @@ def texts_of(batch: pa.RecordBatch, name: str) -> list[str]:
 
 
 def regroup(batches: Iterable[pa.RecordBatch], name: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in the same order, in batches of about ``most`` bytes of column ``name``."""
+    """The same rows in the same order, in batches of about ``most`` bytes of column ``name`` and at most
+    ``BATCH_ROWS`` rows."""
     held: list[pa.RecordBatch] = []
     size = 0
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
+    for batch in _bounded(batches):
+        if sum(h.num_rows for h in held) + batch.num_rows > BATCH_ROWS:
+            yield _joined(held)
+            held, size = [], 0
         column = batch.column(batch.schema.get_field_index(name))
         ends = pc.cumulative_sum(pc.fill_null(pc.binary_length(column), 0).cast(pa.int64())).to_pylist()
         start, before = 0, 0
@@ -60,6 +64,12 @@ def regroup(batches: Iterable[pa.RecordBatch], name: str, most: int = BATCH_BYTE
         yield _joined(held)
 
 
+def _bounded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, BATCH_ROWS):
+            yield batch.slice(at, BATCH_ROWS)
+
+
 def _joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
     return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
