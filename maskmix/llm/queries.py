@@ -177,6 +177,32 @@ def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(workspace.save(windows, "windows"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskmix.llm.lexical import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = r"""
+WITH letters AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS up, 'abcdefghijklmnopqrstuvwxyz' AS low),
+d AS (SELECT row_number() OVER () AS r, doc_id, t, len(t) AS n
+  FROM (SELECT doc_id, regexp_extract_all(translate(text, up, low), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+    FROM documents, letters) x WHERE len(t) > 0),
+a AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM d),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, up, low),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark, letters),
+p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM d) x
+  WHERE term IN (SELECT term FROM q) GROUP BY r, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, a GROUP BY term, n_docs),
+s AS (SELECT q.item_id, d.r, d.doc_id,
+    CAST(sum(w.w * ((1000000000 * p.tf) // (1000 * p.tf + 20 * (100 - 50 + ((50 * d.n * a.n_docs) // a.n_terms))))) AS BIGINT) AS score
+  FROM q JOIN w USING (term) JOIN p USING (term) JOIN d ON d.r = p.r, a GROUP BY q.item_id, d.r, d.doc_id)
+SELECT item_id, CAST(k AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS k FROM s WHERE score > 0) x
+WHERE k <= 50
+"""
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -188,7 +214,8 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_decontamination": op9_decontamination,
     "op10_language_id": op10_language_id,
+    "op11_lexical_search": op11_lexical_search,
     "op12_chat_format": op12_chat_format,
     "page_language_id": page_language_id,
 }
-SQL: dict[str, str] = {"op4_pivot_top_k": OP4_SQL, "op9_decontamination": OP9_SQL}
+SQL: dict[str, str] = {"op4_pivot_top_k": OP4_SQL, "op9_decontamination": OP9_SQL, "op11_lexical_search": OP11_SQL}
