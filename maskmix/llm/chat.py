@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from maskmix.functions.runtime import map_arrow
-from maskmix.llm.common import append, regroup, texts_of
+from maskmix.llm.common import regroup, texts_of
 from maskmix.llm.tokens import encoder
 from maskmix.workspace import Workspace
 
@@ -89,29 +89,22 @@ def plan_windows(tokens: np.ndarray, known: int, system: int, limits: Limits) ->
     return out
 
 
-def _count_tokens(tokenizer_path: str):
-    tokens = encoder(tokenizer_path)
-
-    def run(batch: pa.RecordBatch):
-        return [pa.array([len(ids) // 4 + MARK_TOKENS for ids in tokens.encode(texts_of(batch, "__body"))], pa.int64())]
-
-    return run
-
-
-def _running(batches) -> Iterator[pa.RecordBatch]:
-    """Tokens and turns before each row within its conversation and partition."""
+def _running(batches, tokenizer_path: str) -> Iterator[pa.RecordBatch]:
+    """Tokens of each row, and tokens and turns before it within its conversation and partition."""
+    encode = encoder(tokenizer_path).encode
     conv, tokens, turns = object(), 0, 0
-    for batch in batches:
+    for batch in regroup(batches, "__text"):
+        roles, texts = texts_of(batch, "__role"), texts_of(batch, "__text")
+        sizes = [len(ids) // 4 + MARK_TOKENS for ids in encode([f"{r}\n{t}" for r, t in zip(roles, texts)])]
         before, place = [], []
-        ids = batch.column(batch.schema.get_field_index("__conv")).to_pylist()
-        for c, n in zip(ids, batch.column(batch.schema.get_field_index("__tokens")).to_pylist()):
+        for c, n in zip(batch.column(batch.schema.get_field_index("__conv")).to_pylist(), sizes):
             if c != conv:
                 conv, tokens, turns = c, 0, 0
             before.append(tokens)
             place.append(turns)
             tokens, turns = tokens + n, turns + 1
-        columns = [*batch.columns, pa.array(before, pa.int64()), pa.array(place, pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "__before", "__place"])
+        columns = [*batch.columns, *(pa.array(x, pa.int64()) for x in (sizes, before, place))]
+        yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "__tokens", "__before", "__place"])
 
 
 def _bases(stored: DataFrame) -> DataFrame:
@@ -232,11 +225,9 @@ def format_chats(
         _escaped(F.coalesce(F.col(text_col), F.lit(""))).alias("__text"),
     )
     order = ["__conv", "__turn", "__role", "__text"]
-    body = rows.withColumn("__body", F.concat("__role", F.lit("\n"), "__text"))
-    counted = append(body, "__body", [("__tokens", "long")], partial(_count_tokens, tokenizer_path)).drop("__body")
-    laid = counted.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in laid.schema) + ", __before long, __place long"
-    stored = workspace.save(map_arrow(laid, _running, schema), "turns")
+    laid = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in laid.schema) + ", __tokens long, __before long, __place long"
+    stored = workspace.save(map_arrow(laid, partial(_running, tokenizer_path=tokenizer_path), schema), "turns")
 
     goes_on = F.col("__first").eqNullSafe(F.col("__conv"))
     base = lambda c: F.when(goes_on, F.col(c)).otherwise(0)
