@@ -203,6 +203,43 @@ WHERE k <= 50
 """
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskmix.llm.variants import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+#: The checksum goes bit by bit over the UTF-8 bytes of id and run; near words meet where one letter is left out.
+OP13_SQL = r"""
+WITH r AS (SELECT concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':') AS id,
+    unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]{7,}')) AS run FROM documents),
+low AS (SELECT id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM r),
+one AS (SELECT id, run, count(*) AS k FROM low GROUP BY id, run),
+crc AS (SELECT run, k, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(concat(id, run), ''),
+    lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195::BIGINT, unicode(c) - 64] END))),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))),
+    4294967295) AS h FROM one),
+cut AS (SELECT CASE WHEN h % 31 = 0 THEN concat(substr(run, 1, CAST(h % length(run) AS BIGINT)),
+    substr(run, CAST(h % length(run) AS BIGINT) + 2)) ELSE run END AS word, k FROM crc),
+w AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+del AS (SELECT word, n, i, concat(substr(word, 1, i - 1), substr(word, i + 1)) AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w) x),
+pair AS (
+  SELECT a.word AS u, b.word AS v, b.n FROM del a JOIN del b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM del a JOIN w b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM del a JOIN w b ON a.rest = b.word),
+best AS (SELECT u, count(*) AS n_near, arg_max(v, (n, k)) AS v, max(n) AS vn
+  FROM (SELECT *, -row_number() OVER (PARTITION BY u ORDER BY encode(v)) AS k FROM pair) x GROUP BY u),
+form AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN vn >= 10 * n THEN v END AS form,
+    CASE WHEN vn >= 10 * n THEN vn END AS form_n FROM w LEFT JOIN best ON u = word),
+root AS (WITH RECURSIVE walk AS (
+    SELECT word, word AS at FROM form UNION ALL
+    SELECT walk.word, form.form FROM walk JOIN form ON form.word = walk.at WHERE form.form IS NOT NULL)
+  SELECT walk.word, walk.at AS root FROM walk JOIN form ON form.word = walk.at WHERE form.form IS NULL)
+SELECT form.word, form.form, root.root, form.n, form.n_near, form.form_n FROM form JOIN root ON root.word = form.word
+"""
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -216,6 +253,8 @@ QUERIES = {
     "op10_language_id": op10_language_id,
     "op11_lexical_search": op11_lexical_search,
     "op12_chat_format": op12_chat_format,
+    "op13_spelling_variants": op13_spelling_variants,
     "page_language_id": page_language_id,
 }
-SQL: dict[str, str] = {"op4_pivot_top_k": OP4_SQL, "op9_decontamination": OP9_SQL, "op11_lexical_search": OP11_SQL}
+SQL: dict[str, str] = {"op4_pivot_top_k": OP4_SQL, "op9_decontamination": OP9_SQL, "op11_lexical_search": OP11_SQL,
+    "op13_spelling_variants": OP13_SQL}
