@@ -78,13 +78,13 @@ def words(text):
 
 def direct_ids(text):
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     return tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
 def test_encoder_equals_library():
     texts = TEXTS + [" ", "  ", " a", "a ", "a  b", "a \n b", "\n\n a\nb.", "don't, we'll. 'tis", "a\x85b c", "a.\r\nb c", "\0", "a,\nb. \nc!!", "\n'll x"]
-    got = Encoder(PATH, cache_pieces=3).encode(texts)
+    texts += ["hello <|endoftext|> there", "a  <|endoftext|>  b"]
+    got = Encoder(PATH, cache_bytes=900).encode(texts)
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [direct_ids(t) for t in texts]
 
 
