@@ -56,6 +56,11 @@ class MixtureConfig:
     save_covariance_means: bool = False
     dist_dump: bool = False
 
+    # how steps are computed; classes and scores do not depend on it
+    bounded_steps: bool = True
+    differences: str = "auto"  # M-step from moved points only: "auto" where that reads less, "always", "never"
+    recount_every: int = 20
+
     # largest slice of the cluster model sent to executors at once
     model_broadcast_bytes: int = 512 * 1024 * 1024
 

@@ -267,6 +267,24 @@ class Scorer:
     def scores(self, y, corr) -> np.ndarray:
         return 0.5 * (self.mahalanobis(y - self.nu) + self.variance_term(corr)) + self.const
 
+    def known(self, ids: np.ndarray, allow_noise: bool = True) -> np.ndarray:
+        """Which of these classes can be scored: usable clusters, and the noise class if it is allowed."""
+        return np.isin(ids, self.ids) | ((ids == 0) & allow_noise)
+
+    def own(self, rel, corr, ids: np.ndarray, noise_score: float) -> np.ndarray:
+        """The score of one named class per point."""
+        out = np.full(len(ids), noise_score)
+        for c in np.unique(ids[ids != 0]).tolist():
+            k, at = int(np.searchsorted(self.ids, c)), np.flatnonzero(ids == c)
+            r = rel[at]
+            mahal = np.maximum((r**2) @ self.quadratic[:, k] + r @ self.linear[:, k] + self.offset[k], 0.0)
+            unmasked, shift, root = self.blocks[k]
+            if len(unmasked):
+                residual = root @ r[:, unmasked].T - shift
+                mahal += np.einsum("ij,ij->j", residual, residual)
+            out[at] = 0.5 * (mahal + corr[at] @ self.inv_diag[k]) + self.const[k]
+        return out
+
     def overlap(self, weights) -> np.ndarray:
         """Soft mask mass of each point on each cluster's unmasked dimensions."""
         member = np.zeros((len(self.nu), len(self.clusters)))
@@ -288,13 +306,13 @@ class Scorer:
         return [np.concatenate(column) for column in zip(*parts)]
 
 
-def two_lowest(scores: np.ndarray, ids: np.ndarray, huge: float):
-    """Ids and scores of the best and second-best column; ties go to the earlier column, none is -1."""
+def lowest(scores: np.ndarray, ids: np.ndarray, huge: float, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Ids and scores of the ``k`` lowest columns in order; ties go to the earlier column, none is -1."""
     n = len(scores)
     rows = np.arange(n)
     found = []
     left = np.where(np.isfinite(scores) & (scores < huge), scores, np.inf)
-    for _ in range(2):
+    for _ in range(k):
         if left.shape[1] == 0:
             found.append((np.full(n, -1), np.full(n, np.inf)))
             continue
@@ -302,4 +320,10 @@ def two_lowest(scores: np.ndarray, ids: np.ndarray, huge: float):
         value = left[rows, at]
         found.append((np.where(np.isfinite(value), ids[at] if ids.ndim == 1 else ids[rows, at], -1), value))
         left[rows, at] = np.inf
-    return found[0] + found[1]
+    return found
+
+
+def two_lowest(scores: np.ndarray, ids: np.ndarray, huge: float):
+    """Ids and scores of the best and second-best column."""
+    one, two = lowest(scores, ids, huge, 2)
+    return one + two

@@ -37,7 +37,14 @@ MODEL_ARROW = pa.schema(
 def moment_cells(
     points: DataFrame, noise: DimensionModel, gram_for_noise: bool = False, tasks: int | None = None
 ) -> DataFrame:
-    """Summed moments of ``(class, x, w)`` as ``(class, stat, i, j, v)`` cells, relative to the noise mean.
+    """Summed moments of ``(class, x, w)`` as ``(class, stat, i, j, v)`` cells, relative to the noise mean."""
+    return unpack_cells(packed_cells(points, noise, gram_for_noise, tasks))
+
+
+def packed_cells(
+    points: DataFrame, noise: DimensionModel, gram_for_noise: bool = False, tasks: int | None = None
+) -> DataFrame:
+    """Summed moments of ``(class, x, w)`` under packed keys.
 
     Each task adds up its own points first; the cells are then summed by Spark under the key
     (class, stat, i, j), so even a class that holds most points is spread over many reducers.  With
@@ -60,8 +67,40 @@ def moment_cells(
 
     if tasks is not None:
         points = points.coalesce(tasks)
-    cells = map_arrow(points.select("class", "x", "w"), partial, K.CELL_SCHEMA)
-    return unpack_cells(cells.groupBy("cell").agg(F.sum("v").alias("v")))
+    return summed(map_arrow(points.select("class", "x", "w"), partial, K.CELL_SCHEMA))
+
+
+def summed(cells: DataFrame) -> DataFrame:
+    return cells.groupBy("cell").agg(F.sum("v").alias("v"))
+
+
+def moved_cells(moved: DataFrame, noise: DimensionModel) -> DataFrame:
+    """What points that changed their class add to the packed cells: ``(old_class, class, x, w)`` counts for
+    the new class and, with the opposite sign, for the old one."""
+    expectations = noise.kernel()
+    nu = expectations.mean
+
+    def partial(batches):
+        sums = [K.MomentSums(len(nu)), K.MomentSums(len(nu))]
+
+        def cells():
+            for one, sign in zip(sums, (1.0, -1.0)):
+                for batch in one.cells():
+                    values = pa.array(sign * batch.column("v").to_numpy())
+                    yield pa.RecordBatch.from_arrays([batch.column("cell"), values], names=["cell", "v"])
+
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            y, corr, w = expectations.of(batch)
+            for one, name in zip(sums, ("class", "old_class")):
+                one.add(batch.column(name).to_numpy(zero_copy_only=False), y - nu, w, corr)
+            if sum(one.bytes for one in sums) > K.FLUSH_BYTES:
+                yield from cells()
+                sums = [K.MomentSums(len(nu)), K.MomentSums(len(nu))]
+        yield from cells()
+
+    return map_arrow(moved.select("old_class", "class", "x", "w"), partial, K.CELL_SCHEMA)
 
 
 def unpack_cells(cells: DataFrame) -> DataFrame:
@@ -83,13 +122,20 @@ def m_step(points: DataFrame, noise: DimensionModel, config: MixtureConfig, task
     A group holds the summed cells of one class, at most d*d/2 + 3d + 1 rows however many points.
     Classes without points have no row, which is how empty clusters die.
     """
+    return model_of_cells(packed_cells(points, noise, tasks=tasks), noise, config)
+
+
+def model_of_cells(cells: DataFrame, noise: DimensionModel, config: MixtureConfig) -> DataFrame:
+    """The same from summed packed cells.  A class whose points have all left has no row either."""
     nu, sigma2 = noise.noise_mean, noise.noise_variance
     prior, mask_points = config.prior_point, config.points_for_cluster_mask
 
     def model(table: pa.Table) -> pa.Table:
-        cells = [table.column(c).to_numpy() for c in ("stat", "i", "j", "v")]
+        parts = [table.column(c).to_numpy() for c in ("stat", "i", "j", "v")]
         c = table.column("class")[0].as_py()
-        n, mean, unmasked, block, diagonal = K.covariance_from_moments(cells, nu, sigma2, prior, mask_points)
+        if parts[3][parts[0] == K.COUNT].sum() < 0.5:
+            return MODEL_ARROW.empty_table()
+        n, mean, unmasked, block, diagonal = K.covariance_from_moments(parts, nu, sigma2, prior, mask_points)
         if c == 0:  # noise is uniform: only its size matters
             factor = K.Factor(True, np.zeros((0, 0)), np.zeros(len(nu)), 0.0)
         else:
@@ -108,7 +154,7 @@ def m_step(points: DataFrame, noise: DimensionModel, config: MixtureConfig, task
         }
         return pa.Table.from_pylist([row], schema=MODEL_ARROW)
 
-    return apply_arrow(moment_cells(points, noise, tasks=tasks), ["class"], model, MODEL_SCHEMA)
+    return apply_arrow(unpack_cells(cells), ["class"], model, MODEL_SCHEMA)
 
 
 def mixing_weights(counts: dict[int, int], n_points: int, config: MixtureConfig) -> dict[int, float]:

@@ -13,7 +13,9 @@ from maskmix.functions.arrays import parameter_count
 
 def class_summary(assigned: DataFrame) -> DataFrame:
     """Per class: size, mean parameter count, own score, loss if deleted, points that moved here."""
+    scored = F.sum("scored") if "scored" in assigned.columns else F.lit(0)
     return assigned.groupBy("class").agg(
+        scored.cast("long").alias("scored"),
         F.count("*").alias("n"),
         F.avg(parameter_count(F.col("q"))).alias("params"),
         F.sum("nlp").alias("nlp"),
@@ -58,6 +60,7 @@ class StepOutcome:
     raw: float
     penalty: float
     alive: int
+    scored: int = 0  # point and cluster pairs whose score was computed, where the step counts them
 
     @property
     def score(self) -> float:
@@ -83,6 +86,7 @@ def conclude(assigned: DataFrame, alive: set[int], n_points: int, config: Mixtur
     """Reduce an assignment table to the iteration's totals; only per-class rows reach the driver."""
     rows = [r.asDict() for r in class_summary(assigned).collect()]
     sums = {r["class"]: r for r in rows}
+    scored = sum(r["scored"] for r in rows)
     gone = deletion_candidate(rows, alive, n_points, config) if delete else None
     gone_points = 0
     if gone is not None:
@@ -104,6 +108,7 @@ def conclude(assigned: DataFrame, alive: set[int], n_points: int, config: Mixtur
         raw=sum(r["nlp"] for r in sums.values()),
         penalty=sum(class_penalty(r["params"], n_points, config) for r in sums.values()),
         alive=len((alive | {0}) - {gone}),
+        scored=scored,
     )
 
 

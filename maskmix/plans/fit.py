@@ -15,7 +15,8 @@ from maskmix.config import MixtureConfig
 from maskmix.functions.arrays import random_integer
 from maskmix.operators.dimensions import DimensionModel, point_model
 from maskmix.operators.masks import start_classes
-from maskmix.operators.moments import m_step
+from maskmix.operators.bounds import assign_bounded, can_bound, model_drift, with_unknown_bound
+from maskmix.operators.moments import model_of_cells, moved_cells, packed_cells, summed
 from maskmix.operators.scoring import MixtureModel, assign, read_model
 from maskmix.operators.selection import apply_deletion, conclude
 from maskmix.sources.rows import number_sorted, spread
@@ -28,7 +29,8 @@ PARTITIONS_PER_MOMENT_TASK = 16
 
 METRICS_SCHEMA = (
     "run INT, iteration INT, step STRING, alive INT, deleted INT, deleted_points BIGINT, changed BIGINT, "
-    "raw DOUBLE, penalty DOUBLE, score DOUBLE, did_split INT, seconds DOUBLE, d2n DOUBLE, d3n DOUBLE"
+    "raw DOUBLE, penalty DOUBLE, score DOUBLE, did_split INT, seconds DOUBLE, d2n DOUBLE, d3n DOUBLE, "
+    "moment_points BIGINT, scored BIGINT"
 )
 
 
@@ -91,8 +93,51 @@ def prepare_points(points: DataFrame, config: MixtureConfig) -> PreparedPoints:
 
 
 def with_class(points: PreparedPoints, classes: DataFrame) -> DataFrame:
-    """Points with their class; the hash join builds on the narrow class table and needs no sort."""
-    return points.frame.join(classes.select("point_id", "class").hint("shuffle_hash"), "point_id")
+    """Points with the columns of a class table; the hash join builds on that narrow table and needs no sort."""
+    return points.frame.join(classes.hint("shuffle_hash"), "point_id")
+
+
+class MomentKeeper:
+    """Packed moment cells of the current classes, from all points or from those that moved.
+
+    Cells of the last step plus signed cells of the moved points are the cells of this step.  A full count
+    follows every ``recount_every`` steps, so that rounding cannot add up, after splits, and where so many
+    points moved that differences would read more.  Differences need the cells to be stored, which "auto"
+    does only where they are fewer than the points."""
+
+    def __init__(self, points: PreparedPoints, config: MixtureConfig, workspace: Workspace, name: str):
+        self.points, self.config, self.workspace, self.name = points, config, workspace, name
+        self.cells: DataFrame | None = None
+        self.age = self.turn = 0
+
+    def _worth_keeping(self, alive: int) -> bool:
+        if self.config.differences != "auto":
+            return self.config.differences == "always"
+        dims = self.points.noise.dims
+        return alive * (dims * (dims + 1) // 2 + 3 * dims + 1) <= self.points.n_points
+
+    def step(self, current: DataFrame, moved: int, alive: int) -> tuple[DataFrame, int]:
+        """Cells of the classes in ``current`` and the number of points they were counted from."""
+        everything = lambda: packed_cells(
+            with_class(self.points, current.select("point_id", "class")), self.points.noise, tasks=self.points.moment_tasks
+        )
+        if not self._worth_keeping(alive):
+            self.cells = None
+            return everything(), self.points.n_points
+        few = self.config.differences == "always" or 4 * moved <= self.points.n_points
+        if self.cells is None or not few or self.age >= self.config.recount_every:
+            found = everything()
+            self.age, count = 0, self.points.n_points
+        else:
+            went = current.where("old_class <> class").select("point_id", "old_class", "class")
+            found = summed(self.cells.unionByName(moved_cells(self.points.frame.join(went, "point_id"), self.points.noise)))
+            self.age, count = self.age + 1, moved
+        self.turn += 1
+        self.cells = self.workspace.save(found, f"cells-{self.name}-{self.turn % 2}")
+        return self.cells, count
+
+    def forget(self) -> None:
+        self.cells = None
 
 
 def is_full_step(changed: int, n_points: int, iteration: int, score: float, old_score: float, config) -> bool:
@@ -132,22 +177,30 @@ def expectation_maximisation(
     from maskmix.plans.split import try_splits  # the split plan runs this module's steps
 
     n, dims = points.n_points, points.noise.dims
-    spark = points.frame.sparkSession
-    current = workspace.save(start.select("point_id", F.col("class").cast("int")), f"start-{run}")
+    current = with_unknown_bound(workspace.save(start.select("point_id", F.col("class").cast("int")), f"start-{run}"))
     score, full, iteration, metrics = 0.0, True, 0, []
+    moments = MomentKeeper(points, config, workspace, str(run))
+    before, moved, alive = None, n, start_clusters or config.max_possible_clusters
     while True:
         began = time.perf_counter()
-        labelled = with_class(points, current)
-        fitted = m_step(labelled, points.noise, config, points.moment_tasks)
+        cells, moment_points = moments.step(current, moved, alive)
+        fitted = model_of_cells(cells, points.noise, config)
         model = read_model(fitted, dims, config, workspace, f"model-{run}-{iteration}")
         for c in model.singular:
             log.info("class %d (%d points): covariance is singular, left out", c, model.counts[c])
-        assigned = workspace.save(
-            assign(labelled, model, points.noise, config, allow_noise), f"assigned-{run}-{iteration % 2}"
-        )
+        if can_bound(model, config):
+            drift = None if before is None else model_drift(before, model, points.noise.noise_mean)
+            labelled = with_class(points, current.select("point_id", "class", "class2", "bound"))
+            scored = assign_bounded(labelled, model, drift, points.noise, config, allow_noise)
+        else:
+            labelled = with_class(points, current.select("point_id", "class"))
+            scored = assign(labelled, model, points.noise, config, allow_noise).withColumn("bound", F.lit(-math.inf))
+        assigned = workspace.save(scored, f"assigned-{run}-{iteration % 2}")
+        before = model if can_bound(model, config) else None
         model.release()
         outcome = conclude(assigned, set(model.clusters) | {0}, n, config, delete=recurse)
         current = apply_deletion(assigned, outcome.deleted)
+        moved, alive = outcome.changed, outcome.alive
         if outcome.deleted is not None:
             log.info("deleting class %d (%d points)", outcome.deleted, outcome.deleted_points)
         old_score, score = score, outcome.score
@@ -161,7 +214,8 @@ def expectation_maximisation(
             splits = try_splits(points, current, score, outcome, config, workspace)
             if splits is not None:
                 did_split = 1
-                current = workspace.save(splits, f"split-{run}-{iteration % 2}")
+                current = with_unknown_bound(workspace.save(splits, f"split-{run}-{iteration % 2}"))
+                moments.forget()
         metrics.append(
             {
                 "run": run,
@@ -178,6 +232,8 @@ def expectation_maximisation(
                 "seconds": time.perf_counter() - began,
                 "d2n": float(dims) ** 2 * n,
                 "d3n": float(dims) ** 3 * n,
+                "moment_points": moment_points,
+                "scored": outcome.scored or n * len(model.clusters),
             }
         )
         log.info(
