@@ -220,14 +220,21 @@ def snippets(filtered: DataFrame, found: DataFrame, config: DetectionConfig) ->
 
 
 def waveforms(pieces: DataFrame, config: DetectionConfig) -> DataFrame:
-    """One array per complete waveform; an array has at most before + after values."""
+    """One array per spike; an array has at most before + after values.
+
+    Where samples are missing, at either end of the trace or in a gap, the value of the nearest sample before
+    counts, or of the first one there is.  A spike without a single sample is not among the pieces."""
     length = config.extract_s_before + config.extract_s_after
     rows = pieces.groupBy("component", "channel").agg(
         F.sort_array(F.collect_list(F.struct("offset", "v"))).alias("parts")
     )
-    return rows.where(F.size("parts") == length).select(
-        "component", "channel", F.transform("parts", lambda p: p["v"]).alias("wave")
-    )
+    offsets = F.sequence(F.lit(-config.extract_s_before), F.lit(config.extract_s_after - 1))
+    first = F.get("parts", F.lit(0))["v"]
+    held = lambda o: F.try_element_at(F.filter("parts", lambda p: p["offset"] <= o), F.lit(-1))["v"]
+    reached = lambda o: F.get("parts", F.lit(0))["offset"] <= o
+    padded = F.transform(offsets, lambda o: F.when(reached(o), held(o)).otherwise(first))
+    wave = F.when(F.size("parts") == length, F.transform("parts", lambda p: p["v"])).otherwise(padded)
+    return rows.select("component", "channel", wave.alias("wave"))
 
 
 def principal_axes(waves: DataFrame, config: DetectionConfig) -> DataFrame:

@@ -124,6 +124,21 @@ def test_waveforms_and_principal_features(spark):
     assert limited.count() == 2
 
 
+def test_spikes_near_the_ends_and_gaps_keep_their_waveform(spark):
+    config = DetectionConfig(extract_s_before=3, extract_s_after=3, n_features_per_channel=2)
+    values = {s: float(s * s) for s in range(20) if s not in (9, 10)}
+    trace = spark.createDataFrame([(s, 0, v) for s, v in values.items()], "sample long, channel int, v double")
+    at = [0, 1, 8, 11, 19]
+    found = spark.createDataFrame([(k, s, 0) for k, s in enumerate(at)], "component long, sample long, channel int")
+    waves = T.waveforms(T.snippets(trace, found, config), config)
+    for r in waves.collect():
+        known = [s for s in range(at[r.component] - 3, at[r.component] + 3) if s in values]
+        want = [values[max([k for k in known if k <= s], default=known[0])] for s in range(at[r.component] - 3, at[r.component] + 3)]
+        assert r.wave == want
+    features = T.waveform_features(waves, T.principal_axes(waves, config), config)
+    assert features.where("size(features) = 2").count() == len(at)
+
+
 def test_detect_finds_a_planted_spike(spark):
     rate, n = 20000.0, 3000
     rng = np.random.default_rng(3)
