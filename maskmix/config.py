@@ -17,6 +17,9 @@ class MixtureConfig:
     drop_last_n_features: int = 0
     normalise: bool = True
 
+    # False: every value counts in full, covariances are full and the penalty is that of a plain mixture
+    use_masks: bool = True
+
     # model search
     mask_starts: int = 500
     min_clusters: int = 100
@@ -25,7 +28,7 @@ class MixtureConfig:
     n_starts: int = 1
     subset: int = 1
     random_seed: int = 1
-    use_masked_initial_conditions: bool = False  # accepted; starts come from masks in either case
+    use_masked_initial_conditions: bool = False  # starts from masks also where mask_starts is 0
     assign_to_first_closest_mask: bool = False
 
     # score
@@ -64,6 +67,16 @@ class MixtureConfig:
     # largest slice of the cluster model sent to executors at once
     model_broadcast_bytes: int = 512 * 1024 * 1024
 
+    def __post_init__(self):
+        if self.split != "off" and not self.use_masks:
+            raise ValueError("splits are decided with the penalties of masks; use_masks=False needs split='off'")
+        if self.differences not in ("auto", "always", "never"):
+            raise ValueError(f"differences is 'auto', 'always' or 'never', not {self.differences!r}")
+
+    @property
+    def starts_from_masks(self) -> bool:
+        return self.use_masks and (self.mask_starts > 0 or self.use_masked_initial_conditions)
+
     def starting_clusters(self) -> range:
         """Cluster counts to try; mask starts override the min/max range."""
         if self.mask_starts > 0:

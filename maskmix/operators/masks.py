@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from maskmix.config import MixtureConfig
-from maskmix.functions.arrays import HASH_OFFSET, HASH_PRIME, binary_mask, portable_uniform
+from maskmix.functions.arrays import HASH_OFFSET, HASH_PRIME, binary_mask, portable_uniform, random_integer
 from maskmix.functions.kernels import matrix
 from maskmix.functions.runtime import map_arrow
 
@@ -73,12 +73,16 @@ def nearest_mask(masked: DataFrame, chosen: list[list[int]], first_wins: bool =
 def start_classes(points: DataFrame, starting_clusters: int, config: MixtureConfig, seed: int) -> tuple[DataFrame, int]:
     """Start class of every point and the number of classes, noise included.
 
-    With fewer distinct masks than asked for, every mask starts a class.
+    With fewer distinct masks than asked for, every mask starts a class.  Where starts do not come from
+    masks, every point gets a seeded random class other than noise.
     """
     if starting_clusters > config.max_possible_clusters:
         raise ValueError(f"{starting_clusters} start classes; max_possible_clusters is {config.max_possible_clusters}")
     if starting_clusters <= 1:
         return points.select("point_id", F.lit(0).alias("class")), 1
+    if not config.starts_from_masks:
+        drawn = random_integer(F.col("point_id"), seed, 1, starting_clusters - 1)
+        return points.select("point_id", drawn.cast("int").alias("class")), starting_clusters
     masked = with_mask(points.select("point_id", "w"))
     chosen = sample_masks(distinct_masks(masked), starting_clusters - 1, seed).select("mask").collect()
     first_wins = config.mask_starts > 0 or config.assign_to_first_closest_mask

@@ -128,7 +128,7 @@ def m_step(points: DataFrame, noise: DimensionModel, config: MixtureConfig, task
 def model_of_cells(cells: DataFrame, noise: DimensionModel, config: MixtureConfig) -> DataFrame:
     """The same from summed packed cells.  A class whose points have all left has no row either."""
     nu, sigma2 = noise.noise_mean, noise.noise_variance
-    prior, mask_points = config.prior_point, config.points_for_cluster_mask
+    prior, mask_points = config.prior_point, config.points_for_cluster_mask if config.use_masks else 0.0
 
     def model(table: pa.Table) -> pa.Table:
         parts = [table.column(c).to_numpy() for c in ("stat", "i", "j", "v")]

@@ -42,12 +42,16 @@ def class_penalty(params: float, n_points: int, config: MixtureConfig) -> float:
     return config.penalty_k * 2 * params + config.penalty_k_log_n * params * math.log(n_points) / 2
 
 
+def cluster_penalty(params: float, n_points: int, config: MixtureConfig) -> float:
+    """What one cluster with ``params`` parameters adds to the penalty of an unmasked mixture."""
+    return config.penalty_k * params + config.penalty_k_log_n * params * math.log(n_points) / 2
+
+
 def classical_penalty(dims: int, alive: int, n_points: int, config: MixtureConfig) -> float:
     """Penalty of an unmasked mixture with ``alive`` classes; noise adds no parameters."""
     if alive == 1:
         return 0.0
-    params = (dims * (dims + 1) / 2 + dims + 1) * (alive - 1)
-    return config.penalty_k * params + config.penalty_k_log_n * params * math.log(n_points) / 2
+    return cluster_penalty((dims * (dims + 1) / 2 + dims + 1) * (alive - 1), n_points, config)
 
 
 @dataclass
@@ -74,9 +78,10 @@ def deletion_candidate(rows: list[dict], alive: set[int], n_points: int, config:
     """
     best, chosen = config.huge_score, None
     by_class = {r["class"]: r for r in rows}
+    gain = class_penalty if config.use_masks else cluster_penalty
     for c in sorted(alive - {0}):
         r = by_class.get(c)
-        delta = r["loss"] - class_penalty(r["params"], n_points, config) if r else 0.0
+        delta = r["loss"] - gain(r["params"], n_points, config) if r else 0.0
         if delta < best:
             best, chosen = delta, c
     return chosen if best < 0 else None
@@ -101,13 +106,19 @@ def conclude(assigned: DataFrame, alive: set[int], n_points: int, config: Mixtur
             held["params"] = (held["params"] * held["n"] + r["params"] * r["n"]) / n
             held["n"], held["nlp"] = n, held["nlp"] + r["nlp"]
             held["changed"] += r["changed"]
+    left = len((alive | {0}) - {gone})
+    if config.use_masks:
+        penalty = sum(class_penalty(r["params"], n_points, config) for r in sums.values())
+    else:  # every point has the same number of parameters
+        params = next((r["params"] for r in sums.values()), 0.0)
+        penalty = cluster_penalty(params * (left - 1), n_points, config)
     return StepOutcome(
         deleted=gone,
         deleted_points=gone_points,
         changed=sum(r["changed"] for r in sums.values()),
         raw=sum(r["nlp"] for r in sums.values()),
-        penalty=sum(class_penalty(r["params"], n_points, config) for r in sums.values()),
-        alive=len((alive | {0}) - {gone}),
+        penalty=penalty,
+        alive=left,
         scored=scored,
     )
 

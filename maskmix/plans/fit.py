@@ -19,6 +19,7 @@ from maskmix.operators.bounds import assign_bounded, can_bound, model_drift, wit
 from maskmix.operators.moments import model_of_cells, moved_cells, packed_cells, summed
 from maskmix.operators.scoring import MixtureModel, assign, read_model
 from maskmix.operators.selection import apply_deletion, conclude
+from maskmix.plans.journal import Journal
 from maskmix.sources.rows import number_sorted, spread
 from maskmix.workspace import Workspace
 
@@ -87,7 +88,8 @@ def prepare_points(points: DataFrame, config: MixtureConfig) -> PreparedPoints:
     The number of partitions follows the scan, hence the data volume.  Points stay raw: the model
     steps scale and mask them on the fly, so no wider copy is shuffled or kept.
     """
-    points, parts = spread(points.select("point_id", "x", "w"), "point_id")
+    weights = F.col("w") if config.use_masks else F.transform("x", lambda v: F.lit(1.0))
+    points, parts = spread(points.select("point_id", "x", weights.alias("w")), "point_id")
     noise = point_model(points, config.normalise)
     return lay_out(points, noise, noise.n_points, parts)
 
@@ -168,19 +170,28 @@ def expectation_maximisation(
     recurse: bool = True,
     allow_noise: bool = True,
     on_better: Callable[[DataFrame], None] | None = None,
+    journal: Journal | None = None,
 ) -> FitResult:
     """Repeat model, scores, assignment, deletion and optional splitting until nothing changes.
 
     Each iteration writes its assignment table, so lineage stays one step long and a lost executor
-    costs at most that step.  Two slots take turns; the step being read is never overwritten.
+    costs at most that step.  Two slots take turns; the step being read is never overwritten.  With a
+    journal the loop goes on after the last iteration recorded there.
     """
     from maskmix.plans.split import try_splits  # the split plan runs this module's steps
 
     n, dims = points.n_points, points.noise.dims
-    current = with_unknown_bound(workspace.save(start.select("point_id", F.col("class").cast("int")), f"start-{run}"))
     score, full, iteration, metrics = 0.0, True, 0, []
+    if journal is None or journal.last(run) is None:
+        start = workspace.save(start.select("point_id", F.col("class").cast("int")), f"start-{run}")
+        current = with_unknown_bound(start)
     moments = MomentKeeper(points, config, workspace, str(run))
     before, moved, alive = None, n, start_clusters or config.max_possible_clusters
+    if journal is not None and (known := journal.last(run)) is not None:
+        score, full, iteration, metrics = known["score"], known["full"], known["iteration"], known["metrics"]
+        moved, alive = known["moved"], known["alive"]
+        current = workspace.load(known["table"])
+        current = with_unknown_bound(current) if known["split"] else apply_deletion(current, known["deleted"])
     while True:
         began = time.perf_counter()
         cells, moment_points = moments.step(current, moved, alive)
@@ -247,6 +258,13 @@ def expectation_maximisation(
             break
         if outcome.changed == 0 and last_full and not did_split:
             break
+        if journal is not None:
+            journal.commit(run, iteration, {
+                "score": score, "full": full, "iteration": iteration, "moved": moved, "alive": alive,
+                "deleted": outcome.deleted, "split": bool(did_split), "metric": metrics[-1],
+                "start_clusters": start_clusters,
+                "table": f"{'split' if did_split else 'assigned'}-{run}-{iteration % 2 if did_split else (iteration - 1) % 2}",
+            })
     classes = workspace.save(current.select("point_id", "class"), f"classes-{run}")
     return FitResult(classes, score, model, outcome.alive, start_clusters, metrics)
 
@@ -270,7 +288,7 @@ class Hooks:
 
 def fit_on_subset(
     points: PreparedPoints, starting_clusters: int, config: MixtureConfig, workspace: Workspace, run: int,
-    seed: int, hooks: Hooks,
+    seed: int, hooks: Hooks, journal: Journal | None = None,
 ) -> FitResult:
     """Fit on every ``subset``-th point, then score and assign all points with that model.
 
@@ -283,7 +301,7 @@ def fit_on_subset(
     n_points = points.n_points // config.subset
     part = lay_out(points.frame.join(ids, "point_id", "left_semi"), points.noise, n_points, parts)
     start, k = start_classes(part.frame, starting_clusters, config, seed)
-    fitted = expectation_maximisation(part, start, config, workspace, k, run, on_better=hooks.on_better)
+    fitted = expectation_maximisation(part, start, config, workspace, k, run, on_better=hooks.on_better, journal=journal)
     part.release()
     everything = points.frame.withColumn("class", F.lit(0))
     assigned = workspace.save(assign(everything, fitted.model, points.noise, config), f"full-{run}")
@@ -294,29 +312,56 @@ def fit_on_subset(
 
 def fit_once(
     points: PreparedPoints, starting_clusters: int, config: MixtureConfig, workspace: Workspace, run: int = 0,
-    hooks: Hooks = Hooks(),
+    hooks: Hooks = Hooks(), journal: Journal | None = None,
 ) -> FitResult:
     seed = config.random_seed + run
     if config.subset > 1:
-        return fit_on_subset(points, starting_clusters, config, workspace, run, seed, hooks)
-    start, k = start_classes(points.frame, starting_clusters, config, seed)
-    if hooks.on_start is not None:
+        return fit_on_subset(points, starting_clusters, config, workspace, run, seed, hooks, journal)
+    known = journal.last(run) if journal is not None else None
+    if known is not None:
+        start, k = None, known["start_clusters"]
+    else:
+        start, k = start_classes(points.frame, starting_clusters, config, seed)
+    if hooks.on_start is not None and start is not None:
         start = workspace.save(start, f"first-{run}")
         hooks.on_start(start, k)
-    return expectation_maximisation(points, start, config, workspace, k, run, on_better=hooks.on_better)
+    return expectation_maximisation(points, start, config, workspace, k, run, on_better=hooks.on_better, journal=journal)
+
+
+def journaled(journal: Journal | None, workspace: Workspace, run: int, fit_it: Callable[[], FitResult]) -> FitResult:
+    """The result of a run that an earlier driver finished, or a new one, which is recorded."""
+    if journal is None:
+        return fit_it()
+    known = journal.finished.get(run)
+    if known is not None:
+        classes = workspace.load(f"result-{run}")
+        return FitResult(classes, known["score"], None, known["alive"], known["start_clusters"], known["metrics"])
+    result = fit_it()
+    result.classes = workspace.save(result.classes, f"result-{run}")
+    journal.finish(run, {
+        "score": result.score, "alive": result.alive, "start_clusters": result.start_clusters, "metrics": result.metrics,
+    })
+    return result
 
 
 def fit(
     points: DataFrame, config: MixtureConfig = MixtureConfig(), workspace: Workspace | None = None,
-    hooks: Hooks = Hooks(),
+    hooks: Hooks = Hooks(), journal: str | None = None,
 ) -> FitResult:
-    """Search over start counts and repeats; the lowest score wins, the earlier run on a tie."""
+    """Search over start counts and repeats; the lowest score wins, the earlier run on a tie.
+
+    ``journal`` names a folder of the fit's own: a fit that lost its driver is called again with the same
+    points, configuration and folder, and goes on with the iteration it was in."""
     workspace = workspace or Workspace(points.sparkSession, "fit")
     prepared = prepare_points(points, config)
+    kept = None
+    if journal is not None:
+        kept = Journal(points.sparkSession, journal, config, prepared.n_points)
+        workspace = kept.workspace
     best, metrics, run = None, [], 0
     for k in config.starting_clusters():
         for _ in range(config.n_starts):
-            result = fit_once(prepared, k, config, workspace, run, hooks)
+            result = journaled(kept, workspace, run, lambda: fit_once(prepared, k, config, workspace, run, hooks, kept))  # noqa: B023
             metrics += result.metrics
             log.info("%d -> %d clusters: score %f", result.start_clusters, result.alive, result.score)
             if best is None or result.score < best.score:
@@ -343,13 +388,23 @@ def check_labels(points: PreparedPoints, classes: DataFrame, config: MixtureConf
 
 def resume(
     points: DataFrame, classes: DataFrame, config: MixtureConfig = MixtureConfig(), workspace: Workspace | None = None,
-    hooks: Hooks = Hooks(),
+    hooks: Hooks = Hooks(), journal: str | None = None,
 ) -> FitResult:
-    """Continue from known classes, for instance labels read from a file."""
+    """Continue from known classes, for instance labels read from a file; ``journal`` as for ``fit``."""
     workspace = workspace or Workspace(points.sparkSession, "resume")
     prepared = prepare_points(points, config)
-    classes = workspace.save(classes.select("point_id", F.col("class").cast("int")), "given")
-    check_labels(prepared, classes, config)
-    result = expectation_maximisation(prepared, classes, config, workspace, on_better=hooks.on_better)
+    kept = None
+    if journal is not None:
+        kept = Journal(points.sparkSession, journal, config, prepared.n_points)
+        workspace = kept.workspace
+
+    def loop() -> FitResult:
+        start = None
+        if kept is None or kept.last(0) is None:
+            start = workspace.save(classes.select("point_id", F.col("class").cast("int")), "given")
+            check_labels(prepared, start, config)
+        return expectation_maximisation(prepared, start, config, workspace, on_better=hooks.on_better, journal=kept)
+
+    result = journaled(kept, workspace, 0, loop)
     prepared.release()
     return result

@@ -18,8 +18,12 @@ from maskmix.workspace import Workspace
 log = logging.getLogger("maskmix")
 
 
-def cluster_files(spark: SparkSession, config: MixtureConfig, start_labels: str = "") -> FitResult:
-    """Read features and masks, fit or continue from labels, and write every output asked for."""
+def cluster_files(
+    spark: SparkSession, config: MixtureConfig, start_labels: str = "", journal: str | None = None
+) -> FitResult:
+    """Read features and masks, fit or continue from labels, and write every output asked for.
+
+    ``journal`` names a folder in which the fit keeps its progress; run again with it, the program goes on there."""
     base, n = config.file_base, config.elec_no
     workspace = Workspace(spark, "program")
     points = workspace.save(text.read_points(spark, config), "points")
@@ -34,9 +38,9 @@ def cluster_files(spark: SparkSession, config: MixtureConfig, start_labels: str
     hooks = Hooks(start_dump, temp_labels if config.save_temp_every_iter else None)
     if start_labels:
         classes, _ = text.read_labels(spark, start_labels)
-        result = resume(points, classes, config, workspace, hooks)
+        result = resume(points, classes, config, workspace, hooks, journal)
     else:
-        result = fit(points, config, workspace, hooks)
+        result = fit(points, config, workspace, hooks, journal)
     write_outputs(points, result, config, workspace)
     report(result, time.perf_counter() - began)
     return result
@@ -46,7 +50,7 @@ def write_outputs(points: DataFrame, result: FitResult, config: MixtureConfig, w
     spark, base, n = points.sparkSession, config.file_base, config.elec_no
     sinks.write_labels(result.classes, f"{base}.clu.{n}")
     sinks.write_metrics(spark, result.metrics_frame(spark), f"{base}.log.{n}")
-    if config.save_sorted:
+    if config.save_sorted and config.use_masks:
         width = len(points.select("x").first()["x"])
         ranked = sinks.write_sorted_points(points, width, base, n, workspace)
         sinks.write_sorted_labels(ranked, result.classes, base, n)

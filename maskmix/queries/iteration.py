@@ -145,7 +145,7 @@ def subset_fit(spark, sf):
 @query("it9_sweep", None)
 def sweep(spark, sf):
     """Start counts 6 to 8 without mask-start override; the best score wins."""
-    config = replace(MixtureConfig(), mask_starts=0, min_clusters=6, max_clusters=8)
+    config = replace(MixtureConfig(), mask_starts=0, min_clusters=6, max_clusters=8, use_masked_initial_conditions=True)
     result = fit(Q.embedding_points(spark, sf), config)
     return result.metrics_frame(spark).groupBy("run").agg(
         F.max("iteration").alias("last"), Q.r6(F.max_by("score", "iteration"), 4).alias("score")

@@ -80,7 +80,9 @@ def read_masks(spark: SparkSession, config: MixtureConfig) -> DataFrame:
 
 
 def read_points(spark: SparkSession, config: MixtureConfig) -> DataFrame:
-    """Features joined with soft masks; different widths are an error."""
+    """Features joined with soft masks; different widths are an error.  Without masks all weights are one."""
+    if not config.use_masks:
+        return read_features(spark, config).withColumn("w", F.transform("x", lambda v: F.lit(1.0)))
     base, n = config.file_base, config.elec_no
     fet, fmask = f"{base}.fet.{n}", f"{base}.fmask.{n}"
     widths = int(first_line(spark, fet)), int(first_line(spark, fmask))

@@ -30,6 +30,13 @@ class Workspace:
         self.spark = spark
         self.root = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
 
+    @classmethod
+    def at(cls, spark: SparkSession, root: str) -> "Workspace":
+        """Tables below a folder that is known beforehand, so that another driver finds them."""
+        made = cls.__new__(cls)
+        made.spark, made.root = spark, root.rstrip("/")
+        return made
+
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 

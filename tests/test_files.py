@@ -130,7 +130,7 @@ def test_program_writes_what_is_asked_for(spark, tmp_path):
 
 
 def test_options_become_configuration():
-    config, start = parse(["base", "3", "--split", "seeded", "--max-iter", "5", "--normalise", "false", "--start-labels", "s"])
+    config, start, journal = parse(["base", "3", "--split", "seeded", "--max-iter", "5", "--normalise", "false", "--start-labels", "s"])
     assert (config.file_base, config.elec_no, config.split, config.max_iter, config.normalise) == ("base", 3, "seeded", 5, False)
     assert start == "s"
 
