@@ -63,6 +63,7 @@ class MixtureConfig:
     bounded_steps: bool = True
     differences: str = "auto"  # M-step from moved points only: "auto" where that reads less, "always", "never"
     recount_every: int = 20
+    together: bool = True  # runs of a search share their passes over the points
 
     # largest slice of the cluster model sent to executors at once
     model_broadcast_bytes: int = 512 * 1024 * 1024

@@ -74,10 +74,11 @@ class Expectation:
 
 
 class MomentSums:
-    """Running per-class sums of a task."""
+    """Running per-class sums of a task; every ``stride``-th class is the noise class of another fit."""
 
-    def __init__(self, dims: int, gram_for_noise: bool = False):
+    def __init__(self, dims: int, gram_for_noise: bool = False, stride: int | None = None):
         self.dims = dims
+        self.stride = stride
         self.gram_for_noise = gram_for_noise
         self.vectors: dict[int, np.ndarray] = {}
         self.counts: dict[int, int] = {}
@@ -100,7 +101,7 @@ class MomentSums:
             sums[0] += r.sum(axis=0)
             sums[1] += weights[rows].sum(axis=0)
             sums[2] += corr[rows].sum(axis=0)
-            if c != 0 or self.gram_for_noise:
+            if (c % self.stride if self.stride else c) != 0 or self.gram_for_noise:
                 self._add_gram(c, r)
 
     def _add_gram(self, c, r):

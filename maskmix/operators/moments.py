@@ -125,8 +125,35 @@ def m_step(points: DataFrame, noise: DimensionModel, config: MixtureConfig, task
     return model_of_cells(packed_cells(points, noise, tasks=tasks), noise, config)
 
 
-def model_of_cells(cells: DataFrame, noise: DimensionModel, config: MixtureConfig) -> DataFrame:
-    """The same from summed packed cells.  A class whose points have all left has no row either."""
+def run_cells(points: DataFrame, noise: DimensionModel, stride: int, tasks: int | None = None) -> DataFrame:
+    """Packed cells of several fits at once: ``class`` is an array, and class c of fit r counts as ``r * stride + c``."""
+    expectations = noise.kernel()
+    nu = expectations.mean
+
+    def partial(batches):
+        sums = K.MomentSums(len(nu), stride=stride)
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            y, corr, w = expectations.of(batch)
+            classes, rel = K.matrix(batch.column("class")), y - nu
+            for r in range(classes.shape[1]):
+                sums.add(classes[:, r] + r * stride, rel, w, corr)
+                if sums.bytes > K.FLUSH_BYTES:
+                    yield from sums.cells()
+                    sums = K.MomentSums(len(nu), stride=stride)
+        yield from sums.cells()
+
+    if tasks is not None:
+        points = points.coalesce(tasks)
+    return summed(map_arrow(points.select("class", "x", "w"), partial, K.CELL_SCHEMA))
+
+
+def model_of_cells(
+    cells: DataFrame, noise: DimensionModel, config: MixtureConfig, stride: int | None = None
+) -> DataFrame:
+    """The same from summed packed cells.  A class whose points have all left has no row either.  With ``stride``
+    every so many classes begin with a noise class of their own."""
     nu, sigma2 = noise.noise_mean, noise.noise_variance
     prior, mask_points = config.prior_point, config.points_for_cluster_mask if config.use_masks else 0.0
 
@@ -136,7 +163,7 @@ def model_of_cells(cells: DataFrame, noise: DimensionModel, config: MixtureConfi
         if parts[3][parts[0] == K.COUNT].sum() < 0.5:
             return MODEL_ARROW.empty_table()
         n, mean, unmasked, block, diagonal = K.covariance_from_moments(parts, nu, sigma2, prior, mask_points)
-        if c == 0:  # noise is uniform: only its size matters
+        if (c % stride if stride else c) == 0:  # noise is uniform: only its size matters
             factor = K.Factor(True, np.zeros((0, 0)), np.zeros(len(nu)), 0.0)
         else:
             factor = K.factorise(unmasked, block, diagonal)

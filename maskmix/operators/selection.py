@@ -11,10 +11,10 @@ from maskmix.config import MixtureConfig
 from maskmix.functions.arrays import parameter_count
 
 
-def class_summary(assigned: DataFrame) -> DataFrame:
-    """Per class: size, mean parameter count, own score, loss if deleted, points that moved here."""
+def class_summary(assigned: DataFrame, *also: str) -> DataFrame:
+    """Per class, and per ``also``: size, mean parameter count, own score, loss if deleted, points that moved here."""
     scored = F.sum("scored") if "scored" in assigned.columns else F.lit(0)
-    return assigned.groupBy("class").agg(
+    return assigned.groupBy(*also, "class").agg(
         scored.cast("long").alias("scored"),
         F.count("*").alias("n"),
         F.avg(parameter_count(F.col("q"))).alias("params"),
@@ -24,11 +24,11 @@ def class_summary(assigned: DataFrame) -> DataFrame:
     )
 
 
-def moved_summary(assigned: DataFrame, candidate: int) -> DataFrame:
-    """What each class gains when the candidate's points go to their second-best class."""
+def moved_summary(assigned: DataFrame, candidate, *also: str) -> DataFrame:
+    """What each class gains when the candidate's points go to their second-best class; a number or a column."""
     return (
         assigned.where(F.col("class") == candidate)
-        .groupBy(F.col("class2").alias("class"))
+        .groupBy(*also, F.col("class2").alias("class"))
         .agg(
             F.count("*").alias("n"),
             F.avg(parameter_count(F.col("q"))).alias("params"),
@@ -90,17 +90,24 @@ def deletion_candidate(rows: list[dict], alive: set[int], n_points: int, config:
 def conclude(assigned: DataFrame, alive: set[int], n_points: int, config: MixtureConfig, delete: bool = True) -> StepOutcome:
     """Reduce an assignment table to the iteration's totals; only per-class rows reach the driver."""
     rows = [r.asDict() for r in class_summary(assigned).collect()]
+    gone = deletion_candidate(rows, alive, n_points, config) if delete else None
+    moved = [] if gone is None else [r.asDict() for r in moved_summary(assigned, gone).collect()]
+    return outcome_of(rows, gone, moved, alive, n_points, config)
+
+
+def outcome_of(
+    rows: list[dict], gone: int | None, moved: list[dict], alive: set[int], n_points: int, config: MixtureConfig
+) -> StepOutcome:
+    """Totals from the class sums, and from those of the deleted class's points in their second-best classes."""
     sums = {r["class"]: r for r in rows}
     scored = sum(r["scored"] for r in rows)
-    gone = deletion_candidate(rows, alive, n_points, config) if delete else None
     gone_points = 0
     if gone is not None:
-        lost = sums.pop(gone)
-        gone_points = lost["n"]
-        for r in moved_summary(assigned, gone).collect():
+        gone_points = sums.pop(gone)["n"]
+        for r in moved:
             held = sums.get(r["class"])
             if held is None:
-                sums[r["class"]] = r.asDict()
+                sums[r["class"]] = r
                 continue
             n = held["n"] + r["n"]
             held["params"] = (held["params"] * held["n"] + r["params"] * r["n"]) / n

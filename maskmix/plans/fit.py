@@ -18,7 +18,7 @@ from maskmix.operators.masks import start_classes
 from maskmix.operators.bounds import assign_bounded, can_bound, model_drift, with_unknown_bound
 from maskmix.operators.moments import model_of_cells, moved_cells, packed_cells, summed
 from maskmix.operators.scoring import MixtureModel, assign, read_model
-from maskmix.operators.selection import apply_deletion, conclude
+from maskmix.operators.selection import StepOutcome, apply_deletion, conclude
 from maskmix.plans.journal import Journal
 from maskmix.sources.rows import number_sorted, spread
 from maskmix.workspace import Workspace
@@ -27,6 +27,8 @@ log = logging.getLogger("maskmix")
 
 LEAST_POINTS_PER_TASK = 1024
 PARTITIONS_PER_MOMENT_TASK = 16
+#: Runs whose scores differ by less, in proportion, have found the same solution; the sums of one are not in a fixed order.
+TIE = 1e-9
 
 METRICS_SCHEMA = (
     "run INT, iteration INT, step STRING, alive INT, deleted INT, deleted_points BIGINT, changed BIGINT, "
@@ -160,6 +162,20 @@ def wants_split(iteration: int, changed: int, last_full: bool, config: MixtureCo
     )
 
 
+def metric_row(
+    points: PreparedPoints, run: int, iteration: int, step: str, outcome: StepOutcome, did_split: int,
+    seconds: float, moment_points: int, clusters: int,
+) -> dict:
+    """One iteration in the order of ``METRICS_SCHEMA``."""
+    n, dims = points.n_points, float(points.noise.dims)
+    return {
+        "run": run, "iteration": iteration, "step": step, "alive": outcome.alive, "deleted": outcome.deleted,
+        "deleted_points": outcome.deleted_points, "changed": outcome.changed, "raw": outcome.raw,
+        "penalty": outcome.penalty, "score": outcome.score, "did_split": did_split, "seconds": seconds,
+        "d2n": dims**2 * n, "d3n": dims**3 * n, "moment_points": moment_points, "scored": outcome.scored or n * clusters,
+    }
+
+
 def expectation_maximisation(
     points: PreparedPoints,
     start: DataFrame,
@@ -227,26 +243,7 @@ def expectation_maximisation(
                 did_split = 1
                 current = with_unknown_bound(workspace.save(splits, f"split-{run}-{iteration % 2}"))
                 moments.forget()
-        metrics.append(
-            {
-                "run": run,
-                "iteration": iteration - 1,
-                "step": step,
-                "alive": outcome.alive,
-                "deleted": outcome.deleted,
-                "deleted_points": outcome.deleted_points,
-                "changed": outcome.changed,
-                "raw": outcome.raw,
-                "penalty": outcome.penalty,
-                "score": score,
-                "did_split": did_split,
-                "seconds": time.perf_counter() - began,
-                "d2n": float(dims) ** 2 * n,
-                "d3n": float(dims) ** 3 * n,
-                "moment_points": moment_points,
-                "scored": outcome.scored or n * len(model.clusters),
-            }
-        )
+        metrics.append(metric_row(points, run, iteration - 1, step, outcome, did_split, time.perf_counter() - began, moment_points, len(model.clusters)))
         log.info(
             "iteration %d%s: %d clusters, raw %f + penalty %f = %f, changed %d",
             iteration - 1, step, outcome.alive, outcome.raw, outcome.penalty, score, outcome.changed,
@@ -328,6 +325,16 @@ def fit_once(
     return expectation_maximisation(points, start, config, workspace, k, run, on_better=hooks.on_better, journal=journal)
 
 
+def fits_together(points: PreparedPoints, config: MixtureConfig, workspace: Workspace, hooks: Hooks) -> dict[int, FitResult]:
+    """Results of the search's runs where they can share their passes; none otherwise."""
+    from maskmix.plans.many import fit_many  # that plan builds on this module
+
+    starts = [(k, config.random_seed) for k in config.starting_clusters() for _ in range(config.n_starts)]
+    starts = [(k, seed + run) for run, (k, seed) in enumerate(starts)]
+    alone = config.split != "off" or config.subset > 1 or not config.together or len(starts) < 2
+    return {} if alone else fit_many(points, starts, config, workspace, hooks)
+
+
 def journaled(journal: Journal | None, workspace: Workspace, run: int, fit_it: Callable[[], FitResult]) -> FitResult:
     """The result of a run that an earlier driver finished, or a new one, which is recorded."""
     if journal is None:
@@ -359,12 +366,13 @@ def fit(
         kept = Journal(points.sparkSession, journal, config, prepared.n_points)
         workspace = kept.workspace
     best, metrics, run = None, [], 0
+    ready = fits_together(prepared, config, workspace, hooks) if kept is None else {}
     for k in config.starting_clusters():
         for _ in range(config.n_starts):
-            result = journaled(kept, workspace, run, lambda: fit_once(prepared, k, config, workspace, run, hooks, kept))  # noqa: B023
+            result = ready[run] if run in ready else journaled(kept, workspace, run, lambda: fit_once(prepared, k, config, workspace, run, hooks, kept))  # noqa: B023
             metrics += result.metrics
             log.info("%d -> %d clusters: score %f", result.start_clusters, result.alive, result.score)
-            if best is None or result.score < best.score:
+            if best is None or result.score < best.score - TIE * abs(best.score):
                 best = result
             run += 1
     prepared.release()

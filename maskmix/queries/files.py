@@ -14,7 +14,7 @@ from maskmix.operators.moments import m_step
 from maskmix.operators.scoring import score_matrix
 from maskmix.plans.fit import resume
 from maskmix.queries import frames as Q, sql as S
-from maskmix.queries.joins import ARRIVALS, CHOSEN_MASKS, NEAREST
+from maskmix.queries.joins import ARRIVALS, CHOSEN_MASKS, NEAREST, STARTS
 from maskmix.queries.registry import query
 from maskmix.sources import sinks, text
 
@@ -186,7 +186,7 @@ def sorted_labels(spark, sf):
 def start_class_dump(spark, sf):
     """Start classes written zero-based under their count, and read back."""
     ws = Q.workspace(spark, "start")
-    labels, count = start_classes(Q.embedding_points(spark, sf), 21, MixtureConfig(), seed=1)
+    labels, count = start_classes(Q.embedding_points(spark, sf), STARTS + 1, MixtureConfig(), seed=1)
     sinks.write_start_classes(labels, count, ws.path("embedding"), 1)
     classes, header = text.read_labels(spark, ws.path(f"embedding.initialclusters.{count}.clu.1"))
     return classes.select("point_id", (F.col("class") + 1).alias("class"), F.lit(header).alias("n_classes"))

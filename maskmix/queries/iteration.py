@@ -14,7 +14,7 @@ from maskmix.operators.selection import conclude
 from maskmix.plans.fit import fit, is_full_step, resume
 from maskmix.queries import frames as Q, sql as S
 from maskmix.queries.functions import D, LINES
-from maskmix.queries.joins import ARRIVALS, CHOSEN_MASKS, NEAREST
+from maskmix.queries.joins import ARRIVALS, CHOSEN_MASKS, NEAREST, STARTS
 from maskmix.queries.registry import query
 
 
@@ -157,7 +157,7 @@ def sweep(spark, sf):
     S.with_(S.CELLS, S.MASKS, ARRIVALS, CHOSEN_MASKS, NEAREST) + "SELECT point_id, CAST(place + 1 AS INTEGER) AS class FROM nearest",
 )
 def starts_from_masks(spark, sf):
-    labels, _ = start_classes(Q.embedding_points(spark, sf), 21, MixtureConfig(), seed=1)
+    labels, _ = start_classes(Q.embedding_points(spark, sf), STARTS + 1, MixtureConfig(), seed=1)
     return labels
 
 

@@ -67,7 +67,8 @@ def points_by_clusters(spark, sf):
     )
 
 
-STARTS = 20
+#: Start masks of a fit with the default 500 start classes.
+STARTS = 499
 ARRIVALS = f"""arrivals AS (
   SELECT mask, n, first_point, -ln({portable_uniform_sql('first_point', 1)}) / n AS arrival FROM (
     SELECT mask, count(*) AS n, min(point_id) AS first_point FROM masks GROUP BY mask) d)"""

@@ -133,3 +133,19 @@ def test_whole_fit_without_masks(make_points):
     x, w, _ = blobs(2, n=150, d=3, groups=3)
     result = fit(make_points(x, w), MixtureConfig(use_masks=False, mask_starts=0, min_clusters=3, max_clusters=4))
     assert {m["run"] for m in result.metrics} == {0, 1} and result.classes.count() == 150
+
+
+@pytest.mark.parametrize("seed,config", [
+    (0, replace(CONFIG, n_starts=3)),
+    (1, replace(CONFIG, mask_starts=0, min_clusters=3, max_clusters=6, n_starts=1, use_masked_initial_conditions=True)),
+    (2, MixtureConfig(use_masks=False, mask_starts=0, min_clusters=1, max_clusters=4)),
+    (3, replace(CONFIG, n_starts=3, max_iter=2, model_broadcast_bytes=9000)),
+])
+def test_fits_together_equal_fits_one_by_one(make_points, seed, config):
+    x, w, _ = blobs(seed, n=200, d=3, groups=4)
+    points = make_points(x, w)
+    want, got = fit(points, replace(config, together=False)), fit(points, config)
+    assert [[m[k] for k in PARTS] for m in got.metrics] == [[m[k] for k in PARTS] for m in want.metrics]
+    assert [m["score"] for m in got.metrics] == pytest.approx([m["score"] for m in want.metrics], rel=1e-9)
+    assert (got.score, got.alive, got.start_clusters) == (pytest.approx(want.score), want.alive, want.start_clusters)
+    assert sorted(map(tuple, got.classes.collect())) == sorted(map(tuple, want.classes.collect()))
