@@ -16,6 +16,7 @@ from maskmix.detection.probe import neighbour_pairs
 from maskmix.functions.arrays import double, portable_hash
 from maskmix.functions.runtime import apply_arrow, map_arrow
 from maskmix.sources.rows import join_small
+from maskmix.operators.components import component_roots
 from maskmix.workspace import Workspace
 
 
@@ -165,29 +166,11 @@ def crossing_edges(nodes: DataFrame, edges: DataFrame, join_size: int) -> DataFr
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, workspace: Workspace) -> DataFrame:
-    """``(node, component)`` with the smallest node id as component.
-
-    Each round takes the smallest label among the neighbours and then follows the label once, which
-    halves distances.  Rounds are written out, so lineage stays short.
-    """
-    edges = workspace.save(edges, "edges")
-    labels = workspace.save(nodes.select("node", F.col("node").alias("component")), "labels-start")
-    turn = 0
-    while True:
-        near = edges.join(labels, edges["a"] == labels["node"]).groupBy("b").agg(F.min("component").alias("least"))
-        lower = labels.join(near, labels["node"] == near["b"], "left").select(
-            "node", F.col("component").alias("old"), F.least("component", F.coalesce("least", "component")).alias("component")
-        )
-        lower = workspace.save(lower, f"lower-{turn % 2}")
-        parent = lower.select(F.col("node").alias("component"), F.col("component").alias("parent"))
-        jumped = workspace.save(
-            lower.join(parent, "component").select("node", F.col("parent").alias("component"), "old"), f"labels-{turn % 2}"
-        )
-        changed = jumped.where("component <> old").limit(1).count()
-        labels = jumped.select("node", "component")
-        if not changed:
-            return labels
-        turn += 1
+    """``(node, component)`` with the smallest node id as component; joined by node, never by component."""
+    found = component_roots(edges, workspace)
+    return nodes.select("node").join(found, "node", "left").select(
+        "node", F.coalesce("component", F.col("node")).alias("component")
+    )
 
 
 def label_crossings(weak: DataFrame, edges: DataFrame, config: DetectionConfig, channels: int, workspace: Workspace) -> DataFrame:

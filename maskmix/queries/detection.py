@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from maskmix.detection import traces as T
 from maskmix.detection.config import DetectionConfig
-from maskmix.detection.probe import adjacency_list, drop_dead_channels
+from maskmix.detection.probe import adjacency_blocks, drop_dead_channels
+from maskmix.functions.arrays import portable_hash_sql
 from maskmix.queries import frames as Q, sql as S
 from maskmix.queries.registry import query
 
@@ -147,15 +148,22 @@ def _graph(spark, sf):
     return events.join(following, "event_id").select(F.col("user_id").alias("src"), "dst").distinct()
 
 
+LIST_BLOCK = 8
+
+
 @query(
     "xt7_adjacency",
-    S.with_(GRAPH, PAIRS)
-    + "SELECT src AS channel, count(*) AS n, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) AS neighbours FROM pairs GROUP BY src",
+    S.with_(GRAPH, PAIRS, "degrees AS (SELECT src, count(*) AS degree FROM pairs GROUP BY src)")
+    + f"""SELECT channel, degree, block, count(*) AS n, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) AS neighbours FROM (
+    SELECT pairs.src AS channel, degree, dst, CAST(CASE WHEN degree > {LIST_BLOCK} THEN {portable_hash_sql('dst', 1)}
+      % CAST(ceil(degree / {LIST_BLOCK}) AS BIGINT) ELSE 0 END AS BIGINT) AS block
+    FROM pairs JOIN degrees ON pairs.src = degrees.src) p GROUP BY channel, degree, block""",
 )
 def adjacency(spark, sf):
-    lists = adjacency_list(_graph(spark, sf))
+    """Neighbours of every user in blocks of about eight."""
+    lists = adjacency_blocks(_graph(spark, sf), LIST_BLOCK)
     text = F.array_join(F.transform("neighbours", lambda c: c.cast("string")), ",")
-    return lists.select("channel", F.size("neighbours").cast("long").alias("n"), text.alias("neighbours"))
+    return lists.select("channel", "degree", "block", F.size("neighbours").cast("long").alias("n"), text.alias("neighbours"))
 
 
 @query(
