@@ -58,24 +58,33 @@ def embedding_expected(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINEITEM_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
-def lineitem_prepared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DimensionModel]:
-    """Four scaled features of every line; class is the line number from zero, mask 2x up to one."""
-    lines, _ = spread(table(spark, sf_dir, "lineitem").select("l_linenumber", *LINEITEM_FEATURES))
-    ranges = lines.agg(
+def lineitem_ranges(spark: SparkSession, sf_dir: str):
+    """Least and largest value of each feature."""
+    return table(spark, sf_dir, "lineitem").agg(
         *[F.min(c).alias(f"low_{c}") for c in LINEITEM_FEATURES],
         *[F.max(c).alias(f"high_{c}") for c in LINEITEM_FEATURES],
     ).first()
+
+
+def lineitem_points(lines: DataFrame, ranges) -> DataFrame:
+    """Four scaled features of lines; class is the line number from zero, mask 2x up to one."""
     n = len(LINEITEM_FEATURES)
     scaled = [
         (F.col(c) - F.lit(low)) / F.lit(high - low)
         for c, low, high in zip(LINEITEM_FEATURES, ranges[:n], ranges[n:])
     ]
-    points = lines.select(
-        F.monotonically_increasing_id().alias("point_id"),
+    return lines.select(
         (F.col("l_linenumber") - 1).alias("class"),
         F.array(*scaled).alias("x"),
         F.array(*[F.least(F.lit(1.0), 2 * F.abs(v)) for v in scaled]).alias("w"),
     )
+
+
+def lineitem_prepared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DimensionModel]:
+    """The points of all lines with an id, and their noise model."""
+    lines, _ = spread(table(spark, sf_dir, "lineitem").select("l_linenumber", *LINEITEM_FEATURES))
+    points = lineitem_points(lines, lineitem_ranges(spark, sf_dir))
+    points = points.select(F.monotonically_increasing_id().alias("point_id"), "class", "x", "w")
     return points, dimension_model(points)
 
 

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from maskmix.config import MixtureConfig
 from maskmix.queries import frames as Q, sql as S
+from maskmix.queries.functions import D, LINES
 from maskmix.queries.registry import query
 from maskmix.streaming.chunks import chunk_totals
+from maskmix.streaming.learning import StreamedModel, learn
 from maskmix.streaming.scoring import score_stream
 
 
@@ -58,3 +61,23 @@ def stream_chunks(spark, sf):
     flat = totals.select(F.unix_seconds("chunk.start").alias("start_second"), "event_type", "n", "total")
     closed = _drain(flat, Q.workspace(spark, "stream"))
     return closed.select("start_second", "event_type", "n", Q.r6(F.col("total"), 4).alias("total"))
+
+
+@query(
+    "st3_stream_model",
+    S.with_(*LINES)
+    + "SELECT class, CAST(n AS BIGINT) AS n, "
+    + ", ".join(f"{S.r6(f'm{i}')} AS mean{i}" for i in D)
+    + f", {S.r6('log_root_det')} AS log_root_det FROM model WHERE class <> 0",
+)
+def stream_model(spark, sf):
+    """The model that all line items have built, arriving as a stream with their line number as class."""
+    _, noise = Q.lineitem_prepared(spark, sf)
+    ranges = Q.lineitem_ranges(spark, sf)
+    arriving = Q.lineitem_points(_stream(spark, sf, "lineitem"), ranges).select("class", "x", "w")
+    ws = Q.workspace(spark, "learning")
+    kept = StreamedModel(spark, ws.path("model"), noise, MixtureConfig())
+    learn(arriving, kept, ws.path("progress"), availableNow=True).awaitTermination()
+    means = [Q.r6(F.get("mean", F.lit(i))).alias(f"mean{i}") for i in D]
+    table = kept.table().where("cluster_id <> 0")
+    return table.select(F.col("cluster_id").alias("class"), "n", *means, Q.r6(F.col("log_root_det")).alias("log_root_det"))
