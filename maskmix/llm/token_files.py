@@ -25,6 +25,8 @@ BLOCK_IDS = 4096
 SEGMENT_IDS = 1 << 20
 _HEADER = struct.Struct("<4sHHIQI")
 _MAGIC = b"MXTK"
+#: Widths that are whole numbers of a machine's, and their types.
+_WHOLE = {8: "<u1", 16: "<u2", 32: "<u4"}
 
 
 def width_for(vocabulary: int) -> int:
@@ -34,6 +36,12 @@ def width_for(vocabulary: int) -> int:
 def pack(ids: np.ndarray, width: int, block_ids: int = BLOCK_IDS) -> bytes:
     """The payload of a segment; ``block_ids`` is a multiple of 64."""
     blocks = -(-len(ids) // block_ids)
+    offsets = np.arange(blocks, dtype="<u8") * (block_ids // 64 * width * 8) + _HEADER.size + 8 * blocks
+    head = _HEADER.pack(_MAGIC, 1, width, block_ids, len(ids), blocks) + offsets.tobytes()
+    if width in _WHOLE:  # ids side by side are their bits side by side
+        padded = np.zeros(blocks * block_ids, dtype=_WHOLE[width])
+        padded[: len(ids)] = ids
+        return head + padded.tobytes()
     columns = np.zeros((blocks * block_ids // 64, 64), dtype=np.uint64)
     columns.reshape(-1)[: len(ids)] = ids
     words = np.zeros((len(columns), width), dtype=np.uint64)
@@ -42,8 +50,7 @@ def pack(ids: np.ndarray, width: int, block_ids: int = BLOCK_IDS) -> bytes:
         words[:, at] |= columns[:, j] << np.uint64(shift)
         if shift + width > 64:
             words[:, at + 1] |= columns[:, j] >> np.uint64(64 - shift)
-    offsets = np.arange(blocks, dtype="<u8") * (block_ids // 64 * width * 8) + _HEADER.size + 8 * blocks
-    return _HEADER.pack(_MAGIC, 1, width, block_ids, len(ids), blocks) + offsets.tobytes() + words.astype("<u8").tobytes()
+    return head + words.astype("<u8").tobytes()
 
 
 def unpack(payload: bytes, start: int = 0, stop: int | None = None) -> np.ndarray:
@@ -57,6 +64,9 @@ def unpack(payload: bytes, start: int = 0, stop: int | None = None) -> np.ndarra
     first, last = start // block_ids, (stop - 1) // block_ids
     offsets = np.frombuffer(payload, dtype="<u8", count=blocks, offset=_HEADER.size)
     count = (last + 1 - first) * (block_ids // 64) * width
+    if width in _WHOLE:
+        held = np.frombuffer(payload, dtype=_WHOLE[width], count=count * 64 // width, offset=int(offsets[first]))
+        return held[start - first * block_ids : stop - first * block_ids].astype(np.uint32)
     words = np.frombuffer(payload, dtype="<u8", count=count, offset=int(offsets[first])).reshape(-1, width)
     mask = np.uint64((1 << width) - 1)
     out = np.empty((len(words), 64), dtype=np.uint32)

@@ -24,8 +24,8 @@ import pyarrow.compute as pc
 
 #: Bytes a worker's kept pieces take at most, both generations together; only speed depends on it.
 CACHE_BYTES = 96_000_000
-#: Bytes of a kept piece beside its letters and ids: two objects and their places in a table.
-_PIECE_BYTES = 190
+#: Bytes of a kept piece beside its letters: two objects with some ids and their places in a table.
+_PIECE_BYTES = 200
 
 _SPACE_THEN_SPACE = re.compile(r" (?=\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
@@ -109,7 +109,7 @@ class Encoder:
             new = self._learn([p for p, ids in zip(kinds, known) if ids is None], " ")
             known = [new[p] if ids is None else ids for p, ids in zip(kinds, known)]
             self.young.update(new)
-            self.size += sum(map(len, new)) + sum(map(len, new.values())) + _PIECE_BYTES * len(new)
+            self.size += _PIECE_BYTES * len(new) + sum(map(len, new))
             if self.size > self.half:
                 self.old, self.young, self.size = self.young, {}, 0
         flat = np.frombuffer(b"".join(known), dtype="<u4")
@@ -132,10 +132,14 @@ class Encoder:
         marked: list[tuple[str, tuple]] = []
         marks: set[str] = set()
         old = self.old.get if lead else {}.get
+        opening = self.letter_table[ord(" ")] if lead else ""
+        tokenize, id_bytes = self.tokenize, self.id_bytes
         for piece in pieces:
             ids = old(piece)
             if ids is not None:
                 known[piece] = ids
+            elif piece.isalpha() and piece.isascii():  # such letters stand for themselves
+                known[piece] = b"".join([id_bytes[t.id] for t in tokenize(opening + piece)])
             elif (found := _WORDS.match(piece)) is None:
                 others.append(piece)
             elif found.end(1) == len(piece):

@@ -88,10 +88,12 @@ def test_encoder_equals_library():
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [direct_ids(t) for t in texts]
 
 
-@pytest.mark.parametrize("width", [1, 5, 16, 17, 31])
+@pytest.mark.parametrize("width", [1, 5, 8, 16, 17, 31, 32])
 def test_bit_packing_round_trip(width):
     ids = np.random.default_rng(width).integers(0, 1 << width, 1000).astype(np.uint32)
     payload = pack(ids, width, block_ids=128)
+    bits = int.from_bytes(payload[-(8 * 128 * width // 8) :], "little")
+    assert [bits >> (n * width) & ((1 << width) - 1) for n in range(1000)] == ids.tolist()
     assert (unpack(payload) == ids).all()
     assert (unpack(payload, 130, 515) == ids[130:515]).all()
     assert len(unpack(pack(ids[:0], width))) == 0
