@@ -21,7 +21,8 @@ from maskmix.llm.common import append, free_name, regroup, texts_of
 from maskmix.workspace import Workspace
 
 BUCKET_BITS = 12
-#: Most declared labels that become languages, the most frequent first, and the texts that each needs.
+#: Most declared labels that get a trigram model, the most frequent first, and the texts that each needs.  Texts
+#: of any other declared language keep it unless a language with a model explains them.
 MOST_LANGUAGES = 200
 LEAST_TEXTS = 5
 #: Trigrams that a text's likelihood counts as, at most; a longer text is as sure, not surer.
@@ -101,14 +102,6 @@ def _argmax(values: Column) -> Column:
     return F.array_position(values, F.array_max(values)) - 1
 
 
-def _log_shares(counts: DataFrame, key: str, label: str, size: int, prior: np.ndarray) -> dict:
-    """Smoothed log shares of ``label`` per ``key``, for a key that has few values (languages, suffixes)."""
-    table: dict = {}
-    for r in counts.groupBy(key, label).agg(F.count("*").alias("n")).collect():
-        table.setdefault(r[key], np.zeros(size))[r[label]] = r["n"]
-    return {k: (v + SMOOTHING * prior) / (v.sum() + SMOOTHING) for k, v in table.items()}
-
-
 def identify(
     docs: DataFrame,
     text_col: str,
@@ -125,8 +118,11 @@ def identify(
 
     ``train`` marks the rows whose text and declared language teach the trigram model (all by
     default).  A text without letters, or unlike every language, is ``und`` and not accepted, nor is
-    one whose best language stays below a probability of one half.  Missing evidence is neutral.
-    Without any declared language there is nothing to learn from and every text is ``und``.
+    one whose best language stays below a probability of one half.  Where such a text declares a language
+    that is too rare for a model, it has that language and is accepted.  Missing evidence is neutral.  Equal
+    evidence goes to the first language in order of names.  Repeated rows each count and each get a row.
+    Without any language that has a model, and for an empty table, there is nothing to learn from: texts with
+    letters have the language they declare, all others are ``und``.
     """
     workspace = workspace or Workspace(docs.sparkSession, "language")
     own, name = list(docs.columns), free_name(docs, "language")
@@ -139,10 +135,12 @@ def identify(
     languages = sorted(r[d] for r in frequent.orderBy(F.desc("n"), d).limit(MOST_LANGUAGES).collect())
     kind = "struct<language:string,probability:double,text_language:string,accepted:boolean>"
     if not languages:
-        nothing = F.struct(
-            F.lit(NONE).alias("language"), F.lit(0.0).alias("probability"), F.lit(NONE).alias("text_language"), F.lit(False).alias("accepted")
+        rare = F.col(d).isNotNull() & F.coalesce(F.col(text_col), F.lit("")).rlike(r"\p{L}")
+        alone = F.struct(
+            F.when(rare, F.col(d)).otherwise(NONE).alias("language"), F.when(rare, LEAST_PROBABILITY).otherwise(0.0).alias("probability"),
+            F.lit(NONE).alias("text_language"), rare.alias("accepted"),
         )
-        return docs.select(*keep, nothing.cast(kind).alias(name))
+        return base.select(*keep, alone.cast(kind).alias(name))
     model = trigram_model(teach, F.col(text_col), F.col(d), languages)
     size = len(languages) + 1
     voted = append(base, text_col, [(e, "array<double>")], partial(_likelihood, text_col, model))
@@ -155,30 +153,15 @@ def identify(
     everything = (everything + 1) / (everything.sum() + size)
     arrays = lambda x: F.array(*[F.lit(float(v)) for v in x])
 
-    def trust(column: str, share: float) -> Column:
-        """log P(declared value | language) up to a constant, from how often texts of each label declare it."""
-        values = narrow.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
-        values = [r[column] for r in values.orderBy(F.desc("n"), column).limit(MOST_LANGUAGES).collect()]
-        known = narrow.where(F.col(column).isin(values)) if values else narrow.limit(0)
-        table = _log_shares(known, column, t, size, everything)
-        if not table:
-            return arrays(np.zeros(size))
-        # Bayes: P(value | language) is P(language | value) / P(language); softened towards no information
-        pairs = [(k, np.log((1 - share) * v / everything + share)) for k, v in sorted(table.items())]
-        rows = F.create_map(*[x for k, v in pairs for x in (F.lit(k), arrays(v))])
-        return F.coalesce(F.element_at(rows, F.col(column)), arrays(np.zeros(size)))
-
-    def per_place(column: str, extra: list[str]) -> DataFrame:
-        """Texts of each label per host or domain, as an array; summed up per label before it moves."""
-        counts = narrow.where(F.col(column).isNotNull()).groupBy(column, *extra, t).agg(F.count("*").alias("n"))
+    def per_place(column: str) -> DataFrame:
+        """Texts of each label per host, domain, declared value or suffix, as an array; summed up before it moves."""
+        counts = narrow.where(F.col(column).isNotNull()).groupBy(column, t).agg(F.count("*").alias("n"))
         cells = [F.sum(F.when(F.col(t) == k, F.col("n")).otherwise(0)).cast("double") for k in range(size)]
-        return counts.groupBy(column, *extra).agg(F.array(*cells).alias("n"))
+        return counts.groupBy(column).agg(F.array(*cells).alias("n"))
 
-    hosts, domains = per_place(h, []), per_place(m, [])
-    hosts = workspace.save(hosts.withColumnRenamed("n", "__nh"), "hosts")
-    domains = workspace.save(domains.withColumnRenamed("n", "__nm"), "domains")
     places = voted
-    for table, key in ((hosts, h), (domains, m)):
+    for key, extra in ((h, "__nh"), (m, "__nm"), (d, "__nd"), (s, "__ns")):
+        table = workspace.save(per_place(key).withColumnRenamed("n", extra), extra.strip("_"))
         few = table.count() <= 20_000  # a few MB at most; otherwise a join that can be split
         places = places.join(F.broadcast(table) if few else table, key, "left")
     zeros = arrays(np.zeros(size))
@@ -192,7 +175,15 @@ def identify(
         total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
         return F.zip_with(counts, prior, lambda n, p: (n + SMOOTHING * p) / (total + SMOOTHING))
 
-    added = [trust(d, 0.02), trust(s, 0.2)]
+    def trust(counts: str, share: float) -> Column:
+        """log P(value | language) up to a constant, from how often texts of each label have the value.
+
+        By Bayes it is P(language | value) / P(language); ``share`` softens it towards no information."""
+        shares = smoothed(F.col(counts), arrays(everything))
+        known = F.zip_with(shares, arrays(everything), lambda v, p: F.log((1 - share) * v / p + share))
+        return F.coalesce(known, zeros)
+
+    added = [trust("__nd", 0.02), trust("__ns", 0.2)]
     prior = places.withColumn("__pm", smoothed(others("__nm"), arrays(everything)))
     prior = prior.withColumn("__ph", smoothed(others("__nh"), F.col("__pm")))
     fused = F.zip_with(F.col(e), F.col("__ph"), lambda a, p: a + F.log(p))
@@ -205,6 +196,11 @@ def identify(
     winner = F.when(empty, F.lit(size)).otherwise(_argmax(F.col("__fused")) + 1).cast("int")
     by_text = F.when(empty, F.lit(size)).otherwise(F.col(t) + 1).cast("int")
     scored = scored.withColumn("__winner", F.element_at(names, winner)).withColumn("__p", 1 / total)
+    unsure = (F.col("__winner") == NONE) | (F.col("__p") < LEAST_PROBABILITY)
+    rare = unsure & ~empty & F.col(d).isNotNull() & ~F.array_contains(names, F.col(d))
+    scored = scored.withColumn("__rare", F.coalesce(rare, F.lit(False)))
+    scored = scored.withColumn("__winner", F.when(F.col("__rare"), F.col(d)).otherwise(F.col("__winner")))
+    scored = scored.withColumn("__p", F.when(F.col("__rare"), F.lit(LEAST_PROBABILITY)).otherwise(F.col("__p")))
     verdict = F.struct(
         F.col("__winner").alias("language"),
         F.col("__p").alias("probability"),

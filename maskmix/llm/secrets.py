@@ -16,6 +16,8 @@ from maskmix.workspace import Workspace
 
 #: From so many distinct owners on, a value is a copied example.
 EXAMPLE_OWNERS = 3
+#: Repositories of one owner from which on a value that does not look random is an example.
+EXAMPLE_REPOSITORIES = 3
 
 # Fixed patterns: kind, expression, group of the value, least characters of the value.  Hexadecimal runs
 # and access keys are maximal, so their least length can be part of the expression.
@@ -99,13 +101,19 @@ def find_secrets(
     owner: Column | str = "source",
     repository: Column | str = "doc_id",
     example_owners: int = EXAMPLE_OWNERS,
+    example_repositories: int = EXAMPLE_REPOSITORIES,
     keep: list[str] | None = None,
     workspace: Workspace | None = None,
 ) -> DataFrame:
     """Columns ``keep`` of ``docs`` (all by default) and one more, the last: an array of spans by start and kind, each a struct of
     ``start, rank, stop`` (code points; rank of the kind), ``live``, ``owners`` and ``repositories``.
 
-    A missing text has no spans.  Missing owners or repositories count as one owner or repository.
+    A value that looks random is live until ``example_owners`` owners have it, one that a base kind marks also
+    if it does not, as long as one owner has it in fewer than ``example_repositories`` repositories.  Unmarked
+    values that look random are spans where the same value is live under a mark elsewhere.
+
+    A missing text has no spans; an empty table gives none.  Repeated rows have their spans each and count as
+    one repository.  Missing owners or repositories count as one owner or repository.
     """
     workspace = workspace or Workspace(docs.sparkSession, "secrets")
     own, name = list(docs.columns) if keep is None else keep, free_name(docs, "spans")
@@ -128,11 +136,13 @@ def find_secrets(
         "row", "owner", "repository", "rank", "start", "stop",
         F.sha2("value", 256).alias("hash"), looks_random(F.col("value")).alias("random"),
     )
-    live = F.col("random") & (F.col("owners") < example_owners)
-    verdicts = ownership(found).select("hash", "owners", "repositories", live.alias("live"), "base")
+    # a labelled value may be a plain word, but then one owner alone has it, and in few repositories
+    own_word = (F.col("base") == 1) & (F.col("owners") == 1) & (F.col("repositories") < example_repositories)
+    live = (F.col("owners") < example_owners) & (F.col("random") | own_word)
+    verdicts = ownership(found).select("hash", "owners", "repositories", live.alias("live"), "base", "random")
     verdicts = workspace.save(verdicts, "verdicts")
     judged = found.select("row", "rank", "start", "stop", "hash").join(verdicts, "hash")
-    judged = judged.where((F.col("rank") < BASE) | (F.col("live") & (F.col("base") == 1)))
+    judged = judged.where((F.col("rank") < BASE) | (F.col("live") & F.col("random") & (F.col("base") == 1)))
     before = Window.partitionBy("row").orderBy("start", "rank").rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy("row").orderBy("start", "rank").rowsBetween(1, Window.unboundedFollowing)
     is_base = F.col("rank") < BASE
