@@ -23,6 +23,8 @@ from maskmix.llm.tokens import encoder
 
 BLOCK_IDS = 4096
 SEGMENT_IDS = 1 << 20
+#: Bytes of text encoded at once; the more, the more of its words are the same.
+ENCODED_BYTES = 8_000_000
 _HEADER = struct.Struct("<4sHHIQI")
 _MAGIC = b"MXTK"
 #: Widths that are whole numbers of a machine's, and their types.
@@ -106,7 +108,7 @@ def _write_segments(batches, tokenizer_path: str, end_id: int, segment_ids: int)
             names=["__part", "segment", "first", "n_ids", "counts", "payload", "keys"],
         )
 
-    for batch in regroup(batches, "__text"):
+    for batch in regroup(batches, "__text", ENCODED_BYTES):
         part = batch.column(batch.schema.get_field_index("__part"))[0].as_py()
         ids_of = batch.column(batch.schema.get_field_index("__id")).to_pylist()
         id_type = batch.schema.field("__id").type
