@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from maskmix.config import MixtureConfig
 from maskmix.functions import kernels as K
@@ -191,3 +191,9 @@ def mixing_weights(counts: dict[int, int], n_points: int, config: MixtureConfig)
     return {
         c: (counts.get(c, 0) + (config.prior_point if c else config.noise_point)) / total for c in alive
     }
+
+
+def weight_column(c: Column, n: Column, n_points: int, clusters: int, config: MixtureConfig) -> Column:
+    """The proportion of class ``c`` with ``n`` points, where ``clusters`` classes other than noise are alive."""
+    extra = F.when(c == 0, F.lit(float(config.noise_point))).otherwise(F.lit(float(config.prior_point)))
+    return (n + extra) / F.lit(float(n_points + config.noise_point + config.prior_point * clusters))

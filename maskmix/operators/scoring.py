@@ -14,6 +14,7 @@ from maskmix.functions import kernels as K
 from maskmix.functions.runtime import map_arrow
 from maskmix.operators.dimensions import DimensionModel
 from maskmix.operators.moments import mixing_weights
+from maskmix.workspace import Workspace
 
 SCORE_COLUMNS = ["cluster_id", "mean", "unmasked", "root_inverse", "inv_diag", "log_root_det"]
 ASSIGN_SCHEMA = "point_id BIGINT, old_class INT, class INT, class2 INT, nlp DOUBLE, nlp2 DOUBLE, q DOUBLE"
@@ -126,11 +127,15 @@ def assign(
     noise: DimensionModel,
     config: MixtureConfig,
     allow_noise: bool = True,
+    workspace: Workspace | None = None,
+    name: str = "slices",
 ) -> DataFrame:
     """Best and second-best class of every point; the points-by-clusters scores are never stored.
 
-    Narrow: one pass per model slice in the same stage, each carrying the two best so far.  ``class``
-    of the input is kept as ``old_class``.  A cluster whose covariance is singular takes no part.
+    Narrow: one pass per model slice in the same stage, each carrying the two best so far.  With a
+    workspace the two best are written between slices and joined to the points again, so that one slice
+    is on the executors at a time.  ``class`` of the input is kept as ``old_class``.  A cluster whose
+    covariance is singular takes no part.
     """
     spark = points.sparkSession
     overlap_floor, noise_score = config.min_mask_overlap, model.noise_score
@@ -147,9 +152,8 @@ def assign(
         "x",
         "w",
     )
-    shared = list(_broadcast_scorers(spark, model, noise, config))
-    for k, scorer in enumerate(shared):
-        last = k == len(shared) - 1
+    for k, scorer in enumerate(_broadcast_scorers(spark, model, noise, config)):
+        last = k == len(model.slices) - 1
 
         def step(batches, scorer=scorer, last=last):
             s = scorer.value
@@ -175,6 +179,10 @@ def assign(
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
         state = map_arrow(state, step, ASSIGN_SCHEMA if last else carried)
+        if workspace is not None and not last:
+            narrow = workspace.save(state.drop("x", "w"), f"{name}-{k % 2}")
+            model.release()
+            state = points.select("point_id", "x", "w").join(narrow.hint("shuffle_hash"), "point_id")
     return state
 
 

@@ -221,7 +221,8 @@ def expectation_maximisation(
             scored = assign_bounded(labelled, model, drift, points.noise, config, allow_noise)
         else:
             labelled = with_class(points, current.select("point_id", "class"))
-            scored = assign(labelled, model, points.noise, config, allow_noise).withColumn("bound", F.lit(-math.inf))
+            scored = assign(labelled, model, points.noise, config, allow_noise, workspace, f"slices-{run}")
+            scored = scored.withColumn("bound", F.lit(-math.inf))
         assigned = workspace.save(scored, f"assigned-{run}-{iteration % 2}")
         before = model if can_bound(model, config) else None
         model.release()
@@ -301,7 +302,8 @@ def fit_on_subset(
     fitted = expectation_maximisation(part, start, config, workspace, k, run, on_better=hooks.on_better, journal=journal)
     part.release()
     everything = points.frame.withColumn("class", F.lit(0))
-    assigned = workspace.save(assign(everything, fitted.model, points.noise, config), f"full-{run}")
+    found = assign(everything, fitted.model, points.noise, config, True, workspace, f"full-slices-{run}")
+    assigned = workspace.save(found, f"full-{run}")
     outcome = conclude(assigned, set(fitted.model.clusters) | {0}, points.n_points, config, delete=False)
     classes = assigned.select("point_id", "class")
     return FitResult(classes, outcome.score, fitted.model, outcome.alive, k, fitted.metrics)

@@ -9,7 +9,7 @@ from maskmix.functions.arrays import double, effective_dims, parameter_count
 from maskmix.functions.kernels import SUM_CORR, SUM_W
 from maskmix.operators.dimensions import dimension_table
 from maskmix.operators.masks import distinct_masks, with_mask
-from maskmix.operators.moments import m_step, mixing_weights, moment_cells
+from maskmix.operators.moments import m_step, moment_cells, weight_column
 from maskmix.operators.selection import (
     apply_deletion, class_penalty, class_summary, classical_penalty, conclude,
 )
@@ -50,10 +50,9 @@ def masked_count(spark, sf):
 )
 def mixing_weight(spark, sf):
     sizes = class_sizes(spark, sf)
-    rows = {r["class"]: r["n"] for r in sizes.collect()}
-    weights = mixing_weights(rows, sum(rows.values()), MixtureConfig())
-    lookup = F.create_map(*[F.lit(v) for c in sorted(weights) for v in (c, weights[c])])
-    return sizes.select("class", "n", Q.r6(F.element_at(lookup, F.col("class")), 9).alias("weight"))
+    whole = sizes.agg(F.sum("n").alias("n"), F.count(F.when(F.col("class") != 0, 1)).alias("clusters")).first()
+    weight = weight_column(F.col("class"), F.col("n"), whole["n"], whole["clusters"], MixtureConfig())
+    return sizes.select("class", "n", Q.r6(weight, 9).alias("weight"))
 
 
 def _cells(spark, sf, stat: int) -> tuple[DataFrame, list[float]]:

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from maskmix.config import MixtureConfig
 from maskmix.operators.masks import start_classes
-from maskmix.operators.moments import m_step
-from maskmix.operators.scoring import assign, read_model
+from maskmix.operators.moments import m_step, weight_column
+from maskmix.operators.scoring import assign
 from maskmix.operators.selection import conclude
 from maskmix.plans.fit import fit, is_full_step, resume
 from maskmix.queries import frames as Q, sql as S
@@ -30,15 +30,15 @@ def m_step_model(spark, sf):
     """Sizes, weights, means, variances and determinants of the line-item classes."""
     points, noise = Q.lineitem_prepared(spark, sf)
     table = Q.workspace(spark, "model").save(m_step(points, noise, MixtureConfig()), "model")
-    model = read_model(table, noise.dims, MixtureConfig())
-    weight = F.create_map(*[F.lit(v) for c in sorted(model.weights) for v in (c, model.weights[c])])
+    whole = table.agg(F.sum("n").alias("n"), F.count(F.when(F.col("cluster_id") != 0, 1)).alias("clusters")).first()
+    weight = weight_column(F.col("cluster_id"), F.col("n"), whole["n"], whole["clusters"], MixtureConfig())
     u = F.size("unmasked")
     columns = []
     for i in D:
         columns.append(Q.r6(F.get("mean", F.lit(i))).alias(f"mean{i}"))
         columns.append(Q.r6(F.get("block", F.lit(i) * u + i), 9).alias(f"variance{i}"))
     return table.where("cluster_id <> 0").select(
-        F.col("cluster_id").alias("class"), "n", Q.r6(F.element_at(weight, F.col("cluster_id")), 9).alias("weight"),
+        F.col("cluster_id").alias("class"), "n", Q.r6(weight, 9).alias("weight"),
         *columns, Q.r6(F.col("log_root_det")).alias("log_root_det"),
     )
 
