@@ -49,7 +49,12 @@ FILTER_BLOCK = 64
 
 
 def filter_columns(values: np.ndarray, b: np.ndarray, a: np.ndarray) -> np.ndarray:
-    """The recursion down the rows from rest, all columns at once and a block of rows per product.
+    """The recursion down the rows from rest, all columns at once."""
+    return filter_from(values, b, a, np.zeros((len(b) - 1, values.shape[1])))[0]
+
+
+def filter_from(values: np.ndarray, b: np.ndarray, a: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The recursion down the rows from ``state`` (order by columns), a block of rows per product, and the state after it.
 
     In state form a block's output is its impulse responses times the block plus what the state at its
     begin still gives, so two products per block replace one step per row.
@@ -67,14 +72,13 @@ def filter_columns(values: np.ndarray, b: np.ndarray, a: np.ndarray) -> np.ndarr
     through = np.where(lag >= 0, response[np.maximum(lag, 0)], 0.0)
     left = np.array([powers[k][0] for k in range(FILTER_BLOCK)])  # output from the state at the begin
     into = np.array([powers[k] @ enter for k in range(FILTER_BLOCK)])
-    state = np.zeros((order, values.shape[1]))
     out = np.empty_like(values)
     for at in range(0, len(values), FILTER_BLOCK):
         part = values[at : at + FILTER_BLOCK]
         n = len(part)
         out[at : at + n] = through[:n, :n] @ part + left[:n] @ state
         state = powers[n] @ state + into[:n][::-1].T @ part
-    return out
+    return out, state
 
 
 def settling_samples(a: np.ndarray) -> int:
