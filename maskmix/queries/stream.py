@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from maskmix.config import MixtureConfig
+from maskmix.detection.config import DetectionConfig
+from maskmix.detection.traces import thresholds
 from maskmix.queries import frames as Q, sql as S
+from maskmix.queries.detection import CHANNELS, COMPONENTS, REACH, filter_sql, recursive
 from maskmix.queries.functions import D, LINES
 from maskmix.queries.registry import query
 from maskmix.streaming.chunks import chunk_totals
+from maskmix.streaming.detection import detect_stream
 from maskmix.streaming.learning import StreamedModel, learn
 from maskmix.streaming.scoring import score_stream
 
@@ -81,3 +85,77 @@ def stream_model(spark, sf):
     means = [Q.r6(F.get("mean", F.lit(i))).alias(f"mean{i}") for i in D]
     table = kept.table().where("cluster_id <> 0")
     return table.select(F.col("cluster_id").alias("class"), "n", *means, Q.r6(F.col("log_root_det")).alias("log_root_det"))
+
+
+# Event values as recordings of 100 samples at 2 kHz, each with four shanks of eight channels.
+RECORDING, SHANK, STREAM_RATE = 100, 8, 2000.0
+BEGIN = 1_000_000_000_000_000  # microseconds; a stream's first watermark is the epoch, so samples come after it
+SPIKING = DetectionConfig(detect_spikes_symbol=0, threshold_weak_std_factor=0.8, threshold_strong_std_factor=1.5)
+ARRIVED = (
+    f"""traces AS (
+  SELECT event_id // {CHANNELS} % {RECORDING} AS sample, value - 50 AS v,
+    CAST(event_id // {CHANNELS * RECORDING} * {CHANNELS} + event_id % {CHANNELS} AS INTEGER) AS channel FROM events)""",
+    filter_sql(STREAM_RATE),
+    "passed AS (SELECT max(sample) // 2 - 5 AS ms FROM traces)",
+    "held AS MATERIALIZED (SELECT sample, channel, v, abs(v) AS height FROM filtered, passed WHERE sample >= 0 AND sample // 2 < ms)",
+    "limits AS (SELECT 0.8 * stddev_pop(v) AS weak, 1.5 * stddev_pop(v) AS strong FROM traces)",
+    f"""crossings AS MATERIALIZED (
+  SELECT sample, channel, height, v, CASE WHEN height > strong THEN 1 ELSE 0 END AS strong, channel // {SHANK} AS place,
+    (channel // {CHANNELS} * {RECORDING} + sample) * {CHANNELS} + channel % {CHANNELS} AS node
+  FROM held, limits WHERE height > weak)""",
+)
+GROUP = f"CAST(place // {CHANNELS // SHANK} AS BIGINT) AS recording, CAST(place % {CHANNELS // SHANK} AS INTEGER) AS shank"
+
+
+def _detected(spark, sf):
+    place = F.floor(F.col("event_id") / CHANNELS)
+    channel = (F.col("event_id") % CHANNELS).cast("int")
+
+    def traces(events):
+        sample = place % RECORDING
+        return events.select(
+            F.floor(place / RECORDING).alias("recording"), F.floor(channel / SHANK).cast("int").alias("shank"), sample.alias("sample"),
+            F.timestamp_micros(sample * int(1e6 / STREAM_RATE) + BEGIN).alias("ts"), channel.alias("channel"), (F.col("value") - 50).alias("v"),
+        )
+
+    known = traces(Q.table(spark, sf, "events"))
+    following = known.select("channel").distinct().select((F.col("channel") - 1).alias("src"), F.col("channel").alias("dst"))
+    found = detect_stream(
+        traces(_stream(spark, sf, "events")), ["recording", "shank"], following.where("src >= 0"),
+        thresholds(known, SPIKING, STREAM_RATE), SPIKING, STREAM_RATE, CHANNELS, "5 milliseconds",
+    )
+    return _drain(found, Q.workspace(spark, "stream"))
+
+
+@query(
+    "st4_stream_crossings",
+    recursive(*ARRIVED)
+    + f"""SELECT {GROUP}, sample, channel % {CHANNELS} AS channel, strong, {S.r6('v')} AS v FROM crossings""",
+)
+def stream_crossings(spark, sf):
+    """Crossings of the filtered values, as far as the watermark has passed."""
+    found = _detected(spark, sf).where("kind = 'crossing'")
+    return found.select("recording", "shank", "sample", "channel", "strong", Q.r6(F.col("v")).alias("v"))
+
+
+@query(
+    "st5_stream_spikes",
+    recursive(
+        *ARRIVED,
+        """links AS (
+  SELECT DISTINCT a.node AS a, b.node AS b FROM crossings a JOIN crossings b ON a.place = b.place AND a.node <> b.node
+  AND b.sample BETWEEN a.sample - 1 AND a.sample + 1 AND b.channel BETWEEN a.channel - 1 AND a.channel + 1)""",
+        REACH,
+        COMPONENTS,
+        f"latest AS (SELECT channel // {SHANK} AS place, max(sample) AS sample FROM held GROUP BY ALL)",
+    )
+    + f"""SELECT {GROUP}, component % {CHANNELS * RECORDING} AS component, CAST(round(sum(height * height * c.sample)
+      / sum(height * height)) AS BIGINT) AS sample,
+    arg_max(channel, struct_pack(h := height, c := -channel)) % {CHANNELS} AS channel, count(*) AS n
+  FROM crossings c JOIN components USING (node) JOIN latest USING (place) GROUP BY place, component
+  HAVING max(strong) = 1 AND max(c.sample) + 1 <= max(latest.sample)""",
+)
+def stream_spikes(spark, sf):
+    """Spikes whose components no later sample can join."""
+    found = _detected(spark, sf).where("kind = 'spike'")
+    return found.select("recording", "shank", "component", "sample", "channel", "n")

@@ -199,7 +199,7 @@ def detect_stream(
     """Crossings and spikes of a stream of ``keys, ts, sample, channel, v``, with ``kind`` telling which a row is.
 
     ``keys`` name what is filtered and joined on its own, say a recording and a shank; ``ts`` grows with
-    ``sample``, and a sample that comes more than ``lateness`` behind the latest is left out.  ``limits`` are
+    ``sample`` from after the epoch on, and a sample that comes more than ``lateness`` behind the latest is left out.  ``limits`` are
     fixed thresholds, as :func:`maskmix.detection.traces.thresholds` gives.  A crossing appears once the watermark
     has passed its sample, a spike (component with a strong crossing: centre in time, highest channel, smallest
     node ``sample * channels + channel``, size) once no later sample can join it.  Rows without a sample, a time, a
