@@ -18,9 +18,12 @@ from maskmix.streaming.scoring import score_stream
 
 
 def _stream(spark, sf, name):
-    """A table as a stream of files."""
+    """A table as a stream of files, whether it is one file or a folder of them.
+
+    The last letter is a pattern: a stream takes its path for a folder unless it holds one, and a filter of
+    names below ``sf`` would meet the files of a folder, not the folder."""
     schema = Q.table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 def _drain(stream, ws, mode="append"):
