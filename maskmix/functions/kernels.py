@@ -13,7 +13,9 @@ import numpy as np
 import pyarrow as pa
 
 # Kinds of moment cells.
-COUNT, SUM_Y, SUM_W, SUM_CORR, GRAM = 0, 1, 2, 3, 4
+COUNT, SUM_Y, SUM_W, SUM_CORR, GRAM, STEP = 0, 1, 2, 3, 4, 5
+#: Sums of a step under STEP: parameter counts, own scores, losses if deleted, points that moved here, scores computed.
+STEP_SUMS = 5
 
 # A cell is one sum.  Its class, kind and two positions share one 64-bit key, which keeps the rows
 # that are shuffled and hashed small: 30 bits of class, 3 of kind, 15 for each position plus one.
@@ -74,15 +76,18 @@ class Expectation:
 
 
 class MomentSums:
-    """Running per-class sums of a task; every ``stride``-th class is the noise class of another fit."""
+    """Running per-class sums of a task; every ``stride``-th class is the noise class of another fit.
+    Without ``products`` only counts and sums are kept, no second moments."""
 
-    def __init__(self, dims: int, gram_for_noise: bool = False, stride: int | None = None):
+    def __init__(self, dims: int, gram_for_noise: bool = False, stride: int | None = None, products: bool = True):
         self.dims = dims
+        self.products = products
         self.stride = stride
         self.gram_for_noise = gram_for_noise
         self.vectors: dict[int, np.ndarray] = {}
         self.counts: dict[int, int] = {}
         self.grams: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.steps: dict[int, np.ndarray] = {}
         self.bytes = 0
 
     def add(self, classes, rel, weights, corr):
@@ -101,9 +106,14 @@ class MomentSums:
             sums[0] += r.sum(axis=0)
             sums[1] += weights[rows].sum(axis=0)
             sums[2] += corr[rows].sum(axis=0)
-            if (c % self.stride if self.stride else c) != 0 or self.gram_for_noise:
+            if self.products and ((c % self.stride if self.stride else c) != 0 or self.gram_for_noise):
                 self._add_gram(c, r)
 
+    def add_step(self, classes, sums):
+        """What a step found per point, in columns, for classes of added points."""
+        for c in np.unique(classes).tolist():
+            self.steps[c] = self.steps.get(c, np.zeros(STEP_SUMS)) + sums[classes == c].sum(axis=0)
+
     def _add_gram(self, c, r):
         support = np.flatnonzero(r.any(axis=0))
         held = self.grams.get(c)
@@ -145,6 +155,11 @@ class MomentSums:
                 row.append(dims[a])
                 col.append(dims[b])
                 val.append(v)
+            if c in self.steps:
+                stat.append(np.full(STEP_SUMS, STEP))
+                row.append(np.arange(STEP_SUMS))
+                col.append(np.full(STEP_SUMS, -1))
+                val.append(self.steps[c])
             values = np.concatenate(val)
             keys = cell_key(c, np.concatenate(stat), np.concatenate(row), np.concatenate(col))
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(values)], names=["cell", "v"])

@@ -20,9 +20,15 @@ from maskmix.config import MixtureConfig
 from maskmix.functions import kernels as K
 from maskmix.functions.runtime import map_arrow
 from maskmix.operators.dimensions import DimensionModel
+from maskmix.operators.moments import needs_products
 from maskmix.operators.scoring import ASSIGN_SCHEMA, MixtureModel
 
 BOUNDED_SCHEMA = ASSIGN_SCHEMA + ", bound DOUBLE, scored INT"
+COUNTED_SCHEMA = BOUNDED_SCHEMA + ", " + K.CELL_SCHEMA
+BOUNDED_ARROW = pa.schema(
+    [("point_id", pa.int64())] + [(c, pa.int32()) for c in ("old_class", "class", "class2")]
+    + [(c, pa.float64()) for c in ("nlp", "nlp2", "q", "bound")] + [("scored", pa.int32())]
+)
 #: Largest matrix whose smallest eigenvalue is computed; beyond it the norm of the matrix bounds it.
 EIGEN_DIMS = 256
 #: Part of a bound and of a score by which rounding could have changed them.
@@ -104,19 +110,31 @@ def assign_bounded(
     noise: DimensionModel,
     config: MixtureConfig,
     allow_noise: bool = True,
+    count: bool = False,
 ) -> DataFrame:
     """As ``scoring.assign``, with two columns more: the bound, and how many clusters were scored.
 
     ``points`` have ``class2`` and ``bound`` of the last step beside ``class``; ``drift`` is that from the model
     of the last step to ``model``, or None for a step without bounds.  A kept class that is gone, or that a
-    deletion made both the best and the second-best, leaves its points without a bound."""
+    deletion made both the best and the second-best, leaves its points without a bound.  With ``count`` the points
+    add up to the packed cells of their new classes on the way, with the sums of the step; rows of cells have the
+    columns ``cell, v`` and no others."""
     spark, noise_score, expectations = points.sparkSession, model.noise_score, noise.kernel()
     first = (0, noise_score) if allow_noise else (-1, math.inf)
     shared = spark.sparkContext.broadcast(K.Scorer(model.slices[0], noise.noise_mean, config.huge_score))
     model.shared.append(shared)
+    products = needs_products(config)
+    schema = BOUNDED_ARROW if not count else pa.schema([*BOUNDED_ARROW, ("cell", pa.int64()), ("v", pa.float64())])
 
     def step(batches):
         s = shared.value
+        sums = K.MomentSums(len(s.nu), products=products) if count else None
+
+        def cells():
+            for part in sums.cells():
+                columns = [part.column(f.name) if f.name in ("cell", "v") else pa.nulls(part.num_rows, f.type) for f in schema]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
         for batch in batches:
             if batch.num_rows == 0:
                 continue
@@ -150,13 +168,23 @@ def assign_bounded(
                 c1[at], v1[at] = np.where(i1 < 0, 0, i1), np.where(i1 < 0, noise_score, b1)
                 c2[at], v2[at] = np.where(i2 < 0, 0, i2), np.where(i2 < 0, noise_score, b2)
                 bound[at] = np.where(i2 < 0, -np.inf, b3)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("point_id"), batch.column("class"), pa.array(c1.astype(np.int32)),
-                    pa.array(c2.astype(np.int32)), pa.array(v1), pa.array(v2), pa.array(w.sum(axis=1)),
-                    pa.array(bound), pa.array(scored.astype(np.int32)),
-                ],
-                names=["point_id", "old_class", "class", "class2", "nlp", "nlp2", "q", "bound", "scored"],
-            )
-
-    return map_arrow(points.select("point_id", "class", "class2", "bound", "x", "w"), step, BOUNDED_SCHEMA)
+            q = w.sum(axis=1)
+            columns = [
+                batch.column("point_id"), batch.column("class"), pa.array(c1.astype(np.int32)),
+                pa.array(c2.astype(np.int32)), pa.array(v1), pa.array(v2), pa.array(q),
+                pa.array(bound), pa.array(scored.astype(np.int32)),
+            ]
+            columns += [pa.nulls(n, f.type) for f in schema][len(columns) :]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+            if sums is not None:
+                moved = batch.column("class").to_numpy(zero_copy_only=False) != c1
+                sums.add(c1, rel, w, corr)
+                sums.add_step(c1, np.stack([q * (q + 1) / 2 + q + 1, v1, v2 - v1, moved, scored], axis=1))
+                if sums.bytes > K.FLUSH_BYTES:
+                    yield from cells()
+                    sums = K.MomentSums(len(s.nu), products=products)
+        if sums is not None:
+            yield from cells()
+
+    given = points.select("point_id", "class", "class2", "bound", "x", "w")
+    return map_arrow(given, step, COUNTED_SCHEMA if count else BOUNDED_SCHEMA)

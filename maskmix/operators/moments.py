@@ -34,6 +34,11 @@ MODEL_ARROW = pa.schema(
 )
 
 
+def needs_products(config: MixtureConfig) -> bool:
+    """Whether a dimension can be unmasked in some cluster; masked ones take their variance from the corrections alone."""
+    return not config.use_masks or config.points_for_cluster_mask < math.inf
+
+
 def moment_cells(
     points: DataFrame, noise: DimensionModel, gram_for_noise: bool = False, tasks: int | None = None
 ) -> DataFrame:
@@ -42,9 +47,9 @@ def moment_cells(
 
 
 def packed_cells(
-    points: DataFrame, noise: DimensionModel, gram_for_noise: bool = False, tasks: int | None = None
+    points: DataFrame, noise: DimensionModel, gram_for_noise: bool = False, tasks: int | None = None, products: bool = True
 ) -> DataFrame:
-    """Summed moments of ``(class, x, w)`` under packed keys.
+    """Summed moments of ``(class, x, w)`` under packed keys, without second moments if not ``products``.
 
     Each task adds up its own points first; the cells are then summed by Spark under the key
     (class, stat, i, j), so even a class that holds most points is spread over many reducers.  With
@@ -54,7 +59,7 @@ def packed_cells(
     nu = expectations.mean
 
     def partial(batches):
-        sums = K.MomentSums(len(nu), gram_for_noise)
+        sums = K.MomentSums(len(nu), gram_for_noise, products=products)
         for batch in batches:
             if batch.num_rows == 0:
                 continue
@@ -62,7 +67,7 @@ def packed_cells(
             sums.add(batch.column("class").to_numpy(zero_copy_only=False), y - nu, w, corr)
             if sums.bytes > K.FLUSH_BYTES:
                 yield from sums.cells()
-                sums = K.MomentSums(len(nu), gram_for_noise)
+                sums = K.MomentSums(len(nu), gram_for_noise, products=products)
         yield from sums.cells()
 
     if tasks is not None:
@@ -74,14 +79,14 @@ def summed(cells: DataFrame) -> DataFrame:
     return cells.groupBy("cell").agg(F.sum("v").alias("v"))
 
 
-def moved_cells(moved: DataFrame, noise: DimensionModel) -> DataFrame:
+def moved_cells(moved: DataFrame, noise: DimensionModel, products: bool = True) -> DataFrame:
     """What points that changed their class add to the packed cells: ``(old_class, class, x, w)`` counts for
     the new class and, with the opposite sign, for the old one."""
     expectations = noise.kernel()
     nu = expectations.mean
 
     def partial(batches):
-        sums = [K.MomentSums(len(nu)), K.MomentSums(len(nu))]
+        sums = [K.MomentSums(len(nu), products=products) for _ in range(2)]
 
         def cells():
             for one, sign in zip(sums, (1.0, -1.0)):
@@ -97,7 +102,7 @@ def moved_cells(moved: DataFrame, noise: DimensionModel) -> DataFrame:
                 one.add(batch.column(name).to_numpy(zero_copy_only=False), y - nu, w, corr)
             if sum(one.bytes for one in sums) > K.FLUSH_BYTES:
                 yield from cells()
-                sums = [K.MomentSums(len(nu)), K.MomentSums(len(nu))]
+                sums = [K.MomentSums(len(nu), products=products) for _ in range(2)]
         yield from cells()
 
     return map_arrow(moved.select("old_class", "class", "x", "w"), partial, K.CELL_SCHEMA)
@@ -122,16 +127,18 @@ def m_step(points: DataFrame, noise: DimensionModel, config: MixtureConfig, task
     A group holds the summed cells of one class, at most d*d/2 + 3d + 1 rows however many points.
     Classes without points have no row, which is how empty clusters die.
     """
-    return model_of_cells(packed_cells(points, noise, tasks=tasks), noise, config)
+    return model_of_cells(packed_cells(points, noise, tasks=tasks, products=needs_products(config)), noise, config)
 
 
-def run_cells(points: DataFrame, noise: DimensionModel, stride: int, tasks: int | None = None) -> DataFrame:
+def run_cells(
+    points: DataFrame, noise: DimensionModel, stride: int, tasks: int | None = None, products: bool = True
+) -> DataFrame:
     """Packed cells of several fits at once: ``class`` is an array, and class c of fit r counts as ``r * stride + c``."""
     expectations = noise.kernel()
     nu = expectations.mean
 
     def partial(batches):
-        sums = K.MomentSums(len(nu), stride=stride)
+        sums = K.MomentSums(len(nu), stride=stride, products=products)
         for batch in batches:
             if batch.num_rows == 0:
                 continue
@@ -141,7 +148,7 @@ def run_cells(points: DataFrame, noise: DimensionModel, stride: int, tasks: int
                 sums.add(classes[:, r] + r * stride, rel, w, corr)
                 if sums.bytes > K.FLUSH_BYTES:
                     yield from sums.cells()
-                    sums = K.MomentSums(len(nu), stride=stride)
+                    sums = K.MomentSums(len(nu), stride=stride, products=products)
         yield from sums.cells()
 
     if tasks is not None:
@@ -150,18 +157,19 @@ def run_cells(points: DataFrame, noise: DimensionModel, stride: int, tasks: int
 
 
 def model_of_cells(
-    cells: DataFrame, noise: DimensionModel, config: MixtureConfig, stride: int | None = None
+    cells: DataFrame, noise: DimensionModel, config: MixtureConfig, stride: int | None = None, sums: bool = False
 ) -> DataFrame:
     """The same from summed packed cells.  A class whose points have all left has no row either.  With ``stride``
-    every so many classes begin with a noise class of their own."""
+    every so many classes begin with a noise class of their own; with ``sums`` a column has those of the step."""
     nu, sigma2 = noise.noise_mean, noise.noise_variance
     prior, mask_points = config.prior_point, config.points_for_cluster_mask if config.use_masks else 0.0
+    schema = MODEL_ARROW.append(pa.field("sums", pa.list_(pa.float64()))) if sums else MODEL_ARROW
 
     def model(table: pa.Table) -> pa.Table:
         parts = [table.column(c).to_numpy() for c in ("stat", "i", "j", "v")]
         c = table.column("class")[0].as_py()
         if parts[3][parts[0] == K.COUNT].sum() < 0.5:
-            return MODEL_ARROW.empty_table()
+            return schema.empty_table()
         n, mean, unmasked, block, diagonal = K.covariance_from_moments(parts, nu, sigma2, prior, mask_points)
         if (c % stride if stride else c) == 0:  # noise is uniform: only its size matters
             factor = K.Factor(True, np.zeros((0, 0)), np.zeros(len(nu)), 0.0)
@@ -179,9 +187,12 @@ def model_of_cells(
             "inv_diag": factor.inv_diag.tolist(),
             "log_root_det": None if math.isnan(factor.log_root_det) else factor.log_root_det,
         }
-        return pa.Table.from_pylist([row], schema=MODEL_ARROW)
+        if sums:
+            at = parts[0] == K.STEP
+            row["sums"] = parts[3][at][np.argsort(parts[1][at])].tolist()
+        return pa.Table.from_pylist([row], schema=schema)
 
-    return apply_arrow(unpack_cells(cells), ["class"], model, MODEL_SCHEMA)
+    return apply_arrow(unpack_cells(cells), ["class"], model, MODEL_SCHEMA + (", sums ARRAY<DOUBLE>" if sums else ""))
 
 
 def mixing_weights(counts: dict[int, int], n_points: int, config: MixtureConfig) -> dict[int, float]:

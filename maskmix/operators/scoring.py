@@ -107,6 +107,23 @@ def read_model(
     return out
 
 
+def read_summed(model: DataFrame, config: MixtureConfig) -> tuple[MixtureModel, list[dict]]:
+    """The model of ``model_of_cells`` with sums, for classes that were scored with a model in one slice, and the
+    ``class_summary`` of the points it was made from."""
+    rows = collect_arrays(model.select(*SCORE_COLUMNS, "n", "ok", "sums"))
+    names = ("params", "nlp", "loss", "changed", "scored")
+    sums = []
+    for r in rows:
+        one = dict(zip(names, r["sums"].tolist()))
+        whole = {k: int(round(one[k])) for k in ("changed", "scored")}
+        sums.append({"class": r["cluster_id"], "n": r["n"], **one, **whole, "params": one["params"] / r["n"]})
+    sizes = {r["cluster_id"]: r["n"] for r in rows}
+    singular = [r["cluster_id"] for r in rows if not r["ok"]]
+    weights = mixing_weights(sizes, sum(sizes.values()), config)
+    usable = [r | {"weight": weights[r["cluster_id"]]} for r in rows if r["cluster_id"] and r["ok"]]
+    return MixtureModel(model, sizes, weights, singular, [usable]), sums
+
+
 def load_slice(model: MixtureModel, part: list) -> list[dict]:
     if not part or isinstance(part[0], dict):
         return part

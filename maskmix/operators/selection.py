@@ -87,9 +87,13 @@ def deletion_candidate(rows: list[dict], alive: set[int], n_points: int, config:
     return chosen if best < 0 else None
 
 
-def conclude(assigned: DataFrame, alive: set[int], n_points: int, config: MixtureConfig, delete: bool = True) -> StepOutcome:
-    """Reduce an assignment table to the iteration's totals; only per-class rows reach the driver."""
-    rows = [r.asDict() for r in class_summary(assigned).collect()]
+def conclude(
+    assigned: DataFrame, alive: set[int], n_points: int, config: MixtureConfig, delete: bool = True,
+    rows: list[dict] | None = None,
+) -> StepOutcome:
+    """Reduce an assignment table to the iteration's totals; only per-class rows reach the driver, or are known as ``rows``."""
+    if rows is None:
+        rows = [r.asDict() for r in class_summary(assigned).collect()]
     gone = deletion_candidate(rows, alive, n_points, config) if delete else None
     moved = [] if gone is None else [r.asDict() for r in moved_summary(assigned, gone).collect()]
     return outcome_of(rows, gone, moved, alive, n_points, config)

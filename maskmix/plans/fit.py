@@ -16,8 +16,8 @@ from maskmix.functions.arrays import random_integer
 from maskmix.operators.dimensions import DimensionModel, point_model
 from maskmix.operators.masks import start_classes
 from maskmix.operators.bounds import assign_bounded, can_bound, model_drift, with_unknown_bound
-from maskmix.operators.moments import model_of_cells, moved_cells, packed_cells, summed
-from maskmix.operators.scoring import MixtureModel, assign, read_model
+from maskmix.operators.moments import model_of_cells, moved_cells, needs_products, packed_cells, summed
+from maskmix.operators.scoring import MixtureModel, assign, read_model, read_summed
 from maskmix.operators.selection import StepOutcome, apply_deletion, conclude
 from maskmix.plans.journal import Journal
 from maskmix.sources.rows import number_sorted, spread
@@ -122,9 +122,11 @@ class MomentKeeper:
 
     def step(self, current: DataFrame, moved: int, alive: int) -> tuple[DataFrame, int]:
         """Cells of the classes in ``current`` and the number of points they were counted from."""
+        products = needs_products(self.config)
         everything = lambda: packed_cells(
-            with_class(self.points, current.select("point_id", "class")), self.points.noise, tasks=self.points.moment_tasks
-        )
+            with_class(self.points, current.select("point_id", "class")), self.points.noise,
+            tasks=self.points.moment_tasks, products=products,
+        )
         if not self._worth_keeping(alive):
             self.cells = None
             return everything(), self.points.n_points
@@ -134,7 +136,7 @@ class MomentKeeper:
             self.age, count = 0, self.points.n_points
         else:
             went = current.where("old_class <> class").select("point_id", "old_class", "class")
-            found = summed(self.cells.unionByName(moved_cells(self.points.frame.join(went, "point_id"), self.points.noise)))
+            found = summed(self.cells.unionByName(moved_cells(self.points.frame.join(went, "point_id"), self.points.noise, products)))
             self.age, count = self.age + 1, moved
         self.turn += 1
         self.cells = self.workspace.save(found, f"cells-{self.name}-{self.turn % 2}")
@@ -190,6 +192,9 @@ def expectation_maximisation(
 ) -> FitResult:
     """Repeat model, scores, assignment, deletion and optional splitting until nothing changes.
 
+    Where the scoring pass has no more tasks than an M-step, it also counts the moments of the classes it finds:
+    one small job then reads the totals of this step and the next model, unless a deletion or split comes between.
+
     Each iteration writes its assignment table, so lineage stays one step long and a lost executor
     costs at most that step.  Two slots take turns; the step being read is never overwritten.  With a
     journal the loop goes on after the last iteration recorded there.
@@ -202,23 +207,30 @@ def expectation_maximisation(
         start = workspace.save(start.select("point_id", F.col("class").cast("int")), f"start-{run}")
         current = with_unknown_bound(start)
     moments = MomentKeeper(points, config, workspace, str(run))
-    before, moved, alive = None, n, start_clusters or config.max_possible_clusters
+    before, ahead, moved, alive = None, None, n, start_clusters or config.max_possible_clusters
     if journal is not None and (known := journal.last(run)) is not None:
         score, full, iteration, metrics = known["score"], known["full"], known["iteration"], known["metrics"]
         moved, alive = known["moved"], known["alive"]
         current = workspace.load(known["table"])
+        if "cell" in current.columns:
+            current = current.where("cell IS NULL").drop("cell", "v")
         current = with_unknown_bound(current) if known["split"] else apply_deletion(current, known["deleted"])
     while True:
         began = time.perf_counter()
-        cells, moment_points = moments.step(current, moved, alive)
-        fitted = model_of_cells(cells, points.noise, config)
-        model = read_model(fitted, dims, config, workspace, f"model-{run}-{iteration}")
+        if ahead is not None:  # counted in the pass that scored the points
+            model, moment_points = ahead, n
+            moments.forget()  # cells of an earlier step are not one step behind any more
+        else:
+            cells, moment_points = moments.step(current, moved, alive)
+            fitted = model_of_cells(cells, points.noise, config)
+            model = read_model(fitted, dims, config, workspace, f"model-{run}-{iteration}")
         for c in model.singular:
             log.info("class %d (%d points): covariance is singular, left out", c, model.counts[c])
         if can_bound(model, config):
             drift = None if before is None else model_drift(before, model, points.noise.noise_mean)
             labelled = with_class(points, current.select("point_id", "class", "class2", "bound"))
-            scored = assign_bounded(labelled, model, drift, points.noise, config, allow_noise)
+            count = points.parts <= points.moment_tasks and config.differences != "always"
+            scored = assign_bounded(labelled, model, drift, points.noise, config, allow_noise, count)
         else:
             labelled = with_class(points, current.select("point_id", "class"))
             scored = assign(labelled, model, points.noise, config, allow_noise, workspace, f"slices-{run}")
@@ -226,7 +238,16 @@ def expectation_maximisation(
         assigned = workspace.save(scored, f"assigned-{run}-{iteration % 2}")
         before = model if can_bound(model, config) else None
         model.release()
-        outcome = conclude(assigned, set(model.clusters) | {0}, n, config, delete=recurse)
+        alive_now, ahead = set(model.clusters) | {0}, None
+        if "cell" in assigned.columns:
+            sums = summed(assigned.where("cell IS NOT NULL").select("cell", "v"))
+            assigned = assigned.where("cell IS NULL").drop("cell", "v")
+            ahead, rows = read_summed(model_of_cells(sums, points.noise, config, sums=True), config)
+            outcome = conclude(assigned, alive_now, n, config, delete=recurse, rows=rows)
+            if outcome.deleted is not None:
+                ahead = None
+        else:
+            outcome = conclude(assigned, alive_now, n, config, delete=recurse)
         current = apply_deletion(assigned, outcome.deleted)
         moved, alive = outcome.changed, outcome.alive
         if outcome.deleted is not None:
@@ -243,6 +264,7 @@ def expectation_maximisation(
             if splits is not None:
                 did_split = 1
                 current = with_unknown_bound(workspace.save(splits, f"split-{run}-{iteration % 2}"))
+                ahead = None
                 moments.forget()
         metrics.append(metric_row(points, run, iteration - 1, step, outcome, did_split, time.perf_counter() - began, moment_points, len(model.clusters)))
         log.info(
