@@ -27,8 +27,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a Jaccard similarity of 0.8 or more over five words the one with the smallest id stays."""
-    return keep_first_similar(docs)
+    """Of documents linked by SimHash fingerprints at four or fewer differing bits, or by a Jaccard similarity of 0.8
+    or more over five words, the one with the smallest id stays."""
+    return keep_first_similar(docs, fingerprints=True)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,9 @@ survives often enough to index.  A text is therefore indexed by the segments of
 300,000.  Texts that share a key are candidates; the candidates of a connected group meet once, with
 their whole sets of shingle hashes, and only similarities of at least 0.8 become links.
 
+With ``fingerprints`` texts are also linked as ``simhash`` links them: by SimHash fingerprints, found by
+multi-index hashing, at its distance.  Both kinds of links make the components.
+
 A group of more than ``MEMBERS`` texts or ``SHINGLES`` shingles is dealt out as pairs of blocks, so a
 task compares a bounded number of texts and no pair of a group is left out.
 """
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from maskmix.functions.runtime import map_arrow
 from maskmix.llm.common import append, free_name, texts_of
 from maskmix.llm.components import CHUNK_EDGES, components, edge_batch, forest
-from maskmix.llm.simhash import shingle_hashes
+from maskmix.llm.simhash import fingerprint, near_links, shingle_hashes
 from maskmix.workspace import Workspace
 
 SHINGLE = 5
@@ -62,21 +65,24 @@ def signature_keys(shingles: np.ndarray, permutations: tuple[np.ndarray, np.ndar
     return np.array([xxhash.xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(bands)], np.uint64).view(np.int64)
 
 
-def _marks(text: str, width: int):
+def _marks(text: str, width: int, fingerprints: bool):
     permutations = _permutations()
 
     def run(batch: pa.RecordBatch):
-        sets, sizes, keys = [], [], []
+        sets, sizes, keys, prints = [], [], [], []
         for t in texts_of(batch, text):
             s = shingle_set(t, width)
             sets.append(xxhash.xxh64_intdigest(s.tobytes(), _SEED))
             sizes.append(len(s))
             keys.append(signature_keys(s, permutations))
-        return [
+            if fingerprints:
+                prints.append(fingerprint(t))
+        columns = [
             pa.array(np.array(sets, np.uint64).view(np.int64)),
             pa.array(sizes, pa.int64()),
             pa.array(keys, pa.list_(pa.int64())),
         ]
+        return columns + [pa.array(prints, pa.int64())] * fingerprints
 
     return run
 
@@ -176,6 +182,20 @@ def similar_links(stored: DataFrame, distinct: DataFrame, text_col: str, row: st
     return map_arrow(dealt, _links, "u long, v long")
 
 
+def fingerprint_links(stored: DataFrame, workspace: Workspace) -> DataFrame:
+    """Edges ``u, v`` between sets of shingles ``fp`` that connect what SimHash fingerprints ``sim`` connect.
+
+    Sets under one fingerprint are tied to the least of them, which also stands for the fingerprint in its links."""
+    pairs = workspace.save(stored.select("fp", "sim").distinct(), "prints")
+    first = workspace.save(pairs.groupBy("sim").agg(F.min("fp").alias("low"), F.max("fp").alias("high")), "firsts")
+    links = workspace.save(near_links(first.select(F.col("sim").alias("fp")), workspace), "print-links")
+    shared = first.where("low < high").select("sim", "low")
+    alike = pairs.join(shared, "sim").where("fp <> low").select(F.col("fp").alias("u"), F.col("low").alias("v"))
+    low = lambda print_, name: first.select(F.col("sim").alias(print_), F.col("low").alias(name))
+    near = links.withColumnsRenamed({"u": "a", "v": "b"}).join(low("a", "u"), "a").join(low("b", "v"), "b")
+    return alike.union(near.where("u <> v").select("u", "v"))
+
+
 def keep_first_similar(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -183,23 +203,29 @@ def keep_first_similar(
     width: int = SHINGLE,
     members: int = MEMBERS,
     workspace: Workspace | None = None,
+    fingerprints: bool = False,
 ) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of every component the row with the smallest id.
+    With ``fingerprints`` close SimHash fingerprints link texts beside similar sets of shingles.
 
     Texts without words are copies of each other.  Rows without an id come last, and among rows that
     share the smallest id one stays.
     """
     workspace = workspace or Workspace(docs.sparkSession, "similar")
-    own, row, fp, size, keys = list(docs.columns), *(free_name(docs, n) for n in ("__row", "__fp", "__size", "__keys"))
-    added = [(fp, "long"), (size, "long"), (keys, "array<long>")]
-    marked = append(docs, text_col, added, partial(_marks, text_col, width))
+    own = list(docs.columns)
+    row, fp, size, keys, sim = (free_name(docs, n) for n in ("__row", "__fp", "__size", "__keys", "__sim"))
+    added = [(fp, "long"), (size, "long"), (keys, "array<long>")] + [(sim, "long")] * fingerprints
+    marked = append(docs, text_col, added, partial(_marks, text_col, width, fingerprints))
     stored = workspace.save(marked.withColumn(row, F.monotonically_increasing_id()), "marked")
     narrow = stored.select(F.col(fp).alias("fp"), F.col(size).alias("size"), F.col(id_col).alias("id"), F.col(row).alias("row"))
     place = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row"))
     distinct = narrow.groupBy("fp").agg(F.min(place).alias("place"), F.max("size").alias("size"))
     distinct = workspace.save(distinct, "distinct")
     texts = stored.select(F.col(row).alias("__row"), F.col(text_col).alias("__body"), F.col(fp).alias("fp"), F.col(keys).alias("keys"))
-    links = workspace.save(similar_links(texts, distinct, "__body", "__row", width, members, workspace), "links")
+    links = similar_links(texts, distinct, "__body", "__row", width, members, workspace)
+    if fingerprints:
+        links = links.union(fingerprint_links(stored.select(F.col(fp).alias("fp"), F.col(sim).alias("sim")), workspace))
+    links = workspace.save(links, "links")
     roots = components(links, workspace).select(F.col("node").alias("fp"), "root")
     known = distinct.join(roots, "fp", "left").select("place", F.coalesce("root", "fp").alias("root"))
     kept = known.groupBy("root").agg(F.min("place").alias("place")).select(F.col("place.row").alias(row))
