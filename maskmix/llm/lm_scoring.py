@@ -4,9 +4,9 @@ Counts, the recurrent network and the scores see every text.  Words are counted
 frequent ones (at most ``HEAD_WORDS``, since each is more than one in so many tokens) go to the tasks;
 the others meet their counts in a join.  The training texts are dealt into units of about as many tokens
 each, however the input is split; every unit trains a copy of the network, and the copies are averaged
-by their tokens, a group at a time.  The network predicts the class of the next
-token and, for the head words, the word in its class; any other word has the share of its count
-among the other words.
+by their tokens, a group at a time.  Every word has an output of the network, a leaf: the most frequent
+ones each, all others that of their last two bytes, where a word has the share of its count.  The network
+predicts the class of the next leaf and the leaf in its class.  Texts are turned into leaves once.
 """
 
 from __future__ import annotations
@@ -14,9 +14,10 @@ from __future__ import annotations
 import gc
 import math
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import partial
 from itertools import compress
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +31,16 @@ from maskmix.workspace import Workspace
 SMOOTHING = 0.1
 #: Words that tasks keep: those more frequent than one in this many tokens, hence at most as many.
 HEAD_WORDS = 150_000
-#: Words with an output of their own in the network, its classes and its state.
-NETWORK_WORDS = 510
-CLASSES = 24
+#: Words with a leaf of their own, endings with one, leaves that all rarer endings share.
+OWN_WORDS = 1022
+OWN_ENDINGS = 448
+SHARED = 64
+#: Bytes of an ending.
+ENDING = 2
+#: Classes of leaves, size of the state, rate of learning.
+CLASSES = 40
 HIDDEN = 16
+RATE = 0.2
 #: Tokens a task lays out in lanes at a time; a longer text is laid out alone.
 LANE_TOKENS = 2_000_000
 #: Tokens of a unit of training, which has a copy of the network of its own.
@@ -65,25 +72,63 @@ def _count(batches):
         yield rows()
 
 
+class _Leaves(dict):
+    """Leaves by ending; endings without one of their own share some by their hash."""
+
+    def __init__(self, own: dict[bytes, int], shared: list[int]):
+        super().__init__(own)
+        self.shared = shared
+
+    def __missing__(self, ending: bytes) -> int:
+        return self.shared[crc32(ending) % len(self.shared)]
+
+
 @dataclass
 class Lexicon:
-    """Head words in falling order of their counts, and the totals of the training texts."""
+    """Head words in falling order of their counts, the totals of the training texts, and the endings of all
+    words with their tokens and kinds.  ``leaves`` is by number of a head word, ``by_ending`` for words without a
+    leaf of their own; ``norms`` has the log10 of a leaf's mass: its tokens and kinds, and one kind for all words
+    that training never met."""
 
     words: list[bytes]
     counts: np.ndarray
     texts: int
     tokens: int  # with one end per text
     distinct: int  # with the end
+    endings: list[tuple[bytes, int, int]]
+    leaves: np.ndarray = field(init=False)
+    norms: np.ndarray = field(init=False)
 
     def __post_init__(self):
-        self.network_words = min(NETWORK_WORDS, len(self.words))
-        self.other, self.end = self.network_words, self.network_words + 1
+        self.own = min(OWN_WORDS, len(self.words))
         self.known_texts = self.texts > 0
+        left = {e: [n, kinds] for e, n, kinds in self.endings}
+        for word, n in zip(self.words[: self.own], self.counts.tolist()):
+            left[word[-ENDING:]][0] -= n
+            left[word[-ENDING:]][1] -= 1
+        found = sorted((-n, e, kinds) for e, (n, kinds) in left.items() if kinds)
+        rest = found[OWN_ENDINGS:]
+        sums = np.zeros((min(len(found), OWN_ENDINGS) + (SHARED if rest else 1), 2))
+        first = len(sums) - (SHARED if rest else 1)
+        sums[:first] = [(-n, kinds) for n, _, kinds in found[:first]] if first else 0
+        for n, ending, kinds in rest:
+            sums[first + crc32(ending) % SHARED] += (-n, kinds)
+        masses = sums[:, 0] + SMOOTHING * (sums[:, 1] + 1)
+        counts = np.concatenate([self.counts[: self.own], masses])
+        order = np.argsort(-counts, kind="stable")
+        self.leaf_counts = counts[order]
+        leaf = np.empty(len(order), np.int64)
+        leaf[order] = np.arange(len(order))
+        self.norms = np.zeros(len(order))
+        self.norms[leaf[self.own :]] = np.log10(masses)
+        own = {ending: int(leaf[self.own + k]) for k, (_, ending, _) in enumerate(found[:first])}
+        self.by_ending = own, leaf[self.own + first :].tolist()
+        others = _Leaves(*self.by_ending)
+        self.leaves = np.array([*leaf[: self.own], *(others[w[-ENDING:]] for w in self.words[self.own :])], np.int16)
+        self.end = len(order) + 1  # behind the place for words without a leaf, of which there are none
 
     def vocabulary(self) -> Vocabulary:
-        own = self.counts[: self.network_words].astype(np.float64)
-        other = self.tokens - self.texts - own.sum() + 1
-        return Vocabulary.build(own, other, self.texts + 1, CLASSES)
+        return Vocabulary.build(self.leaf_counts, 0, self.texts + 1, CLASSES)
 
     def numbers(self) -> dict[bytes, int]:
         return {w: i for i, w in enumerate(self.words)}
@@ -91,32 +136,69 @@ class Lexicon:
     def log_norm(self) -> float:
         return math.log10(self.tokens + SMOOTHING * (self.distinct + 1))
 
-    def log_other_norm(self) -> float:
-        """The same for words without an output of their own: their tokens and kinds only, and one kind
-        for all words that training never met."""
-        own = int(self.counts[: self.network_words].sum())
-        kinds = self.distinct - int(self.known_texts) - self.network_words
-        return math.log10(max(0, self.tokens - self.texts - own) + SMOOTHING * (kinds + 1))
+    def log_shares(self) -> np.ndarray:
+        """Log10 share of every head word in its leaf."""
+        shares = np.log10(self.counts + SMOOTHING) - self.norms[self.leaves]
+        shares[: self.own] = 0.0
+        return shares
 
 
-def _train(batches, lexicon: Lexicon, start: np.ndarray):
-    other, end = lexicon.other, lexicon.end
-    number = {w: i for i, w in enumerate(lexicon.words[:other])}.get
+_ENCODED = (
+    "row long, __id {id}, held_out boolean, n_tokens long, head_known long, head_log double, share_log double, "
+    "ids binary, rare array<binary>, times array<long>"
+)
+
+
+def _encode(batches, lexicon: Lexicon):
+    """Leaves of every text, what its head words add to both scores, and its other words with their numbers."""
+    number, others = lexicon.numbers().get, _Leaves(*lexicon.by_ending)
+    logs = np.log10(np.append(lexicon.counts, lexicon.texts) + SMOOTHING)
+    shares, leaves, norms, end = lexicon.log_shares(), lexicon.leaves, lexicon.norms, lexicon.end
+    last = len(lexicon.words)
     gc.disable()  # words and arrays only, nothing refers to itself
-    vocabulary = lexicon.vocabulary()
-    trainer = Trainer(Network(vocabulary, Weights.start(vocabulary, HIDDEN).filled(start)))
-    held: list[np.ndarray] = []
-    size = 0
     for batch in regroup(batches, "text"):
+        cells = []
         for text in texts_of(batch, "text"):
-            held.append(np.array([number(w, other) for w in words(text)] + [end], np.int16))
-            size += len(held[-1])
+            tokens = words(text)
+            met = np.array([number(w, -1) for w in tokens], np.int32)
+            beyond = met < 0
+            tail = list(compress(tokens, beyond.tolist()))
+            ids = np.empty(len(tokens) + 1, np.int16)
+            ids[-1] = end
+            inside = ids[:-1]
+            inside[beyond] = [others[w[-ENDING:]] for w in tail]
+            heads = met[~beyond]
+            inside[~beyond] = leaves[heads]
+            share = float(shares[heads].sum() - norms[inside[beyond]].sum())
+            rare = Counter(tail)
+            cells.append((
+                len(ids), len(heads) + int(lexicon.known_texts), float(logs[heads].sum() + logs[last]), share,
+                ids.tobytes(), list(rare), list(rare.values()),
+            ))
+        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64())]
+        keys = [batch.column(batch.schema.get_field_index(n)) for n in ("row", "__id", "held_out")]
+        arrays = keys + [pa.array(values, kind) for values, kind in zip(zip(*cells), kinds)]
+        yield pa.RecordBatch.from_arrays(arrays, names=[f.split()[0] for f in _ENCODED.split(", ")])
+    gc.enable()
+
+
+def _leaves_of(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(raw, np.int16) for raw in batch.column(batch.schema.get_field_index("ids")).to_pylist()]
+
+
+def _train(batches, vocabulary: Vocabulary, end: int, start: np.ndarray):
+    trainer = Trainer(Network(vocabulary, Weights.start(vocabulary, HIDDEN).filled(start)), RATE)
+    held: list[np.ndarray] = []
+    size = 0
+    for batch in regroup(batches, "ids"):
+        for ids in _leaves_of(batch):
+            held.append(ids)
+            size += len(ids)
             if size >= LANE_TOKENS:
                 trainer.learn(held, end)
                 held, size = [], 0
     if held:
         trainer.learn(held, end)
-    gc.enable()
     if trainer.tokens:
         yield _weights_row(trainer.mean * trainer.tokens, trainer.tokens, trainer.loss)
 
@@ -143,12 +225,13 @@ _WEIGHTS = "total binary, tokens long, loss double"
 
 
 def train_network(texts: DataFrame, lexicon: Lexicon, workspace: Workspace) -> Weights:
-    """One pass over all texts, a copy per unit, averaged by tokens.  Texts go round the units, so that copies of
-    one text or rows of one id do not meet in one, and are in the order of a hash there."""
-    begin = Weights.start(lexicon.vocabulary(), HIDDEN)
-    step = partial(_train, lexicon=lexicon, start=begin.flat())
+    """One pass over the leaves ``ids`` of all texts, a copy per unit, averaged by tokens.  Texts go round the units, so
+    that copies of one text or rows of one id do not meet in one, and are in the order of a hash there."""
+    vocabulary = lexicon.vocabulary()
+    begin = Weights.start(vocabulary, HIDDEN)
+    step = partial(_train, vocabulary=vocabulary, end=lexicon.end, start=begin.flat())
     units = max(1, math.ceil(lexicon.tokens / UNIT_TOKENS))
-    dealt = texts.select("text").repartition(units).sortWithinPartitions(F.xxhash64("text"), "text")
+    dealt = texts.select("ids").repartition(units).sortWithinPartitions(F.xxhash64("ids"), "ids")
     copies, level = workspace.save(map_arrow(dealt, step, _WEIGHTS), "copies"), units
     while level > COPIES:
         level = math.ceil(level / COPIES)
@@ -160,63 +243,31 @@ def train_network(texts: DataFrame, lexicon: Lexicon, workspace: Workspace) -> W
     return begin.filled(sum(np.frombuffer(r["total"], np.float64) for r in rows) / tokens)
 
 
-_SCORED = (
-    "row long, __id {id}, held_out boolean, n_tokens long, head_known long, head_log double, other_log double, "
-    "n_other long, network double, rare array<binary>, times array<long>"
-)
+_SCORED = "row long, __id {id}, held_out boolean, n_tokens long, head_known long, head_log double, share_log double, network double"
 
 
-def _score(batches, lexicon: Lexicon, weights: np.ndarray):
-    number, other, end = lexicon.numbers().get, lexicon.other, lexicon.end
-    vocabulary = lexicon.vocabulary()
+def _score(batches, vocabulary: Vocabulary, end: int, weights: np.ndarray):
+    """The columns before ``ids`` and the network's log10 probability of them."""
     network = Network(vocabulary, Weights.start(vocabulary, HIDDEN).filled(weights))
-    logs = np.log10(np.append(lexicon.counts, lexicon.texts) + SMOOTHING)
-    gc.disable()
-    last = len(lexicon.words)
-    held: list[tuple] = []
+    kept: list[pa.RecordBatch] = []
     texts: list[np.ndarray] = []
     size = 0
 
     def rows():
-        natural = score(network, texts, end)
-        keys, cells = zip(*held)
-        columns = list(zip(*cells))
-        arrays = [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], id_type)]
-        arrays.append(pa.array([k[2] for k in keys], pa.bool_()))
-        for values, kind in zip(columns[:2], (pa.int64(), pa.int64())):
-            arrays.append(pa.array(values, kind))
-        arrays += [pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.float64()), pa.array(columns[4], pa.int64())]
-        arrays.append(pa.array(natural / math.log(10), pa.float64()))
-        arrays += [pa.array(columns[5], pa.list_(pa.binary())), pa.array(columns[6], pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(arrays, names=[f.split()[0] for f in _SCORED.split(", ")])
-
-    for batch in regroup(batches, "text"):
-        column = lambda n: batch.column(batch.schema.get_field_index(n))  # noqa: E731,B023
-        id_type = column("__id").type
-        keys = zip(column("row").to_pylist(), column("__id").to_pylist(), column("held_out").to_pylist())
-        for key, text in zip(keys, texts_of(batch, "text")):
-            tokens = words(text)
-            found = [number(w, -1) for w in tokens]
-            ids = np.array(found, np.int32)
-            rare = Counter(compress(tokens, (ids < 0).tolist()))
-            met = ids[ids >= 0]
-            known = len(met) + int(lexicon.known_texts)
-            head = float(logs[met].sum() + logs[last])
-            beyond = met[met >= other]
-            cells = (
-                len(tokens) + 1, known, head, float(logs[beyond].sum()), len(tokens) - int((met < other).sum()),
-                list(rare), list(rare.values()),
-            )
-            held.append((key, cells))
-            out = np.where((ids >= 0) & (ids < other), ids, other)
-            texts.append(np.append(out, end).astype(np.int16))
-            size += len(tokens) + 1
-            if size >= LANE_TOKENS:
-                yield rows()
-                held, texts, size = [], [], 0
-    if held:
-        yield rows()
-    gc.enable()
+        table = pa.Table.from_batches(kept)
+        natural = pa.array(score(network, texts, end) / math.log(10), pa.float64())
+        return table.append_column("network", natural).combine_chunks().to_batches()
+
+    for batch in regroup(batches, "ids"):
+        found = _leaves_of(batch)
+        kept.append(batch.select([n for n in batch.schema.names if n != "ids"]))
+        texts += found
+        size += sum(map(len, found))
+        if size >= LANE_TOKENS:
+            yield from rows()
+            kept, texts, size = [], [], 0
+    if texts:
+        yield from rows()
 
 
 def learn_lexicon(texts: DataFrame, workspace: Workspace) -> tuple[Lexicon, DataFrame]:
@@ -228,12 +279,15 @@ def learn_lexicon(texts: DataFrame, workspace: Workspace) -> tuple[Lexicon, Data
     tokens = (total["n"] or 0) + documents
     often = counts.where(F.col("n") * HEAD_WORDS > tokens).collect()  # fewer than HEAD_WORDS rows
     often.sort(key=lambda r: (-r["n"], bytes(r["word"])))
+    ending = F.expr(f"substring(word, greatest(1, length(word) - {ENDING - 1}), {ENDING})")
+    endings = counts.groupBy(ending.alias("e")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()  # at most 256 + 65,536
     lexicon = Lexicon(
         [bytes(r["word"]) for r in often],
         np.array([r["n"] for r in often], np.int64),
         documents,
         tokens,
         total["v"] + int(documents > 0),
+        sorted((bytes(r["e"]), r["n"], r["v"]) for r in endings),
     )
     return lexicon, counts
 
@@ -254,10 +308,12 @@ def score_texts(
     )
     teach = rows.where(~F.col("held_out"))
     lexicon, counts = learn_lexicon(teach, workspace)
-    weights = train_network(teach, lexicon, workspace)
-    schema = _SCORED.format(id=docs.schema[id_col].dataType.simpleString())
-    stored = workspace.save(map_arrow(rows, partial(_score, lexicon=lexicon, weights=weights.flat()), schema), "scored")
-    rare = stored.where(F.size("rare") > 0).select("row", F.inline(F.arrays_zip("rare", "times"))).toDF("row", "word", "times")
+    id_type = docs.schema[id_col].dataType.simpleString()
+    encoded = workspace.save(map_arrow(rows, partial(_encode, lexicon=lexicon), _ENCODED.format(id=id_type)), "encoded")
+    weights = train_network(encoded.where(~F.col("held_out")), lexicon, workspace)
+    step = partial(_score, vocabulary=lexicon.vocabulary(), end=lexicon.end, weights=weights.flat())
+    stored = workspace.save(map_arrow(encoded.drop("rare", "times"), step, _SCORED.format(id=id_type)), "scored")
+    rare = encoded.where(F.size("rare") > 0).select("row", F.inline(F.arrays_zip("rare", "times"))).toDF("row", "word", "times")
     tail = counts.where(F.col("n") * HEAD_WORDS <= lexicon.tokens)
     met = rare.join(tail.hint("shuffle_hash"), "word", "left")  # words meet a table of distinct words: no sort
     log_count = F.log10(F.coalesce("n", F.lit(0)) + SMOOTHING) * F.col("times")
@@ -267,8 +323,8 @@ def score_texts(
     none = F.lit(0)
     rare_log = F.coalesce("rare_log", F.lit(0.0))
     base = F.col("head_log") + rare_log - F.col("n_tokens") * F.lit(lexicon.log_norm())
-    model = F.col("network") + F.col("other_log") + rare_log - F.col("n_other") * F.lit(lexicon.log_other_norm())
-    return stored.drop("rare", "times").join(looked_up, "row", "left").select(
+    model = F.col("network") + F.col("share_log") + rare_log
+    return stored.join(looked_up, "row", "left").select(
         F.col("__id").alias(id_col),
         "held_out",
         "n_tokens",

@@ -31,7 +31,8 @@ class Vocabulary:
     def build(head_counts: np.ndarray, other: float, end: float, classes: int) -> Vocabulary:
         """``head_counts`` in falling order."""
         n = len(head_counts)
-        weight = np.sqrt(np.maximum(head_counts, 1e-9))  # between even numbers of words and of tokens
+        # between even numbers of words and of tokens; rare ones count for more, or all would be in the last class
+        weight = np.sqrt(np.maximum(head_counts, max(1e-9, head_counts.sum() / max(1, 16 * n))))
         share = np.cumsum(weight) - weight
         word_class = np.minimum((share / max(weight.sum(), 1e-9) * classes).astype(np.int64), classes - 1)
         class_of = np.concatenate([word_class, [classes, classes + 1]])
@@ -119,15 +120,19 @@ def lay_out(texts: list[np.ndarray], end: int, lanes: int = LANES):
     return source, target, begin, owner
 
 
-def _softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log probabilities and probabilities by row.  Rows are short, so a product with ones adds them up
-    faster than a reduction, and a bound on the inputs stands in for subtracting each row's maximum."""
+def _product(w: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """``w @ x`` with every column rounded alike, whatever columns stand beside it, which BLAS does not promise;
+    as fast for so few rows of ``x``.  One column alone would be added up in another order."""
+    if x.shape[1] == 1:
+        return _product(w, np.repeat(x, 2, axis=1))[:, :1]
+    return np.einsum("ij,jk->ik", w, x)
+
+
+def _log_softmax(x: np.ndarray, goal: np.ndarray) -> np.ndarray:
+    """Log probability of each column's ``goal``.  A bound on the inputs stands in for subtracting the maximum."""
     np.clip(x, -60, 60, out=x)
-    p = np.exp(x)
-    total = (p @ np.ones((x.shape[1], 1), x.dtype)).astype(x.dtype)
-    p /= total
-    x -= np.log(total)
-    return x, p
+    at = x[goal, np.arange(x.shape[1])]
+    return at - np.log(np.exp(x, out=x).sum(axis=0))
 
 
 @dataclass
@@ -171,7 +176,7 @@ class Network:
         for t in range(steps):
             if starts[t]:
                 h = h * ~begin[t]
-            s = half @ h
+            s = _product(half, h)
             a = given[:, t]
             rz = saved.rz[t] if keep else s[: 2 * k]
             np.add(s[: 2 * k], a[: 2 * k], out=rz)
@@ -190,51 +195,67 @@ class Network:
         return states, saved, states[-1].copy() if steps else h
 
     def _groups(self, kind: np.ndarray):
-        order = np.argsort(kind, kind="stable")
-        ends = np.searchsorted(kind[order], np.arange(self.classes + 1))
+        """Head classes with the places of their rows, which are sorted by class."""
+        ends = np.searchsorted(kind, np.arange(self.classes + 1))
         for c in range(self.classes):
             if ends[c + 1] > ends[c]:
-                yield c, order[ends[c] : ends[c + 1]]
+                yield c, slice(ends[c], ends[c + 1])
 
     def log_probability(self, states: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log of every target's class, and of the word within a head class."""
         v, w = self.vocabulary, self.weights
-        kind = v.class_of[target]
-        out = _softmax(states @ w.c + w.cb)[0][np.arange(len(target)), kind]
-        for c, rows in self._groups(kind):
+        order = np.argsort(v.class_of[target], kind="stable")
+        columns, target = np.ascontiguousarray(states[order].T), target[order]
+        kind, place = v.class_of[target], v.place[target]
+        logs = _log_softmax(_product(w.c.T, columns) + w.cb[:, None], kind)
+        for c, some in self._groups(kind):
             n = self.size[c]
-            inside, _ = _softmax(states[rows] @ w.w[c, :, :n] + w.wb[c, :n])
-            out[rows] += inside[np.arange(len(rows)), v.place[target[rows]]]
+            if n > 1:
+                inputs = _product(w.w[c, :, :n].T, columns[:, some])
+                inputs += w.wb[c, :n, None]
+                logs[some] += _log_softmax(inputs, place[some])
+        out = np.empty_like(logs)
+        out[order] = logs
         return out
 
     def gradients(self, source, target, begin, h) -> tuple[list[np.ndarray], np.ndarray, float, int]:
         v, w, k = self.vocabulary, self.weights, self.hidden
         states, saved, last = self.forward(source, begin, h, keep=True)
         steps, lanes = source.shape
-        real = target.reshape(-1) >= 0
-        flat, goal = rows_of(states), np.where(real, target.reshape(-1), 0).astype(np.int64)
-        kind = v.class_of[goal]
-        count = int(real.sum())
+        goal = target.reshape(-1).astype(np.int64)
+        kind = np.where(goal >= 0, v.class_of[goal], len(v.log_class))
+        by_class = np.argsort(kind, kind="stable")[: int((goal >= 0).sum())]  # without the places behind a lane's end
+        flat, goal, kind = rows_of(states)[by_class], goal[by_class], kind[by_class]
+        place, count = v.place[goal], len(goal)
         weight = max(count, FULL_TOKENS)  # the last texts of the longest lanes must not outweigh the rest
-        rows = np.arange(len(goal))
-        logs, d = _softmax(flat @ w.c + w.cb)
-        loss = -float(logs[rows, kind][real].sum())
-        d[rows, kind] -= 1
-        d[~real] = 0
-        d /= weight
+
+        def slope(x, at):
+            """Loss, and its derivative by the inputs of a softmax in their place.  Rows are short, so a product with
+            ones adds them up faster than a reduction."""
+            np.clip(x, -60, 60, out=x)
+            rows = np.arange(len(x))
+            loss = -float(x[rows, at].sum())
+            p = np.exp(x, out=x)
+            total = p @ np.ones((x.shape[1], 1), x.dtype)
+            loss += float(np.log(total).sum())
+            total *= weight
+            p /= total
+            p[rows, at] -= 1 / weight
+            return loss, p
+
+        loss, d = slope(flat @ w.c + w.cb, kind)
         dc, dcb = flat.T @ d, d.sum(axis=0)
-        dstate = d @ w.c.T
+        found = d @ w.c.T
         dw, dwb = np.zeros_like(w.w), np.zeros_like(w.wb)
-        for c, some in self._groups(np.where(real, kind, self.classes)):
+        for c, some in self._groups(kind):
             n = self.size[c]
             x = flat[some]
-            logs, d = _softmax(x @ w.w[c, :, :n] + w.wb[c, :n])
-            at = v.place[goal[some]]
-            loss -= float(logs[np.arange(len(some)), at].sum())
-            d[np.arange(len(some)), at] -= 1
-            d /= weight
+            part, d = slope(x @ w.w[c, :, :n] + w.wb[c, :n], place[some])
+            loss += part
             dw[c, :, :n], dwb[c, :n] = x.T @ d, d.sum(axis=0)
-            dstate[some] += d @ w.w[c, :, :n].T
+            found[some] += d @ w.w[c, :, :n].T
+        dstate = np.zeros((steps * lanes, k), np.float32)
+        dstate[by_class] = found
         dstate = np.ascontiguousarray(dstate.reshape(steps, lanes, k).transpose(0, 2, 1))
         da = np.empty((steps, 3 * k, lanes), np.float32)
         ds = np.empty((steps, 3 * k, lanes), np.float32)
