@@ -38,7 +38,7 @@ SHARED = 64
 #: Bytes of an ending.
 ENDING = 2
 #: Classes of leaves, size of the state, rate of learning.
-CLASSES = 40
+CLASSES = 32
 HIDDEN = 16
 RATE = 0.2
 #: Tokens a task lays out in lanes at a time; a longer text is laid out alone.

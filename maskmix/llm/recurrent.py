@@ -168,16 +168,18 @@ class Network:
         steps, lanes = source.shape
         states = np.empty((steps, k, lanes), np.float32)
         saved = _Saved(*(np.empty((steps, m, lanes), np.float32) for m in (k, 2 * k, k, k))) if keep else None
-        given = np.take(np.ascontiguousarray((w.x + w.b).T), source, axis=1)
-        given[: 2 * k] *= 0.5
+        gates = w.x + w.b
+        gates[:, : 2 * k] *= 0.5
+        given = np.empty((steps, 3 * k, lanes), gates.dtype)  # rows are gathered whole, then turned
+        np.copyto(given, np.take(gates, source, axis=0, mode="clip").transpose(0, 2, 1))
         half = np.ascontiguousarray(w.u.T)
         half[: 2 * k] *= 0.5  # a logistic function is a hyperbolic tangent of half its argument
         starts = begin.any(axis=1)
         for t in range(steps):
             if starts[t]:
                 h = h * ~begin[t]
-            s = _product(half, h)
-            a = given[:, t]
+            s = half @ h if keep else _product(half, h)
+            a = given[t]
             rz = saved.rz[t] if keep else s[: 2 * k]
             np.add(s[: 2 * k], a[: 2 * k], out=rz)
             np.tanh(rz, out=rz)
