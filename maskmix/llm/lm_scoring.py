@@ -11,20 +11,18 @@ predicts the class of the next leaf and the leaf in its class.  Texts are turned
 
 from __future__ import annotations
 
-import gc
 import math
-from collections import Counter
 from dataclasses import dataclass, field
 from functools import partial
-from itertools import compress
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from maskmix.functions.runtime import map_arrow
-from maskmix.llm.common import regroup, texts_of
+from maskmix.llm.common import regroup
 from maskmix.llm.recurrent import Network, Trainer, Vocabulary, Weights, score
 from maskmix.workspace import Workspace
 
@@ -50,26 +48,33 @@ COPIES = 64
 _DISTINCT = 400_000
 
 
-def words(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().split()
+def words_of(batch: pa.RecordBatch, name: str) -> tuple[pa.Array, np.ndarray]:
+    """Words of all texts one behind the other, and how many each text has."""
+    texts = pc.fill_null(batch.column(batch.schema.get_field_index(name)), "")
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    found = cut.flatten()
+    whole = pc.greater(pc.binary_length(found), 0)  # white space at either end of a text leaves an empty word there
+    sizes = np.bincount(pc.list_parent_indices(cut).filter(whole), minlength=len(texts))
+    return found.filter(whole).cast(pa.binary()), sizes
 
 
 def _count(batches):
-    held: Counter = Counter()
+    held: list[pa.Table] = []
 
-    def rows():
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"]
-        )
+    def merged() -> pa.Table:
+        counts = pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")])
+        return counts.rename_columns(["word", "n"])
 
     for batch in regroup(batches, "text"):
-        for text in texts_of(batch, "text"):
-            held.update(words(text))
-        if len(held) >= _DISTINCT:
-            yield rows()
-            held = Counter()
+        counts = words_of(batch, "text")[0].value_counts()
+        held.append(pa.table({"word": counts.field("values"), "n": counts.field("counts")}))
+        if sum(h.num_rows for h in held) >= 2 * _DISTINCT:
+            held = [merged()]
+            if held[0].num_rows >= _DISTINCT:
+                yield from held[0].to_batches()
+                held = []
     if held:
-        yield rows()
+        yield from merged().to_batches()
 
 
 class _Leaves(dict):
@@ -130,9 +135,6 @@ class Lexicon:
     def vocabulary(self) -> Vocabulary:
         return Vocabulary.build(self.leaf_counts, 0, self.texts + 1, CLASSES)
 
-    def numbers(self) -> dict[bytes, int]:
-        return {w: i for i, w in enumerate(self.words)}
-
     def log_norm(self) -> float:
         return math.log10(self.tokens + SMOOTHING * (self.distinct + 1))
 
@@ -151,35 +153,44 @@ _ENCODED = (
 
 def _encode(batches, lexicon: Lexicon):
     """Leaves of every text, what its head words add to both scores, and its other words with their numbers."""
-    number, others = lexicon.numbers().get, _Leaves(*lexicon.by_ending)
-    logs = np.log10(np.append(lexicon.counts, lexicon.texts) + SMOOTHING)
-    shares, leaves, norms, end = lexicon.log_shares(), lexicon.leaves, lexicon.norms, lexicon.end
-    last = len(lexicon.words)
-    gc.disable()  # words and arrays only, nothing refers to itself
+    heads, others = pa.array(lexicon.words, pa.binary()), _Leaves(*lexicon.by_ending)
+    last = len(lexicon.words)  # the end; behind it, hence at -1, what words beyond the head add
+    logs = np.append(np.log10(np.append(lexicon.counts, lexicon.texts) + SMOOTHING), 0.0)
+    shares, norms = np.append(lexicon.log_shares(), [0.0, 0.0]), lexicon.norms
+    leaves = np.append(lexicon.leaves, np.array([lexicon.end, 0], np.int16))
     for batch in regroup(batches, "text"):
-        cells = []
-        for text in texts_of(batch, "text"):
-            tokens = words(text)
-            met = np.array([number(w, -1) for w in tokens], np.int32)
-            beyond = met < 0
-            tail = list(compress(tokens, beyond.tolist()))
-            ids = np.empty(len(tokens) + 1, np.int16)
-            ids[-1] = end
-            inside = ids[:-1]
-            inside[beyond] = [others[w[-ENDING:]] for w in tail]
-            heads = met[~beyond]
-            inside[~beyond] = leaves[heads]
-            share = float(shares[heads].sum() - norms[inside[beyond]].sum())
-            rare = Counter(tail)
-            cells.append((
-                len(ids), len(heads) + int(lexicon.known_texts), float(logs[heads].sum() + logs[last]), share,
-                ids.tobytes(), list(rare), list(rare.values()),
-            ))
-        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64())]
+        found, sizes = words_of(batch, "text")
+        coded = found.dictionary_encode()
+        kinds = coded.dictionary
+        number = pc.fill_null(pc.index_in(kinds, value_set=heads), -1).to_numpy(zero_copy_only=False)
+        number = np.append(number, last)
+        beyond = number < 0
+        leaf, share = leaves[number], shares[number]
+        endings = pc.binary_slice(kinds.filter(pa.array(beyond[:-1])), -ENDING).dictionary_encode()
+        leaf[beyond] = np.array([others[e] for e in endings.dictionary.to_pylist()], np.int16)[endings.indices.to_numpy()]
+        share[beyond] = -norms[leaf[beyond]]
+        stops = np.cumsum(sizes + 1)
+        starts = stops - sizes - 1
+        kind = np.full(stops[-1], len(kinds), np.int32)  # an end behind every text
+        inside = np.ones(len(kind), bool)
+        inside[stops - 1] = False
+        kind[inside] = coded.indices.to_numpy()
+        rare = np.flatnonzero(beyond[kind])
+        pairs, times = np.unique(np.searchsorted(stops, rare, "right") * len(beyond) + kind[rare], return_counts=True)
+        text, word = np.divmod(pairs, len(beyond))
+        offsets = pa.array(np.searchsorted(text, np.arange(len(sizes) + 1)), pa.int32())
+        ids = leaf[kind].tobytes()
+        added = [
+            pa.array(sizes + 1, pa.int64()),
+            pa.array(np.add.reduceat((~beyond)[kind].astype(np.int64), starts) - 1 + int(lexicon.known_texts)),
+            pa.array(np.add.reduceat(logs[number][kind], starts)),
+            pa.array(np.add.reduceat(share[kind], starts)),
+            pa.array([ids[2 * a : 2 * b] for a, b in zip(starts.tolist(), stops.tolist())], pa.binary()),
+            pa.ListArray.from_arrays(offsets, kinds.take(pa.array(word))),
+            pa.ListArray.from_arrays(offsets, pa.array(times, pa.int64())),
+        ]
         keys = [batch.column(batch.schema.get_field_index(n)) for n in ("row", "__id", "held_out")]
-        arrays = keys + [pa.array(values, kind) for values, kind in zip(zip(*cells), kinds)]
-        yield pa.RecordBatch.from_arrays(arrays, names=[f.split()[0] for f in _ENCODED.split(", ")])
-    gc.enable()
+        yield pa.RecordBatch.from_arrays(keys + added, names=[f.split()[0] for f in _ENCODED.split(", ")])
 
 
 def _leaves_of(batch: pa.RecordBatch) -> list[np.ndarray]:
